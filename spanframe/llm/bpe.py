@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from spanframe.llm.batches import slices
+
 #: The pre-token pattern of the byte-level tokenizers (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of the table of known parts, per worker; it is emptied when full.
@@ -202,7 +204,7 @@ def encode_texts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             # at most some MB of text at a time, so that long texts don't pile up
-            for lo, hi in _slices(texts):
+            for lo, hi in slices(texts):
                 parts = [encoder.encode_bytes(t) if t else b"" for t in texts.slice(lo, hi - lo).to_pylist()]
                 offsets = np.zeros(len(parts) + 1, np.int32)
                 np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
@@ -211,16 +213,3 @@ def encode_texts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     schema = T.StructType([df.schema[id_col], T.StructField(out_col, T.ArrayType(T.IntegerType()))])
     return df.select(id_col, text_col).mapInArrow(run, schema)
-
-
-def _slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` bytes of text, one row at least."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
-    start, used = 0, 0
-    for i, size in enumerate(sizes):
-        if i > start and used + size > limit:
-            yield start, i
-            start, used = i, 0
-        used += int(size)
-    if start < len(sizes):
-        yield start, len(sizes)
