@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from spanframe.llm import bpe
+from spanframe.llm import bpe, ngrams, overlap, tiling
 from spanframe.plans.registry import Registry
 from spanframe.session import table
 
@@ -28,3 +28,111 @@ def p6_token_counts(spark, sf_dir):
     ids = bpe.encode_texts(docs, f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", F.size("ids").cast("long").alias("n"))
     counts = ids.join(docs.select("doc_id", "source", "n_chars"), "doc_id").groupBy("source")
     return counts.agg(F.sum("n").alias("tokens"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"))
+
+
+@LLM.register("p7_found")
+def p7_found(spark, sf_dir):
+    found = tiling.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return tiling.qualifying(found).select("doc_id", "item_id")
+
+
+@LLM.register("p7_leaks")
+def p7_leaks(spark, sf_dir):
+    """Leaked items with the documents they stand in and how much of them is covered, reordered parts included."""
+    found = tiling.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    hit = found.filter((F.col("covered") * 2 >= F.col("n_words")) | (F.col("longest") >= 8))
+    return hit.withColumn("coverage", F.col("covered") / F.col("n_words"))
+
+
+_P2_TOKENS = r"""
+WITH tokens AS (
+  SELECT DISTINCT sentence_id, word_idx, lower(trim(nfc_normalize(word), ' ' || chr(9) || chr(160))) AS term
+  FROM predictions WHERE word IS NOT NULL
+), terms AS (
+  SELECT term, count(*) AS occurrences, count(DISTINCT sentence_id) AS sentences FROM tokens WHERE term <> '' GROUP BY term
+), marked AS (
+  SELECT *, CASE WHEN sentences < 3 THEN 'rare'
+                 WHEN sentences * 20 > (SELECT count(DISTINCT sentence_id) FROM predictions) THEN 'common' END AS mark FROM terms
+)
+"""
+
+
+def _p2_marked(spark, sf_dir):
+    predictions = table(spark, sf_dir, "predictions")
+    total = predictions.select("sentence_id").filter("sentence_id is not null").distinct().count()
+    counted = ngrams.ngram_counts(ngrams.prediction_tokens(predictions), max_n=1)
+    return counted.select(F.col("ngram")[0].alias("term"), "occurrences", F.col("records").alias("sentences"), ngrams.mark(F.col("records"), total).alias("mark"))
+
+
+@LLM.register("p2_found", _P2_TOKENS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL")
+def p2_found(spark, sf_dir):
+    return _p2_marked(spark, sf_dir).filter("mark is not null").select("term", "mark")
+
+
+@LLM.register("p2_terms", _P2_TOKENS + "SELECT * FROM marked")
+def p2_terms(spark, sf_dir):
+    return _p2_marked(spark, sf_dir)
+
+
+@LLM.register(
+    "p2_ngrams",
+    _P2_TOKENS
+    + """, one AS (SELECT sentence_id, word_idx, min(term) AS t FROM tokens WHERE term <> '' GROUP BY ALL),
+grams AS (
+  SELECT sentence_id, [t] AS g FROM one
+  UNION ALL SELECT a.sentence_id, [a.t, b.t] FROM one a JOIN one b ON b.sentence_id = a.sentence_id AND b.word_idx = a.word_idx + 1
+  UNION ALL SELECT a.sentence_id, [a.t, b.t, c.t] FROM one a JOIN one b ON b.sentence_id = a.sentence_id AND b.word_idx = a.word_idx + 1
+    JOIN one c ON c.sentence_id = a.sentence_id AND c.word_idx = a.word_idx + 2)
+SELECT array_to_string(g, ' ') AS ngram, len(g)::INT AS n, count(*) AS occurrences, count(DISTINCT sentence_id) AS sentences
+FROM grams GROUP BY g HAVING count(DISTINCT sentence_id) >= 2""",
+)
+def p2_ngrams(spark, sf_dir):
+    """All n-grams of up to three terms that at least two sentences hold."""
+    counted = ngrams.ngram_counts(ngrams.prediction_tokens(table(spark, sf_dir, "predictions")), max_n=3, min_records=2)
+    return counted.select(F.array_join("ngram", " ").alias("ngram"), "n", "occurrences", F.col("records").alias("sentences"))
+
+
+_P3_PAIRS = r"""
+WITH splits AS (
+  SELECT sentence_id, min(CASE s WHEN 'train' THEN 'train' WHEN 'test' THEN 'test' WHEN 'validation' THEN 'validation' WHEN 'valid' THEN 'validation' WHEN 'dev' THEN 'validation' END) AS split, min(source) AS source
+  FROM (SELECT sentence_id, source, lower(trim(split)) AS s FROM sentences) GROUP BY sentence_id
+), one AS (
+  SELECT sentence_id, word_idx, min(word) AS word FROM predictions WHERE word IS NOT NULL GROUP BY ALL
+), w AS (
+  SELECT sentence_id, unnest(regexp_extract_all(lower(nfc_normalize(regexp_replace(word, '[\x{00AD}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]', '', 'g'))), '[\p{L}\p{N}_]+')) AS w FROM one
+), fit AS (
+  SELECT sentence_id FROM w GROUP BY sentence_id HAVING count(*) >= 6
+), bag AS (
+  SELECT DISTINCT w.sentence_id, w.w, s.split = 'train' AS is_train, s.split, s.source FROM w SEMI JOIN fit USING (sentence_id) JOIN splits s USING (sentence_id) WHERE s.split IS NOT NULL
+), size AS (SELECT sentence_id, count(*) AS n FROM bag GROUP BY sentence_id),
+shared AS (
+  SELECT a.sentence_id AS t, b.sentence_id AS e, b.split, b.source, count(*) AS i FROM bag a JOIN bag b ON a.w = b.w AND a.is_train AND NOT b.is_train GROUP BY ALL
+), pairs AS (
+  SELECT t, e, split, source, i, x.n + y.n - i AS u FROM shared JOIN size x ON x.sentence_id = t JOIN size y ON y.sentence_id = e WHERE 5 * i >= 4 * (x.n + y.n - i)
+)
+"""
+
+
+def _p3_pairs(spark, sf_dir):
+    predictions, sentences = table(spark, sf_dir, "predictions"), table(spark, sf_dir, "sentences")
+    splits = overlap.sentence_splits(sentences)
+    words = overlap.sentence_words(predictions).join(splits, "sentence_id")
+    return overlap.cross_split_pairs(words.select(F.col("sentence_id").alias("id"), "split", "words")), splits
+
+
+@LLM.register("p3_found", _P3_PAIRS + "SELECT least(t, e) AS sentence_id_a, greatest(t, e) AS sentence_id_b FROM pairs")
+def p3_found(spark, sf_dir):
+    pairs, _ = _p3_pairs(spark, sf_dir)
+    return pairs.select(F.least("train_id", "eval_id").alias("sentence_id_a"), F.greatest("train_id", "eval_id").alias("sentence_id_b"))
+
+
+@LLM.register(
+    "p3_by_split_source",
+    _P3_PAIRS + "SELECT split, coalesce(source, 'unknown') AS source, count(*) AS pairs, count(DISTINCT e) AS sentences, count(*) FILTER (WHERE i = u) AS same FROM pairs GROUP BY 1, 2",
+)
+def p3_by_split_source(spark, sf_dir):
+    """The overlapping pairs, and evaluation sentences in them, by split and source of the evaluation sentence."""
+    pairs, splits = _p3_pairs(spark, sf_dir)
+    named = pairs.join(splits.select(F.col("sentence_id").alias("eval_id"), "split", "source"), "eval_id")
+    grouped = named.groupBy("split", F.coalesce("source", F.lit("unknown")).alias("source"))
+    return grouped.agg(F.count("*").alias("pairs"), F.count_distinct("eval_id").alias("sentences"), F.count_if(F.col("shared") == F.col("united")).alias("same"))
