@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from spanframe.llm import bpe, ngrams, overlap, tiling
+from spanframe.llm import bpe, chunks, ngrams, overlap, sample, tiling
 from spanframe.plans.registry import Registry
 from spanframe.session import table
 
@@ -136,3 +136,38 @@ def p3_by_split_source(spark, sf_dir):
     named = pairs.join(splits.select(F.col("sentence_id").alias("eval_id"), "split", "source"), "eval_id")
     grouped = named.groupBy("split", F.coalesce("source", F.lit("unknown")).alias("source"))
     return grouped.agg(F.count("*").alias("pairs"), F.count_distinct("eval_id").alias("sentences"), F.count_if(F.col("shared") == F.col("united")).alias("same"))
+
+
+@LLM.register("p1_sample")
+def p1_sample(spark, sf_dir):
+    return sample.run_samples(table(spark, sf_dir, "sentences"), table(spark, sf_dir, "runs"))
+
+
+@LLM.register("p1_shares")
+def p1_shares(spark, sf_dir):
+    """Chosen and all train sentences of each run, and the reason of the runs that get no sample."""
+    sentences, runs = table(spark, sf_dir, "sentences"), table(spark, sf_dir, "runs")
+    chosen = sample.run_samples(sentences, runs).groupBy("run_id").agg(F.count("*").alias("chosen"))
+    total = sample.train_sentences(sentences).count()
+    return sample.run_settings(runs).join(chosen, "run_id", "left").select("run_id", "fraction", "seed", "reason", F.coalesce("chosen", F.lit(0)).alias("chosen"), F.lit(total).alias("sentences"))
+
+
+_P5_FOUND = r"""
+WITH spec AS (
+  SELECT DISTINCT run_id, source, coalesce(config.chunker.max_len, 128) AS lim FROM pretrain_runs
+), size AS (
+  SELECT doc_id, source, list_sum(list_transform(regexp_extract_all(text, '[^ \t\r\n]+'), lambda w: (length(w) + 3) // 4)) AS n FROM documents
+)
+SELECT DISTINCT run_id, doc_id FROM size JOIN spec USING (source) WHERE lim > 2 AND n > lim - 2
+"""
+
+
+@LLM.register("p5_found", _P5_FOUND)
+def p5_found(spark, sf_dir):
+    found = chunks.split_oversized(table(spark, sf_dir, "documents"), chunks.settings_of(table(spark, sf_dir, "pretrain_runs")))
+    return found.filter(F.size("starts") > 1).select("run_id", "doc_id")
+
+
+@LLM.register("p5_pieces")
+def p5_pieces(spark, sf_dir):
+    return chunks.pieces(table(spark, sf_dir, "documents"), chunks.settings_of(table(spark, sf_dir, "pretrain_runs")))
