@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from spanframe.llm import bpe, chunks, ngrams, overlap, sample, tiling
+from spanframe.llm import bpe, chunks, ngrams, overlap, sample, subjects, tiling
 from spanframe.plans.registry import Registry
 from spanframe.session import table
 
@@ -171,3 +171,22 @@ def p5_found(spark, sf_dir):
 @LLM.register("p5_pieces")
 def p5_pieces(spark, sf_dir):
     return chunks.pieces(table(spark, sf_dir, "documents"), chunks.settings_of(table(spark, sf_dir, "pretrain_runs")))
+
+
+def _p8_subjects(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return subjects.assign(docs, subjects.fit(docs, table(spark, sf_dir, "subject_labels")))
+
+
+@LLM.register("p8_found")
+def p8_found(spark, sf_dir):
+    known = table(spark, sf_dir, "subjects").select("subject").distinct()
+    return _p8_subjects(spark, sf_dir).join(F.broadcast(known), "subject", "left_semi").select("doc_id", "subject")
+
+
+@LLM.register("p8_composition")
+def p8_composition(spark, sf_dir):
+    """Documents and code points of the corpus by subject; a document of two subjects counts for each by its share."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+    found = _p8_subjects(spark, sf_dir).join(docs, "doc_id")
+    return found.groupBy("subject").agg(F.count("*").alias("docs"), F.sum(F.col("share") * F.col("n_chars")).alias("chars"))
