@@ -32,7 +32,13 @@ from spanframe.llm.words import normal
 NONE = "none"
 #: Most labelled documents the rules are fitted on (a bounded sample by hash of the id).
 LABELLED_LIMIT = 20_000
-STEM = 5
+STEM = 6
+#: Latin letters of Cyrillic ones (fixed values), so that romanised texts share their stems with Cyrillic ones.
+ROMAN = str.maketrans({
+    "а": "a", "ә": "ae", "б": "b", "в": "v", "г": "g", "ғ": "gh", "д": "d", "е": "e", "ё": "e", "ж": "j", "з": "z", "и": "i", "й": "i", "к": "k",
+    "қ": "q", "л": "l", "м": "m", "н": "n", "ң": "ng", "о": "o", "ө": "oe", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ұ": "u", "ү": "ue",
+    "ф": "f", "х": "h", "һ": "h", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sh", "ъ": "", "ы": "y", "і": "i", "ь": "", "э": "e", "ю": "iu", "я": "ia",
+})
 #: A stem or set must occur in so many sentences, or in this share of them.
 LEAST_COUNT, LEAST_SHARE = 3, 1 / 20_000
 #: Confidence that a single stem needs to enter the transactions, and a rule to be kept; what a longer rule must gain.
@@ -82,6 +88,28 @@ def running_text(text: str, menu: frozenset[str]) -> list[list[str]]:
     return [w for s in lower for part in _SENTENCES(s) if (w := _WORDS(part))]
 
 
+def stem(word: str) -> str:
+    """The first letters of a lower-case word, in Latin script."""
+    return word[: STEM + 2].translate(ROMAN)[:STEM]
+
+
+class _Known(dict):
+    """Words and their stem if some rule has it, else None. Emptied when full: a table of results only."""
+
+    def __init__(self, stems: frozenset[str]) -> None:
+        super().__init__()
+        self.stems = stems
+
+    def __missing__(self, word: str) -> str | None:
+        s = stem(word)
+        value = s if s in self.stems else None
+        if len(word) <= 40:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = value
+        return value
+
+
 @dataclass
 class Model:
     """Rules by their sets of stems: subject and evidence; the boilerplate lines; the calibrated share."""
@@ -96,16 +124,22 @@ class Model:
         self.stems = frozenset(s for r in self.rules for s in r)
         self.longest = max((len(r) for r in self.rules), default=1)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+
     def shares(self, text: str | None) -> dict[str, float]:
         """Each subject's share of the running text; empty for a text without any."""
         if not text:
             return {}
         found: dict[str, int] = defaultdict(int)
         total = 0
-        rules, stems = self.rules, self.stems
+        rules = self.rules
+        known_stem = self.__dict__.get("_known")
+        if known_stem is None:
+            known_stem = self._known = _Known(self.stems)
         for words in running_text(text, self.menu):
             total += len(words)
-            known = sorted({s for w in words if (s := w[:STEM]) in stems})
+            known = sorted({s for w in words if (s := known_stem[w]) is not None})
             if not known:
                 continue
             evidence: dict[str, float] = defaultdict(float)
@@ -150,7 +184,7 @@ def _transactions(labelled: DataFrame, menu: frozenset[str]) -> DataFrame:
                 for label, text in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
                     for words in running_text(text, menu) if text else ():
                         subject.append(label)
-                        stems.append(sorted({w[:STEM] for w in words}))
+                        stems.append(sorted({stem(w) for w in words}))
                 if subject:
                     yield pa.RecordBatch.from_arrays([pa.array(subject, pa.string()), pa.array(stems, pa.list_(pa.string()))], ["subject", "stems"])
 
