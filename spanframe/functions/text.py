@@ -59,8 +59,11 @@ def is_kazakh(c: Column | str) -> Column:
 
 
 def folded_words(c: Column | str) -> Column:
-    r"""Words (``\w+``) of the case-folded text; of the full case folding only ``ß`` differs from lower case here."""
-    return F.regexp_extract_all(F.replace(F.lower(col(c)), F.lit("ß"), F.lit("ss")), F.lit(r"(?U)\w+"), F.lit(0))
+    """Words of the case-folded NFC text; of the full case folding only ``ß`` differs from lower case in these scripts.
+
+    Java's ``\\w`` would count combining marks and other connectors as well: letters, numbers and ``_`` are meant.
+    """
+    return F.regexp_extract_all(F.replace(F.lower(nfc(c)), F.lit("ß"), F.lit("ss")), F.lit(WORD_PATTERN), F.lit(0))
 
 
 def word_count(c: Column | str) -> Column:

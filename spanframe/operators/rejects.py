@@ -36,7 +36,9 @@ CONTRACT_RULES = (
     Rule("pred", "pred", 6, r"(?U)O|[BI]-[^\s\x1C-\x1F]+"),
     Rule("truncated", "truncated", 7, r"[01]?"),
 )
-QUOTING, FIELD_COUNT = 1, 2
+#: Faults of the line as a whole come as one cell of this name, whose value is the fault.
+LINE = "<line>"
+LINE_RULES = (Rule(LINE, "quoting", 1, "field_count"), Rule(LINE, "field_count", 2, "quoting"))
 CONTRACT_TYPES = {"sentence_id": "bigint", "word_idx": "int", "word": "string", "gold": "string", "pred": "string", "truncated": "boolean"}
 
 #: Marks used inside :func:`split_cells`: U+0001 and a letter; U+0001 in the data is escaped, so they can't collide.
@@ -95,10 +97,14 @@ def parsed_lines(lines: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def cells(parsed: DataFrame) -> DataFrame:
-    """One row per cell of the lines with as many fields as the header: ``line_id, column, value``."""
-    whole = parsed.filter(F.col("quoting_ok") & (F.size("cells") == F.size("header")))
-    zipped = F.arrays_zip(F.col("header").alias("column"), F.col("cells").alias("value"))
-    return whole.select("line_id", F.explode(zipped).alias("cell")).select("line_id", F.col("cell.column").alias("column"), F.col("cell.value").alias("value"))
+    """One row per cell: ``line_id, column, value``; a line with a fault of its own gives the one cell that names it."""
+    zipped = F.transform(F.arrays_zip(F.col("header").alias("c"), F.col("cells").alias("v")), lambda x: F.struct(x["c"].alias("column"), x["v"].alias("value")))
+
+    def fault(reason: str) -> Column:
+        return F.array(F.struct(F.lit(LINE).alias("column"), F.lit(reason).alias("value")))
+
+    each = F.when(~F.col("quoting_ok"), fault("quoting")).when(F.col("header").isNull() | (F.size("cells") != F.size("header")), fault("field_count")).otherwise(zipped)
+    return parsed.select("line_id", F.explode(each).alias("cell")).select("line_id", F.col("cell.column").alias("column"), F.col("cell.value").alias("value"))
 
 
 def rule_table(parsed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -107,19 +113,14 @@ def rule_table(parsed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def violations(parsed: DataFrame, rules: tuple[Rule, ...] = CONTRACT_RULES) -> DataFrame:
-    """``line_id, priority, reason`` of everything that is wrong; a line may have several."""
-    structural = parsed.select(
-        "line_id",
-        F.when(~F.col("quoting_ok"), F.struct(F.lit(QUOTING).alias("priority"), F.lit("quoting").alias("reason")))
-        .when(F.col("header").isNull() | (F.size("cells") != F.size("header")), F.struct(F.lit(FIELD_COUNT).alias("priority"), F.lit("field_count").alias("reason")))
-        .alias("v"),
-    ).filter("v is not null")
+    """``line_id, priority`` of everything that is wrong; a line may have several."""
+    rules = LINE_RULES + rules
     # one literal per distinct pattern: each is compiled once, not per row
     holds = F.lit(None).cast("boolean")
     for pattern in dict.fromkeys(r.pattern for r in rules):
         holds = F.when(F.col("pattern") == pattern, F.col("value").rlike(f"^(?:{pattern})\\z")).otherwise(holds)
-    wrong = cells(parsed).join(F.broadcast(rule_table(parsed, rules)), "column").filter(~holds)
-    return structural.select("line_id", "v.priority", "v.reason").unionByName(wrong.select("line_id", "priority", "reason"))
+    judged = cells(parsed).join(F.broadcast(rule_table(parsed, rules)), "column")
+    return judged.filter(~holds).select("line_id", "priority")
 
 
 def faulty_lines(lines: DataFrame, rules: tuple[Rule, ...] = CONTRACT_RULES) -> DataFrame:
@@ -129,8 +130,11 @@ def faulty_lines(lines: DataFrame, rules: tuple[Rule, ...] = CONTRACT_RULES) ->
     header has the reason ``field_count``. Only violations are shuffled, pre-aggregated by line. An empty table gives no
     rows; a repeated ``line_id`` gives one row.
     """
-    found = violations(parsed_lines(lines), rules).groupBy("line_id").agg(F.min(F.struct("priority", "reason")).alias("v"))
-    return found.select("line_id", F.col("v.reason").alias("reason"))
+    first = violations(parsed_lines(lines), rules).groupBy("line_id").agg(F.min("priority").alias("priority"))
+    reason = F.lit(None).cast("string")
+    for rule in LINE_RULES + rules:
+        reason = F.when(F.col("priority") == rule.priority, rule.reason).otherwise(reason)
+    return first.select("line_id", reason.alias("reason"))
 
 
 def clean_rows(lines: DataFrame, rules: tuple[Rule, ...] = CONTRACT_RULES, types: dict[str, str] | None = None) -> DataFrame:
