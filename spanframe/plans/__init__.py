@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CORE_MODULES = ("rejects", "spans", "curation")
+CORE_MODULES = ("rejects", "spans", "curation", "tokens")
 
 
 def load(modules: tuple[str, ...]) -> None:
