@@ -34,7 +34,7 @@ def piece_bin(pieces: Column | str) -> Column:
 
 
 def frequency_bin(freq: Column | str) -> Column:
-    return F.when(col(freq) == 0, "0 (unseen)").when(col(freq) < 5, "1-4").otherwise("5+")
+    return F.when(col(freq) == 0, "unseen").when(col(freq) < 5, "1-4").otherwise("5+")
 
 
 def fertility_bin(mean_pieces: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CORE_MODULES = ("rejects", "spans", "curation", "tokens")
+CORE_MODULES = ("rejects", "spans", "curation", "tokens", "runs")
 
 
 def load(modules: tuple[str, ...]) -> None:

@@ -105,7 +105,7 @@ def piece_usage(spark, sf_dir):
 _FREQ = "freq AS (SELECT word, count(*) AS freq FROM words WHERE split = 'train' GROUP BY word)"
 _WORD_TABLE = f"""{WORDS}, {_FREQ}, word_table AS (
   SELECT w.sentence_id, w.word_idx, w.word, w.gold, p.n_pieces AS pieces, p.unk, length(w.word)::INT AS chars, coalesce(f.freq, 0) AS freq, CASE WHEN gold = 'O' THEN '' ELSE substr(w.gold, 3) END AS etype,
-    w.gold <> 'O' AS is_entity, w.gold LIKE 'B-%' AS is_begin, CASE WHEN p.n_pieces >= 5 THEN '5+' ELSE p.n_pieces::VARCHAR END AS piece_bin, CASE WHEN f.freq IS NULL THEN '0 (unseen)' WHEN f.freq < 5 THEN '1-4' ELSE '5+' END AS freq_bin
+    w.gold <> 'O' AS is_entity, w.gold LIKE 'B-%' AS is_begin, CASE WHEN p.n_pieces >= 5 THEN '5+' ELSE p.n_pieces::VARCHAR END AS piece_bin, CASE WHEN f.freq IS NULL THEN 'unseen' WHEN f.freq < 5 THEN '1-4' ELSE '5+' END AS freq_bin
   FROM words w JOIN pieces p USING (word) LEFT JOIN freq f USING (word) WHERE w.split = 'test'
 )"""
 

@@ -1,0 +1,45 @@
+"""Percentile intervals, bootstrap p-values, step-down correction and the exact sign-flip test."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Seeds up to which all sign patterns are tried.
+MOST_SEEDS = 16
+TOLERANCE = 1e-12
+
+
+def interval(value: Column | str, level: float = 0.95) -> tuple[Column, Column]:
+    """The percentile interval of an aggregate, with linear interpolation; nulls and NaN are left out."""
+    c = F.nanvl(F.col(value) if isinstance(value, str) else value, F.lit(None).cast("double"))
+    tail = (1 - level) / 2
+    return F.percentile(c, tail), F.percentile(c, 1 - tail)
+
+
+def two_sided_p(delta: Column | str) -> Column:
+    """The two-sided bootstrap p-value of an aggregate of replicates; never 0."""
+    c = F.col(delta) if isinstance(delta, str) else delta
+    n = F.count(c)
+    return F.least(F.lit(1.0), 2 * F.least((1 + F.count_if(c <= 0)) / (1 + n), (1 + F.count_if(c >= 0)) / (1 + n)))
+
+
+def holm(df: DataFrame, p: str, order: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` with ``p_holm``: the step-down correction within each group of ``by``; ties by ``order``. One row per hypothesis."""
+    keys = [F.col(c) for c in by] if by else [F.lit(0)]
+    ranked = Window.partitionBy(*keys).orderBy(p, order)
+    m = F.count("*").over(Window.partitionBy(*keys))
+    scaled = df.withColumn("_s", F.least(F.lit(1.0), (m - F.row_number().over(ranked) + 1) * F.col(p)))
+    return scaled.withColumn("p_holm", F.max("_s").over(ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_s")
+
+
+def sign_flip(differences: DataFrame, value: str, by: list[str], order: str) -> DataFrame:
+    """``*by, k, p``: the exact two-sided sign-flip test of each group's differences (at most 16): the share of sign patterns whose mean is as large."""
+    collected = differences.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("d")))), lambda x: x["d"]).alias("d"))
+    k = F.size("d")
+    checked = collected.withColumn("k", F.when(k > MOST_SEEDS, F.raise_error(F.lit(f"the exact test takes at most {MOST_SEEDS} differences"))).otherwise(k).cast("int"))
+    patterns = F.sequence(F.lit(0), F.expr("int(shiftleft(1, k)) - 1"))
+    sums = F.transform(patterns, lambda m: F.aggregate(F.transform("d", lambda d, i: d * (1 - 2 * F.call_function("getbit", m, i))), F.lit(0.0), lambda a, b: a + b))
+    observed = F.abs(F.aggregate("d", F.lit(0.0), lambda a, b: a + b))
+    scored = checked.withColumn("_o", observed).withColumn("_s", sums)
+    return scored.select(*by, "k", (F.size(F.filter("_s", lambda s: F.abs(s) >= F.col("_o") - TOLERANCE)) / F.size("_s")).alias("p"))
