@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -52,40 +52,36 @@ MENU_LEAST, MENU_SHARE, MENU_CHARS = 5, 1 / 500, 120
 QUOTES = ("«", ">", "“", "„", '"')
 _SENTENCES = re.compile(r"[.!?…]+(?:\s+|$)").split
 _WORDS = re.compile(r"\w+").findall
-_CYRILLIC = re.compile("[а-яёәғқңөұүһі]").findall
 _KAZAKH = re.compile("[әғқңөұүһі]").findall
-_LATIN = re.compile("[a-zçğıöşü]").findall
-_TURKISH = re.compile("[çğışöü]").findall
+
 
 
 def language(line: str) -> str:
-    """A coarse language of a lower-case line by its letters: ``kk``, ``ru``, ``tr``, ``en`` or empty.
+    """A coarse language of a lower-case line by its letters: ``kk``, ``ru``, ``tr`` or ``en``.
 
-    Names with Kazakh letters stand in Russian lines too, and loan words in Turkish ones: the share decides.
+    Letters outside ASCII are counted from the encoded length. Names with Kazakh letters stand in Russian lines too, and
+    single letters beyond ASCII in English ones: the share decides.
     """
-    cyrillic, latin = len(_CYRILLIC(line)), len(_LATIN(line))
-    if cyrillic >= latin and cyrillic:
-        return "kk" if len(_KAZAKH(line)) >= 0.09 * cyrillic else "ru"
-    if latin:
-        return "tr" if len(_TURKISH(line)) >= 0.03 * latin else "en"
-    return ""
+    beyond = len(line.encode("utf-8", "surrogatepass")) - len(line)
+    if beyond * 10 >= len(line) * 4:
+        return "kk" if len(_KAZAKH(line)) >= 0.09 * beyond else "ru"
+    return "tr" if beyond >= 0.025 * len(line) else "en"
 
 
 def running_text(text: str, menu: frozenset[str]) -> list[list[str]]:
-    """The sentences, as words, of what counts in a text."""
-    lines = [s for line in text.split("\n") if (s := line.strip()) and s not in menu and not s.startswith(QUOTES)]
-    lower = [normal(s) for s in lines]
-    if len(lower) > 1:
+    """The sentences, as words, of what counts in a text; ``menu`` holds lines in normal form."""
+    lines = [s for line in normal(text).split("\n") if (s := line.strip()) and s not in menu and not s.startswith(QUOTES)]
+    if len(lines) > 1:
         # a line in another language than most of the text is a quotation; short lines are too short to tell
-        tongue = [language(s) if len(s) >= 25 else "" for s in lower]
-        weight: Counter = Counter()
-        for t, s in zip(tongue, lower, strict=True):
+        tongue = [language(s) if len(s) >= 25 else "" for s in lines]
+        weight: dict[str, int] = {}
+        for t, s in zip(tongue, lines, strict=True):
             if t:
-                weight[t] += len(s)
+                weight[t] = weight.get(t, 0) + len(s)
         if len(weight) > 1:
             main = max(weight, key=lambda t: (weight[t], t))
-            lower = [s for t, s in zip(tongue, lower, strict=True) if t in ("", main)]
-    return [w for s in lower for part in _SENTENCES(s) if (w := _WORDS(part))]
+            lines = [s for t, s in zip(tongue, lines, strict=True) if t in ("", main)]
+    return [w for s in lines for part in _SENTENCES(s) if (w := _WORDS(part))]
 
 
 def stem(word: str) -> str:
@@ -165,7 +161,7 @@ def menu_lines(docs: DataFrame, text: str = "text") -> frozenset[str]:
     lines = lines.select(F.trim(F.regexp_replace("line", r"^(?U)\s+|(?U)\s+$", "")).alias("line")).filter("line <> ''")
     counted = lines.groupBy("line").count()
     least = max(MENU_LEAST, math.ceil(docs.count() * MENU_SHARE))
-    return frozenset(r[0] for r in counted.filter(F.col("count") >= least).select("line").collect())
+    return frozenset(normal(r[0]).strip() for r in counted.filter(F.col("count") >= least).select("line").collect())
 
 
 def label_sets(labels: DataFrame, limit: int = LABELLED_LIMIT) -> DataFrame:
