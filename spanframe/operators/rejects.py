@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 SALTS = 32
 
 
+class FormatError(ValueError):
+    """A file isn't in the format it should have; the message names the place."""
+
+
 @dataclass(frozen=True)
 class Rule:
     """``pattern`` must match the whole value of ``column``; ``priority`` orders the reasons of a line."""
@@ -142,12 +146,16 @@ def clean_rows(lines: DataFrame, rules: tuple[Rule, ...] = CONTRACT_RULES, types
 
     A missing or empty ``truncated`` is false; whole numbers beyond the type's range give null. Repeated lines stay.
     """
-    types = types or CONTRACT_TYPES
     parsed = parsed_lines(lines)
     bad = violations(parsed, rules).select("line_id").distinct()
-    good = parsed.join(bad, "line_id", "left_anti")
+    return typed_rows(parsed.join(bad, "line_id", "left_anti"), types)
+
+
+def typed_rows(parsed: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+    """Cells of parsed lines as typed columns, by the names of their header."""
+    types = types or CONTRACT_TYPES
     by_name = F.map_from_arrays("header", "cells")
-    out = good.filter(F.size(F.array_distinct("header")) == F.size("header")).select("line_id", "file_name", by_name.alias("m"))
+    out = parsed.filter(F.size(F.array_distinct("header")) == F.size("header")).select("line_id", "file_name", by_name.alias("m"))
     value = {c: F.try_element_at("m", F.lit(c)) for c in types}
     typed = [F.coalesce(value[c] == "1", F.lit(False)).alias(c) if t == "boolean" else value[c].try_cast(t).alias(c) for c, t in types.items()]
     return out.select("line_id", "file_name", *typed)
