@@ -61,13 +61,12 @@ def quoting_ok(body: Column) -> Column:
     touch the neighbouring fields by commas; the number of quotes must be even.
     """
     pieces = F.split(body, '"')
-    last = F.size(pieces) - 1
-    fine = F.forall(
-        F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
-        lambda x: (x["i"] % 2 == 1)
-        | (((x["i"] == 0) | x["p"].startswith(",") | ((x["p"] == "") & (x["i"] > 0))) & ((x["i"] == last) | x["p"].endswith(",") | (x["p"] == ""))),
-    )
-    return (last == 0) | ((last % 2 == 0) & fine)
+    count = F.size(pieces)
+    first, last = F.element_at(pieces, 1), F.element_at(pieces, -1)
+    # the array is named once per lambda, never inside: each piece is looked at once
+    middle = F.transform(F.slice(pieces, F.lit(2), F.greatest(count - 2, F.lit(0))), lambda p, i: (i % 2 == 0) | (p == "") | (p.startswith(",") & p.endswith(",")))
+    ends = ((first == "") | first.endswith(",")) & ((last == "") | last.startswith(","))
+    return (count == 1) | ((count % 2 == 1) & ends & F.forall(middle, lambda x: x))
 
 
 def split_cells(body: Column) -> Column:
