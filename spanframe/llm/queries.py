@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from spanframe.llm import bpe, chunks, ngrams, overlap, sample, subjects, tiling
+from spanframe.operators.splits import sentence_splits
 from spanframe.plans.registry import Registry
 from spanframe.session import table
 
@@ -115,7 +116,7 @@ shared AS (
 
 def _p3_pairs(spark, sf_dir):
     predictions, sentences = table(spark, sf_dir, "predictions"), table(spark, sf_dir, "sentences")
-    splits = overlap.sentence_splits(sentences)
+    splits = sentence_splits(sentences)
     words = overlap.sentence_words(predictions).join(splits, "sentence_id")
     return overlap.cross_split_pairs(words.select(F.col("sentence_id").alias("id"), "split", "words")), splits
 

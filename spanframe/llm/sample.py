@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanframe.llm.overlap import normal_split
+from spanframe.operators.splits import normal_split
 
 BITS = 20
 BUCKETS = 1 << BITS
