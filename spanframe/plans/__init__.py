@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CORE_MODULES = ("rejects", "spans", "curation", "tokens", "runs")
+CORE_MODULES = ("rejects", "spans", "curation", "tokens", "runs", "general")
 
 
 def load(modules: tuple[str, ...]) -> None:
