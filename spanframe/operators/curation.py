@@ -15,8 +15,10 @@ INDEX_WORDS = 6
 
 def document_lines(docs: DataFrame, order: list[str], doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, line_no, line``, then the ``order`` columns: normalised lines that aren't blank, in an explicit order."""
-    rows = docs.select(doc_id, *(c for c in order if c != doc_id), F.posexplode(X.split_lines("text")).alias("line_no", "raw"))
-    return rows.withColumn("line", X.normalize_line("raw")).drop("raw").filter("line <> ''")
+    # NFC once per text: no separator composes with what follows
+    texts = docs.select(doc_id, *(c for c in order if c != doc_id), X.nfc("text").alias("text"))
+    rows = texts.select("*", F.posexplode(X.split_lines("text")).alias("line_no", "raw"))
+    return rows.withColumn("line", X.squeeze("raw")).drop("raw", "text").filter("line <> ''")
 
 
 def line_rule(line: Column | str, script: Column | None = None) -> Column:
@@ -54,15 +56,14 @@ def staged_lines(lines: DataFrame, order: list[str], index: DataFrame | None = N
     makes the others duplicates.
     """
     ruled = lines.withColumn("rule", line_rule("line", script))
-    candidates = ruled.filter("rule is null")
     # the first of equal lines by a partial minimum: no group of copies is ever collected or sorted
-    first = candidates.groupBy("line").agg(F.min(F.struct(*order)).alias("first"))
-    judged = candidates.join(first, "line").withColumn("rule", F.when(F.struct(*order) != F.col("first"), F.lit("duplicate"))).drop("first")
-    if index is None:
-        return ruled.filter("rule is not null").unionByName(judged).withColumn("stage", F.coalesce("rule", F.lit("kept"))).drop("rule")
-    bad = containing(first.select("line"), index, ["line"], "line", index_text).withColumn("hit", F.lit(True))
-    judged = judged.join(bad, "line", "left").withColumn("rule", F.coalesce("rule", F.when(F.col("hit"), F.lit("contaminated")))).drop("hit")
-    return ruled.filter("rule is not null").unionByName(judged).withColumn("stage", F.coalesce("rule", F.lit("kept"))).drop("rule")
+    first = ruled.filter("rule is null").groupBy("line").agg(F.min(F.struct(*order)).alias("first"))
+    judged = first.select("first.*", F.lit("kept").alias("_judged"))
+    if index is not None:
+        bad = containing(first.select("first", "line"), index, ["first"], "line", index_text).select("first.*", F.lit("contaminated").alias("_bad"))
+        judged = judged.join(bad, order, "left").select(*order, F.coalesce("_bad", "_judged").alias("_judged"))
+    # joined back on the lines' places, which are unique and short, not on the lines
+    return ruled.join(judged, order, "left").withColumn("stage", F.coalesce("rule", "_judged", F.lit("duplicate"))).drop("rule", "_judged")
 
 
 def prefix_sums(df: DataFrame, value: str, order: list[str], out: str, partitions: int | None = None) -> DataFrame:

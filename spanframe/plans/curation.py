@@ -83,7 +83,7 @@ def corpus_stop_rule(spark, sf_dir):
 
 @CORE.register("script_share", r"""SELECT doc_id, round(length(regexp_replace(text, '[^\x{0400}-\x{0481}\x{048A}-\x{04FF}]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 0), 9) AS share FROM documents""")
 def script_share(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.script_share("text", r"Ѐ-ӿ"), 9).alias("share"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.script_share("text", X.CYRILLIC), 9).alias("share"))
 
 
 @CORE.register("row_group_docs", "SELECT file_name, row_group, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ALL")

@@ -12,7 +12,7 @@ from spanframe.plans import sql
 from spanframe.plans.registry import CORE
 from spanframe.plans.spans import words
 from spanframe.plans.tokens import WORDS, hits_of, split_words, word_table_of
-from spanframe.session import table
+from spanframe.session import checkpointed, table
 from spanframe.stats import bootstrap, logistic
 from spanframe.stats import tests as T
 
@@ -173,7 +173,7 @@ def bootstrap_poisson(spark, sf_dir):
 @CORE.register("bootstrap_mean_f1")
 def bootstrap_mean_f1(spark, sf_dir):
     """Seeded bootstrap interval of the mean F1 of all runs over the test sentences, by method."""
-    counts = _arm_counts(spark, sf_dir)
+    counts = checkpointed(_arm_counts(spark, sf_dir))
     rows = []
     for method in [r[0] for r in counts.select("method").distinct().orderBy("method").collect()]:
         cube = bootstrap.cube(counts.filter(F.col("method") == method))
@@ -186,7 +186,8 @@ def compare_bootstrap(spark, sf_dir):
     """Paired recall comparison of the two halves of the runs, with differences in differences."""
     from spanframe.functions import tags
 
-    hits = hits_of(spark, sf_dir).withColumn("subsets", tags.subset_names(F.col("seen"), F.col("mean_pieces"), F.col("has_unk")))
+    # read several times: made once
+    hits = checkpointed(hits_of(spark, sf_dir).select("run_id", "sentence_id", "hit", tags.subset_names(F.col("seen"), F.col("mean_pieces"), F.col("has_unk")).alias("subsets")))
     runs = [r[0] for r in hits.select("run_id").distinct().orderBy("run_id").collect()]
     subsets = [r[0] for r in hits.select(F.explode("subsets").alias("s")).distinct().orderBy("s").collect()]
     half = len(runs) // 2
