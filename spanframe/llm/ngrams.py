@@ -40,7 +40,8 @@ def suffixes(tokens: DataFrame, max_n: int, block: int = RECORD_BLOCK) -> DataFr
     """
     known = tokens.filter("record is not null and pos is not null and term is not null and term <> ''").select("record", "pos", "term")
     if max_n == 1:
-        return known.distinct().groupBy("record", "term").agg(F.count("*").alias("n")).select("record", F.array("term").alias("suffix"), "n")
+        # one shuffle for both: rows of a record and term lie together, a record of many terms is spread
+        return known.repartition("record", "term").distinct().groupBy("record", "term").agg(F.count("*").alias("n")).select("record", F.array("term").alias("suffix"), "n")
     one = known.groupBy("record", "pos").agg(F.min("term").alias("term"))
     own = F.floor(F.col("pos") / block)
     also_before = (F.col("pos") % block < max_n - 1) & (own > 0)
@@ -143,5 +144,5 @@ def mark(records: Column, total: int, rare_below: int = 3, common_share: int = 2
 
 def prediction_tokens(predictions: DataFrame) -> DataFrame:
     """``record, pos, term`` of a prediction table: the words of all runs in their normal form."""
-    words = predictions.filter("sentence_id is not null and word_idx is not null and word is not null").select("sentence_id", "word_idx", "word").distinct()
+    words = predictions.filter("sentence_id is not null and word_idx is not null and word is not null")
     return words.select(F.col("sentence_id").alias("record"), F.col("word_idx").alias("pos"), normal_term("word").alias("term"))
