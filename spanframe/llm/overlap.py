@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions.text import match_words
+from spanframe.session import checkpointed
 
 #: Words whose frequency decides the order; all others come first, by code point. Any order gives the same result.
 ORDERED_WORDS = 20_000
@@ -27,13 +28,16 @@ _SUFFIX = "head string, key binary, size int, in_train boolean, in_eval boolean"
 
 
 def sentence_words(predictions: DataFrame) -> DataFrame:
-    """``sentence_id, words``: the match words of each sentence, repeats kept, in no useful order.
+    """``sentence_id, words``: the match words of each sentence in order, repeats kept.
 
-    Runs write a word differently only in ways that match words ignore; the least spelling of a position is taken.
+    Runs write a word differently only in ways that match words ignore; else the least of a position's match words are taken.
     """
-    one = predictions.filter("word is not null and sentence_id is not null").groupBy("sentence_id", "word_idx").agg(F.min("word").alias("word"))
-    found = one.select("sentence_id", match_words("word").alias("w"))
-    return found.groupBy("sentence_id").agg(F.flatten(F.collect_list("w")).alias("words"))
+    words = predictions.filter("word is not null and sentence_id is not null").select("sentence_id", "word_idx", match_words("word").alias("w"))
+    # equal spellings of a position collapse in the set; one shuffle by sentence serves all
+    ordered = words.groupBy("sentence_id").agg(F.array_sort(F.collect_set(F.struct("word_idx", "w"))).alias("x"))
+    before = F.concat(F.array(F.lit(None).cast("struct<word_idx:int,w:array<string>>")), F.slice("x", F.lit(1), F.size("x") - 1))
+    pairs = F.filter(F.arrays_zip(F.col("x").alias("a"), before.alias("b")), lambda p: ~p["a"]["word_idx"].eqNullSafe(p["b"]["word_idx"]) | p["b"].isNull())
+    return ordered.select("sentence_id", F.flatten(F.transform(pairs, lambda p: p["a"]["w"])).alias("words"))
 
 
 def classes(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +48,8 @@ def classes(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """
     fit = records.filter((F.size("words") >= min_words) & F.col("split").isNotNull() & F.col("id").isNotNull())
     keyed = fit.select("id", (F.col("split") == "train").alias("is_train"), F.array_sort(F.array_distinct("words")).alias("words"))
-    keyed = keyed.withColumn("key", F.unhex(F.md5(F.array_join("words", " "))))
+    # read once for classes and once for members: made once
+    keyed = checkpointed(keyed.withColumn("key", F.unhex(F.md5(F.array_join("words", " ")))))
     grouped = keyed.groupBy("key").agg(F.first("words").alias("words"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
     return grouped.withColumn("size", F.size("words")), keyed.select("key", "id", "is_train")
 
