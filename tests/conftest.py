@@ -10,6 +10,6 @@ from spanframe.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, memory="4g", **{"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4"})
+    session = local_session(4, memory="4g", **{"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4", "spark.sql.maxMetadataStringLength": "2000"})
     yield session
     session.stop()
