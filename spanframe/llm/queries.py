@@ -31,7 +31,18 @@ def p6_token_counts(spark, sf_dir):
     return counts.agg(F.sum("n").alias("tokens"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"))
 
 
-@LLM.register("p7_found")
+_P7_FOUND = r"""
+WITH m AS (
+  SELECT 'd' AS kind, doc_id AS id, lower(nfc_normalize(regexp_replace(text, '[\x{00AD}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]', '', 'g'))) AS t FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'i', item_id, lower(nfc_normalize(regexp_replace(text, '[\x{00AD}\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]', '', 'g'))) FROM eval_items WHERE text IS NOT NULL
+), w AS (SELECT kind, id, regexp_extract_all(t, '[\p{L}\p{N}_]+') AS w FROM m),
+item_grams AS (SELECT DISTINCT id AS item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, least(len(w), 8) AS n, unnest(range(1, len(w) - least(len(w), 8) + 2)) AS i FROM w WHERE kind = 'i' AND len(w) >= 6)),
+doc_grams AS (SELECT id AS doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, unnest([6, 7, 8]) AS n FROM w WHERE kind = 'd') WHERE len(w) >= n))
+SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN item_grams USING (n, g)
+"""
+
+
+@LLM.register("p7_found", _P7_FOUND)
 def p7_found(spark, sf_dir):
     found = tiling.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return tiling.qualifying(found).select("doc_id", "item_id")
