@@ -29,20 +29,20 @@ def line_rule(line: Column | str, script: Column | None = None) -> Column:
 
 
 def word_windows(words: Column, n: int) -> Column:
-    """All windows of ``n`` consecutive words, each joined by spaces; empty for shorter arrays."""
+    """A hash of each window of ``n`` consecutive words; empty for shorter arrays."""
     starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n)))
 
 
 def containing(rows: DataFrame, index: DataFrame, key: list[str], text: str, index_text: str, n: int = INDEX_WORDS) -> DataFrame:
     """The distinct ``key`` of rows whose words contain all words of some indexed text in a row.
 
-    Indexed texts of fewer than ``n`` words are left out. An equi-join on the first ``n`` words of the indexed text against the word windows of the
-    rows proposes pairs, which are verified; there is no product of rows and texts. Only windows that some indexed text begins with are
-    kept before anything is moved: their set is broadcast by Spark if small, else joined by shuffle.
+    Indexed texts of fewer than ``n`` words are left out. An equi-join on the hash of the first ``n`` words of the indexed text against the
+    word windows of the rows proposes pairs, which are verified word by word; there is no product of rows and texts. Spark
+    broadcasts the index where it is small, and else shuffles hashes.
     """
     indexed = index.select(X.folded_words(index_text).alias("iw")).filter(F.size("iw") >= n).distinct()
-    indexed = indexed.withColumn("head", F.array_join(F.slice("iw", 1, n), " "))
+    indexed = indexed.withColumn("head", F.xxhash64(F.slice("iw", 1, n)))
     w = rows.select(*key, X.folded_words(text).alias("w")).filter(F.size("w") >= n)
     windows = w.select(*key, "w", F.posexplode(word_windows(F.col("w"), n)).alias("at", "head"))
     hit = windows.join(indexed, "head").filter(F.slice(F.col("w"), F.col("at") + 1, F.size("iw")) == F.col("iw"))
@@ -109,3 +109,8 @@ def seeded_group_order(groups: DataFrame, seed: int) -> DataFrame:
 def manifest_digest(kept: DataFrame) -> DataFrame:
     """Lines, words and an order-free digest of the kept lines."""
     return kept.agg(F.count("*").alias("lines"), F.sum(X.word_count("line")).alias("words"), F.bit_xor(F.xxhash64("line")).alias("digest"))
+
+
+def write_corpus(kept: DataFrame, path: str, order: list[str]) -> None:
+    """Write the kept lines as text in order; files are ranges of the order, so that their names give the whole order."""
+    kept.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
