@@ -79,12 +79,41 @@ def first_subword_predictions(subwords: DataFrame, words: DataFrame) -> DataFram
     return joined.select("sentence_id", "word_idx", "word", "gold", F.coalesce("pred", F.lit(tags.OUTSIDE)).alias("pred"), F.col("pred").isNull().alias("truncated"))
 
 
-def fingerprints(contract: DataFrame) -> DataFrame:
-    """``run_id, words, digest``: runs over the same words and gold tags have equal digests, in any row order."""
-    row = F.xxhash64("sentence_id", "word_idx", "word", "gold")
+def fingerprints(contract: DataFrame, columns: tuple[str, ...] = ("word", "gold")) -> DataFrame:
+    """``run_id, words, digest``: runs over the same ``columns`` at the same places have equal digests, in any row order."""
+    row = F.xxhash64("sentence_id", "word_idx", *columns)
     return contract.groupBy("run_id").agg(F.count("*").alias("words"), F.bit_xor(row).alias("digest"))
 
 
+def different_sets(contract: DataFrame, columns: tuple[str, ...] = ("word", "gold")) -> DataFrame:
+    """``words, digest, runs``: the distinct test sets of runs that should share one, the most common first; one row if they do."""
+    return fingerprints(contract, columns).groupBy("words", "digest").agg(F.array_sort(F.collect_list("run_id")).alias("runs")).orderBy(F.desc(F.size("runs")), "digest")
+
+
+def require_same_set(contract: DataFrame, columns: tuple[str, ...] = ("word", "gold")) -> None:
+    """An error that names runs whose test set differs from the others'."""
+    found = different_sets(contract, columns).limit(2).collect()
+    if len(found) > 1:
+        raise ValueError(f"runs with another test set: {', '.join(found[1]['runs'][:5])}")
+
+
+def require_common_targets(gold: dict[str, str] | None, pred: dict[str, str] | None) -> None:
+    """Two mappings must end in the same types; of one mapping only, the other side's types are its targets."""
+    if gold is not None and pred is not None and set(gold.values()) - {tags.OUTSIDE} != set(pred.values()) - {tags.OUTSIDE}:
+        raise ValueError("the mappings of gold and predicted labels have different target types")
+
+
+def labelled_positions(aligned: DataFrame, labels: list[str], key: str = "sentence_id") -> DataFrame:
+    """``run_id, sentence_id, word_idx, word, gold, pred``: the positions of aligned rows that carry a label, as contract rows.
+
+    ``aligned``: ``key, label_ids array<int>, pred_ids array<int>``; label -100 marks positions that don't count. This is a trainer's view of a
+    test set: words that were cut off are missing from it, where the contract counts them as ``O``.
+    """
+    names = F.array(*(F.lit(x) for x in labels))
+    each = aligned.select(F.col(key).alias("sentence_id"), F.posexplode(F.arrays_zip(F.col("label_ids").alias("g"), F.col("pred_ids").alias("p"))).alias("word_idx", "x")).filter("x.g <> -100")
+    return each.select(F.lit("trainer").alias("run_id"), "sentence_id", "word_idx", F.lit("").alias("word"), F.element_at(names, F.col("x.g") + 1).alias("gold"), F.element_at(names, F.col("x.p") + 1).alias("pred"))
+
+
 def unmapped_types(contract: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Types of gold or predicted tags that a mapping doesn't list."""
     types = contract.select(F.explode(F.array(tags.tag_type("gold"), tags.tag_type("pred"))).alias("etype")).filter("etype <> ''").distinct()

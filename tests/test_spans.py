@@ -116,3 +116,18 @@ def test_plan_has_one_exchange_before_the_scores(spark, tmp_path):
     df.write.parquet(str(tmp_path / "p"))
     plan = S.matched_spans(C.latest(spark.read.parquet(str(tmp_path / "p"))))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_same_sets_and_trainer_view(spark):
+    df = frame(spark, [(["B-A", "O"], ["B-A", "O"])]).unionByName(frame(spark, [(["B-A", "O"], ["O", "O"])], "s"))
+    C.require_same_set(df)
+    other = df.unionByName(frame(spark, [(["O", "O"], ["O", "O"])], "t"))
+    assert C.different_sets(other).count() == 2 and C.different_sets(other, ("word",)).count() == 1
+    with pytest.raises(ValueError, match="another test set: t"):
+        C.require_same_set(other)
+    C.require_common_targets({"A": "X", "B": "O"}, {"C": "X"})
+    with pytest.raises(ValueError, match="different target types"):
+        C.require_common_targets({"A": "X"}, {"C": "Y"})
+    aligned = spark.createDataFrame([(1, [-100, 1, -100, 0, 2, -100], [0, 1, 0, 0, 0, 0])], "sentence_id long, label_ids array<int>, pred_ids array<int>")
+    micro = S.prf(C.labelled_positions(aligned, ["O", "B-A", "I-B"])).filter("etype = 'micro'").first()
+    assert (micro["support"], micro["n_pred"], micro["n_correct"]) == (2, 1, 1)
