@@ -2,7 +2,7 @@
 
 Each record's text is its distinct words in one global order, rare words first. For two records whose word sets have
 Jaccard similarity t or more, at most d = a(1-t)/t words differ (a: the size of either set). Put in order, the words they share
-have d + 1 gaps among the first d + 2 of them, and d words can't break all: two shared words follow each other in both texts. So the suffixes at
+have d + 1 gaps among the first d + 2 of them (there are as many from t = 3/4 on), and d words can't break all: two shared words follow each other in both texts. So the suffixes at
 the first positions of both texts have a common prefix of two words. The suffixes are cut to that, partitioned by
 it and sorted; a run of equal prefixes that holds both splits reveals candidate pairs. Their shared spans are merged to the exact number of
 shared words and held against t. Nothing is approximate: no pair at or above t is lost, whatever the order of the words.
@@ -126,6 +126,8 @@ def cross_split_pairs(records: DataFrame, num: int = 4, den: int = 5, min_words:
     ``min_words`` words, null ids, splits or words give no pairs; equal rows give one pair; extra columns are ignored; an
     empty table gives none. Every member of a class is paired: the result is as large as the overlap is.
     """
+    if 4 * num < 3 * den:
+        raise ValueError("the search is exact for thresholds of 3/4 and above")
     grouped, members = classes(records, min_words)
     same = grouped.filter("in_train and in_eval").select(F.col("key").alias("train_key"), F.col("key").alias("eval_key"), F.col("size").alias("shared"), F.col("size").alias("united"))
     pairs = class_pairs(grouped, num, den).unionByName(same)

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from spanframe.llm import overlap
 from spanframe.operators.splits import sentence_splits
 
@@ -43,7 +45,9 @@ def test_against_brute_force(spark):
     want = sorted(brute(rows))
     assert len(want) > 30 and found(frame(spark, rows)) == want
     assert found(frame(spark, rows + rows[:50])) == want
-    assert found(frame(spark, rows), num=2, den=3, min_words=3) == sorted(brute(rows, 2, 3, 3))
+    assert found(frame(spark, rows), num=3, den=4, min_words=1) == sorted(brute(rows, 3, 4, 1))
+    with pytest.raises(ValueError, match="3/4"):
+        found(frame(spark, rows), num=2, den=3)
 
 
 def test_hot_class_and_edges(spark):
