@@ -28,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanframe.llm.batches import slices
 from spanframe.llm.words import normal
+from spanframe.session import checkpointed
 
 NONE = "none"
 #: Most labelled documents the rules are fitted on (a bounded sample by hash of the id).
@@ -211,10 +212,15 @@ def mine_rules(transactions: DataFrame) -> dict[tuple[str, ...], tuple[str, floa
     if not leaning:
         return {}
     spark = transactions.sparkSession
-    keep = spark.createDataFrame([(s,) for s in sorted(leaning)], "stem string")
-    rows = transactions.withColumn("row", F.monotonically_increasing_id()).select("row", "subject", F.explode("stems").alias("stem"))
-    kept = rows.join(F.broadcast(keep), "stem").groupBy("row", "subject").agg(F.collect_set("stem").alias("stems"))
-    items = kept.select(F.concat("stems", F.array(F.concat(F.lit("\x00"), "subject"))).alias("items"))
+    keep = spark.sparkContext.broadcast(leaning)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[*own, "\x00" + subject] for subject, stems in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (own := [s for s in stems if s in keep.value])]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["items"])
+
+    items = transactions.select("subject", "stems").mapInArrow(narrowed, "items array<string>")
     mined = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=1.0, numPartitions=spark.sparkContext.defaultParallelism).fit(items)
     counts: dict[tuple[str, ...], dict[str, int]] = defaultdict(dict)
     frequent = mined.freqItemsets.filter((F.size("items") <= LONGEST_RULE + 1) & F.exists("items", lambda x: x.startswith("\x00")) & (F.size("items") > 1))
@@ -236,8 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED_LIMIT) -> Mode
     """The rules and the calibrated share from labelled documents. Without labels the model has no rules."""
     menu = menu_lines(docs)
     chosen = label_sets(labels, limit)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    model = Model(mine_rules(_transactions(labelled, menu)), menu)
+    # bounded by the limit, read several times: the corpus is scanned for it once
+    labelled = checkpointed(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "subjects"))
+    model = Model(mine_rules(checkpointed(_transactions(labelled, menu))), menu)
     if model.rules:
         model.share = calibrate(labelled, model)
     return model
