@@ -10,13 +10,13 @@ from spanframe.functions import tags
 KEY = ["run_id", "sentence_id", "word_idx"]
 
 
-def latest(predictions: DataFrame) -> DataFrame:
+def latest(predictions: DataFrame, place: tuple[str, ...] = ("run_id", "sentence_id")) -> DataFrame:
     """The rows of the last load of each (run, sentence, word); missing tags are ``O``, a missing flag is false.
 
-    One shuffle by (run, sentence) serves this and everything by sentence that follows; a run that holds a third of all
-    rows is spread over its sentences.
+    One shuffle by ``place`` serves this and everything by sentence that follows; a run that holds a third of all rows is
+    spread over its sentences. Place by ``sentence_id`` alone where runs are brought together afterwards.
     """
-    placed = predictions.repartition("run_id", "sentence_id")
+    placed = predictions.repartition(*place)
     last = placed.groupBy(*KEY).agg(F.max_by(F.struct("word", "gold", "pred", "truncated"), "loaded_at").alias("x"))
     return last.select(
         *KEY,

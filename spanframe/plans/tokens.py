@@ -31,7 +31,7 @@ def split_words(spark, sf_dir):
     from spanframe.functions.text import nfc
 
     splits = sp.sentence_splits(table(spark, sf_dir, "sentences")).filter("split is not null").select("sentence_id", "split")
-    clean = C.latest(table(spark, sf_dir, "predictions")).select("sentence_id", "word_idx", F.trim(nfc("word"), F.lit(" \t\xa0")).alias("word"), "gold")
+    clean = C.latest(table(spark, sf_dir, "predictions"), ("sentence_id",)).select("sentence_id", "word_idx", F.trim(nfc("word"), F.lit(" \t\xa0")).alias("word"), "gold")
     one = clean.groupBy("sentence_id", "word_idx").agg(F.min("word").alias("word"), F.min("gold").alias("gold"))
     return one.join(splits, "sentence_id")
 
