@@ -35,8 +35,10 @@ def match_words(c: Column | str) -> Column:
 
 
 def squeeze(c: Column | str) -> Column:
-    """Runs of white space to one space, none at either end."""
-    return F.trim(F.regexp_replace(col(c), f"{SPACE_CLASS}+", " "))
+    """Runs of white space to one space, none at either end. Texts with single plain spaces only aren't rewritten."""
+    c = col(c)
+    odd = SPACE_CLASS.replace("[ ", "[")
+    return F.trim(F.when(c.rlike(f"{odd}|  "), F.regexp_replace(c, f"{SPACE_CLASS}+", " ")).otherwise(c))
 
 
 def normalize_line(c: Column | str) -> Column:
@@ -52,11 +54,15 @@ def split_lines(c: Column | str) -> Column:
     return F.when(c.isNull() | (c == ""), F.array().cast("array<string>")).otherwise(F.when(last == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines))
 
 
+def count_in(c: Column, letters: str) -> Column:
+    """How many characters of ``c`` the class body ``letters`` has: runs are cut out, no array of matches is built."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{letters}]+", ""))
+
+
 def script_share(c: Column | str, letters: str) -> Column:
     """Share of the letters of ``c`` that the character class body ``letters`` has (letters only); null where there are none."""
     c = col(c)
-    total = F.regexp_count(c, F.lit(r"\p{L}"))
-    return F.regexp_count(c, F.lit(f"[{letters}]")) / F.nullif(total, F.lit(0))
+    return count_in(c, letters) / F.nullif(count_in(c, r"\p{L}"), F.lit(0))
 
 
 def is_kazakh(c: Column | str) -> Column:

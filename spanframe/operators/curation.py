@@ -17,13 +17,14 @@ def document_lines(docs: DataFrame, order: list[str], doc_id: str = "doc_id") ->
     """``doc_id, line_no, line``, then the ``order`` columns: normalised lines that aren't blank, in an explicit order."""
     # NFC once per text: no separator composes with what follows
     texts = docs.select(doc_id, *(c for c in order if c != doc_id), X.nfc("text").alias("text"))
-    rows = texts.select("*", F.posexplode(X.split_lines("text")).alias("line_no", "raw"))
-    return rows.withColumn("line", X.squeeze("raw")).drop("raw", "text").filter("line <> ''")
+    # lines leave the generator ready: a filter on them can't repeat their making
+    ready = F.transform(X.split_lines("text"), lambda x: X.squeeze(x))
+    return texts.select(*(c for c in texts.columns if c != "text"), F.posexplode(ready).alias("line_no", "line")).filter("line <> ''")
 
 
-def line_rule(line: Column | str, script: Column | None = None) -> Column:
+def line_rule(line: Column | str, script: Column | None = None, n_words: Column | None = None) -> Column:
     """The first rule by itself that a line fails, null if none: length band, then script."""
-    n = X.word_count(line)
+    n = X.word_count(line) if n_words is None else n_words
     in_script = X.is_kazakh(line) if script is None else script
     return F.when(n < MIN_WORDS, "too_short").when(n > MAX_WORDS, "too_long").when(~in_script, "not_kazakh")
 
@@ -49,20 +50,22 @@ def containing(rows: DataFrame, index: DataFrame, key: list[str], text: str, ind
     return hit.select(*key).distinct()
 
 
-def staged_lines(lines: DataFrame, order: list[str], index: DataFrame | None = None, index_text: str = "text", script: Column | None = None, doc_id: str = "doc_id") -> DataFrame:
-    """``lines`` with ``stage``. ``order`` names the columns that order all lines; the first of equal lines wins.
+def staged_lines(lines: DataFrame, order: list[str], index: DataFrame | None = None, index_text: str = "text", script: Column | None = None) -> DataFrame:
+    """``lines`` with ``n_words`` and ``stage``. ``order`` names the columns that order all lines; the first of equal lines wins.
 
     Only lines that pass the rules by themselves take part in deduplication, and a first copy that is later dropped as contaminated still
-    makes the others duplicates.
+    makes the others duplicates. Equal lines are found by a 128-bit hash: what deduplication moves is hashes and places, not text.
     """
-    ruled = lines.withColumn("rule", line_rule("line", script))
+    ruled = lines.withColumn("n_words", X.word_count("line")).withColumn("rule", line_rule("line", script, F.col("n_words")))
+    candidates = ruled.filter("rule is null")
     # the first of equal lines by a partial minimum: no group of copies is ever collected or sorted
-    first = ruled.filter("rule is null").groupBy("line").agg(F.min(F.struct(*order)).alias("first"))
+    hashes = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.reverse("line")).alias("g")]
+    first = candidates.select(*hashes, *order).groupBy("h", "g").agg(F.min(F.struct(*order)).alias("first"))
     judged = first.select("first.*", F.lit("kept").alias("_judged"))
     if index is not None:
-        bad = containing(first.select("first", "line"), index, ["first"], "line", index_text).select("first.*", F.lit("contaminated").alias("_bad"))
+        bad = containing(candidates, index, order, "line", index_text).withColumn("_bad", F.lit("contaminated"))
         judged = judged.join(bad, order, "left").select(*order, F.coalesce("_bad", "_judged").alias("_judged"))
-    # joined back on the lines' places, which are unique and short, not on the lines
+    # joined back on the lines' places, which are unique and short; text moves only if it is asked for
     return ruled.join(judged, order, "left").withColumn("stage", F.coalesce("rule", "_judged", F.lit("duplicate"))).drop("rule", "_judged")
 
 
@@ -86,15 +89,16 @@ def prefix_sums(df: DataFrame, value: str, order: list[str], out: str, partition
 
 def until_budget(staged: DataFrame, target_words: int, order: list[str]) -> DataFrame:
     """The lines up to the word budget: the kept line that reaches it is the last; lines after it belong to no stage."""
-    counted = staged.withColumn("_words", F.when(F.col("stage") == "kept", X.word_count("line")).otherwise(0).cast("long"))
+    counted = staged.withColumn("_words", F.when(F.col("stage") == "kept", F.col("n_words")).otherwise(0).cast("long"))
     return prefix_sums(counted, "_words", order, "words_before").filter(F.col("words_before") < target_words).drop("_words")
 
 
 def stage_counts(staged: DataFrame) -> DataFrame:
     """``stage, lines, words`` with ``lines`` for all lines together."""
-    counted = staged.groupBy("stage").agg(F.count("*").alias("lines"), F.sum(X.word_count("line")).cast("long").alias("words"))
-    every = staged.agg(F.count("*").alias("lines"), F.coalesce(F.sum(X.word_count("line")), F.lit(0)).cast("long").alias("words")).select(F.lit("lines").alias("stage"), "lines", "words")
-    return counted.unionByName(every)
+    counted = staged.groupBy("stage").agg(F.count("*").alias("lines"), F.sum(F.col("n_words").cast("long")).alias("words"))
+    # all lines together, from the few rows by stage
+    levels = counted.withColumn("stage", F.explode(F.array("stage", F.lit("lines"))))
+    return levels.groupBy("stage").agg(F.sum("lines").alias("lines"), F.sum("words").alias("words"))
 
 
 def seeded_group_order(groups: DataFrame, seed: int) -> DataFrame:

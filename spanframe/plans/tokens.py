@@ -14,7 +14,7 @@ from spanframe.operators import splits as sp
 from spanframe.operators import tables as Tb
 from spanframe.plans import sql
 from spanframe.plans.registry import CORE
-from spanframe.session import table
+from spanframe.session import checkpointed, table
 
 #: One row per sentence and word, any run: spelling without stray blanks.
 _CLEAN = "trim(x.word, ' ' || chr(9) || chr(160))"
@@ -79,7 +79,8 @@ def fertility_by_lang(spark, sf_dir):
       round((SELECT 100 * (sum(n) FILTER (WHERE covered))::DOUBLE / sum(n) FROM w), 8) AS covered_words, round((SELECT 100 * count(*) FILTER (WHERE known)::DOUBLE / count(*) FROM w), 8) AS word_types_in_source""",
 )
 def piece_overlap_splits(spark, sf_dir):
-    w = split_words(spark, sf_dir)
+    # read several times: made once
+    w = checkpointed(split_words(spark, sf_dir).select("split", "word"))
     out = Fe.piece_overlap(w.filter("split = 'train'"), w.filter("split = 'test'"), WP.fixed_width_pieces)
     return out.withColumns({c: F.round(c, 8) for c in ("shared_piece_types", "shared_piece_tokens", "covered_words", "word_types_in_source")})
 
@@ -130,7 +131,7 @@ known AS (SELECT DISTINCT text, etype FROM bounds WHERE split = 'train'), entiti
 
 
 def entities_of(spark, sf_dir):
-    w = split_words(spark, sf_dir)
+    w = checkpointed(split_words(spark, sf_dir))
     return Tb.entity_table(w.filter("split = 'test'"), pieces_of(w), Tb.training_entities(w.filter("split = 'train'"), ["sentence_id"]))
 
 

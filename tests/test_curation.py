@@ -59,7 +59,7 @@ def test_stages(spark):
 
 
 def test_budget(spark):
-    df = lines(spark, [KEPT + f" {i}" for i in range(9)]).withColumn("stage", F.lit("kept"))
+    df = lines(spark, [KEPT + f" {i}" for i in range(9)]).withColumn("stage", F.lit("kept")).withColumn("n_words", F.lit(6))
     assert Q.until_budget(df, 13, ["doc_id", "line_no"]).count() == 3  # six words each
     assert Q.until_budget(df, 12, ["doc_id", "line_no"]).count() == 2
 
