@@ -48,7 +48,7 @@ LONGEST_RULE = 3
 #: Shares tried in calibration; the one used when there are too few labelled documents to calibrate.
 SHARES = tuple(x / 100 for x in range(16, 37, 2))
 DEFAULT_SHARE, CALIBRATION_LEAST = 0.26, 200
-#: A line is boilerplate if at least so many documents, and this share of them, have it.
+#: A line is boilerplate if at least so many distinct texts, and this share of them, have it.
 MENU_LEAST, MENU_SHARE, MENU_CHARS = 5, 1 / 500, 120
 QUOTES = ("«", ">", "“", "„", '"')
 _SENTENCES = re.compile(r"[.!?…]+(?:\s+|$)").split
@@ -157,11 +157,15 @@ class Model:
 
 
 def menu_lines(docs: DataFrame, text: str = "text") -> frozenset[str]:
-    """Lines that recur over the whole corpus. As documents have a bounded number of such lines on average, the list is bounded by 1 / MENU_SHARE times that."""
-    lines = docs.select(F.explode(F.array_distinct(F.split(text, "\n"))).alias("line")).filter(F.length("line") <= MENU_CHARS)
-    lines = lines.select(F.trim(F.regexp_replace("line", r"^(?U)\s+|(?U)\s+$", "")).alias("line")).filter("line <> ''")
-    counted = lines.groupBy("line").count()
-    least = max(MENU_LEAST, math.ceil(docs.count() * MENU_SHARE))
+    """Lines that recur over the distinct texts of the corpus: copies of a text, by its hash, count once, however many ids they have.
+
+    As texts have a bounded number of such lines on average, the list is bounded by 1 / MENU_SHARE times that.
+    """
+    texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), text)
+    lines = texts.select("id", F.explode(F.array_distinct(F.split(text, "\n"))).alias("line")).filter(F.length("line") <= MENU_CHARS)
+    lines = lines.select("id", F.trim(F.regexp_replace("line", r"^(?U)\s+|(?U)\s+$", "")).alias("line")).filter("line <> ''")
+    counted = lines.distinct().groupBy("line").count()
+    least = max(MENU_LEAST, math.ceil(texts.select("id").distinct().count() * MENU_SHARE))
     return frozenset(normal(r[0]).strip() for r in counted.filter(F.col("count") >= least).select("line").collect())
 
 

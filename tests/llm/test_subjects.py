@@ -63,3 +63,14 @@ def test_pruning_keeps_only_surer_rules(spark):
     rules = S.mine_rules(spark.createDataFrame(rows, "subject string, stems array<string>"))
     assert rules[("court",)][0] == "law" and ("court", "x") not in rules
     assert rules[("court", "match")][0] == "law" if ("court", "match") in rules else rules[("court",)][1] > 3
+
+
+def test_copies_of_a_text_are_no_menu(spark):
+    rng = random.Random(3)
+    copied = "Home | News\n" + "\n".join(f"{sentence(rng, 'law')} Paragraph {i}" for i in range(4))
+    rows = [(i, copied) for i in range(40)] + [(100 + i, f"  Home | News\nHome | News\n{sentence(rng, 'sport')} Text {i}") for i in range(80)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert S.menu_lines(docs) == {"home | news"}
+    # a line twice in one text counts once
+    few = spark.createDataFrame([(i, f"  Twice\nTwice\nText {i}") for i in range(4)], "doc_id long, text string")
+    assert S.menu_lines(few) == frozenset()
