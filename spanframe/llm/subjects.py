@@ -5,7 +5,8 @@ no subject are dropped after a first count; parallel FP-growth then finds the fr
 same set without it give a rule; its confidence is taken with the subjects weighted alike, and smoothed. A rule is redundant if a more general one is as sure
 within a margin. Its evidence is the log-odds of its confidence.
 
-A sentence goes to the subject with the most evidence among the rules it matches. Menu lines (lines that recur over the whole corpus),
+A sentence goes to the subject with the most evidence among the rules it matches; one of more than some tens of words, as in texts without
+punctuation, is cut into windows of words that are scored one by one. Menu lines (lines that recur over the whole corpus),
 quotations and lines in another language than the document's are no running text. A document has the subjects whose sentences make up a share of its
 running text; as sentences without any matching rule lower all shares, the share asked for is calibrated on labelled documents.
 """
@@ -50,6 +51,8 @@ SHARES = tuple(x / 100 for x in range(16, 37, 2))
 DEFAULT_SHARE, CALIBRATION_LEAST = 0.26, 200
 #: A line is boilerplate if at least so many distinct texts, and this share of them, have it.
 MENU_LEAST, MENU_SHARE, MENU_CHARS = 5, 1 / 500, 120
+#: Most words of a unit: longer runs without sentence ends are cut into even windows of words.
+LONGEST_UNIT = 30
 QUOTES = ("«", ">", "“", "„", '"')
 _SENTENCES = re.compile(r"[.!?…]+(?:\s+|$)").split
 _WORDS = re.compile(r"\w+").findall
@@ -70,7 +73,7 @@ def language(line: str) -> str:
 
 
 def running_text(text: str, menu: frozenset[str]) -> list[list[str]]:
-    """The sentences, as words, of what counts in a text; ``menu`` holds lines in normal form."""
+    """The units, as words, of what counts in a text: sentences, and consecutive windows of longer ones. ``menu`` holds lines in normal form."""
     lines = [s for line in normal(text).split("\n") if (s := line.strip()) and s not in menu and not s.startswith(QUOTES)]
     if len(lines) > 1:
         # a line in another language than most of the text is a quotation; short lines are too short to tell
@@ -82,7 +85,13 @@ def running_text(text: str, menu: frozenset[str]) -> list[list[str]]:
         if len(weight) > 1:
             main = max(weight, key=lambda t: (weight[t], t))
             lines = [s for t, s in zip(tongue, lines, strict=True) if t in ("", main)]
-    return [w for s in lines for part in _SENTENCES(s) if (w := _WORDS(part))]
+    return [unit for s in lines for part in _SENTENCES(s) for unit in windows(_WORDS(part))]
+
+
+def windows(words: list[str]) -> list[list[str]]:
+    """Consecutive windows, as even as can be, of at most :data:`LONGEST_UNIT` words that together are ``words``."""
+    n = -(-len(words) // LONGEST_UNIT)
+    return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
 
 
 def stem(word: str) -> str:

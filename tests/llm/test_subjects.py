@@ -74,3 +74,13 @@ def test_copies_of_a_text_are_no_menu(spark):
     # a line twice in one text counts once
     few = spark.createDataFrame([(i, f"  Twice\nTwice\nText {i}") for i in range(4)], "doc_id long, text string")
     assert S.menu_lines(few) == frozenset()
+
+
+def test_long_units_are_scored_in_windows():
+    model = S.Model({("court",): ("law", 2.0), ("match",): ("sport", 2.0)}, frozenset())
+    words = ["court", "house", "river"] * 200 + ["match", "house", "river"] * 200
+    assert model.shares(" ".join(words)) == {"law": 0.5, "sport": 0.5}
+    for n in (1, 30, 31, 59, 61, 1000):
+        units = S.running_text(" ".join(str(i) for i in range(n)), frozenset())
+        assert [w for u in units for w in u] == [str(i) for i in range(n)]
+        assert max(map(len, units)) <= S.LONGEST_UNIT and max(map(len, units)) - min(map(len, units)) <= 1
