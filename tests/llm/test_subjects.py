@@ -84,3 +84,15 @@ def test_long_units_are_scored_in_windows():
         units = S.running_text(" ".join(str(i) for i in range(n)), frozenset())
         assert [w for u in units for w in u] == [str(i) for i in range(n)]
         assert max(map(len, units)) <= S.LONGEST_UNIT and max(map(len, units)) - min(map(len, units)) <= 1
+
+
+def test_only_the_quoted_span_is_dropped():
+    text = lambda s: [w for u in S.running_text(s, frozenset()) for w in u]
+    assert text("«Court sat»; the match went on") == ["the", "match", "went", "on"]
+    assert text('We saw "a court" and “a judge” and „a trial“ there') == ["we", "saw", "and", "and", "there"]
+    assert text("a «b «c» d» e «f» g") == ["a", "e", "g"] and text("a „b “c” d” e") == ["a", "e"]
+    assert text('a 12" screen and a 15" one') == ["a", "12", "screen", "and", "a", "15", "one"] and text("a » b « c") == ["a", "b", "c"]
+    assert text("> cited line") == text("«cited without an end") == text("«cited»") == []
+    model = S.Model({("court",): ("law", 2.0), ("match",): ("sport", 2.0)}, frozenset())
+    assert model.shares("«The court sat»; the match went on") == {"sport": 1.0}
+    assert len(text("«" * 50_000 + "a" + "”»" * 50_000)) == 0
