@@ -148,6 +148,13 @@ def sign_flip(spark, sf_dir):
     return T.sign_flip(first_k(micro, ["method"], "run_id", 10), "d", ["method"], "run_id")
 
 
+@CORE.register("sign_flip_all")
+def sign_flip_all(spark, sf_dir):
+    """Exact sign-flip test of all runs' F1 against 0.9 by method."""
+    micro = _scored(spark, sf_dir).filter("etype = 'micro'").withColumn("d", F.col("f1") - 0.9)
+    return T.sign_flip_split(micro, "d", ["method"], "run_id")
+
+
 @CORE.register(
     "compare_point",
     f"""WITH {_ARMS}, h AS (SELECT method, etype, avg(recall) AS r FROM scored GROUP BY ALL) SELECT b.etype, round(a.r, 8) AS recall_a, round(b.r, 8) AS recall_b, round(b.r - a.r, 8) AS delta FROM h a JOIN h b USING (etype) WHERE a.method = 'lora' AND b.method = 'full'""",
@@ -177,7 +184,7 @@ def bootstrap_mean_f1(spark, sf_dir):
     rows = []
     for method in [r[0] for r in counts.select("method").distinct().orderBy("method").collect()]:
         cube = bootstrap.cube(counts.filter(F.col("method") == method))
-        rows.append((method, float(bootstrap.f1(cube.counts.sum(axis=1)).mean()), *bootstrap.mean_f1(cube.counts, 200, 42)))
+        rows.append((method, float(bootstrap.f1(cube.counts.sum(axis=1)).mean()), *bootstrap.mean_f1(cube.counts, 1000, 42)))
     return spark.createDataFrame(rows, "method string, f1 double, low double, high double")
 
 
@@ -191,7 +198,7 @@ def compare_bootstrap(spark, sf_dir):
     runs = [r[0] for r in hits.select("run_id").distinct().orderBy("run_id").collect()]
     subsets = [r[0] for r in hits.select(F.explode("subsets").alias("s")).distinct().orderBy("s").collect()]
     half = len(runs) // 2
-    found = bootstrap.compare(hits, [bootstrap.Pair("halves", tuple(runs[:half]), tuple(runs[half:]))], subsets, 500, 42, primary=subsets[0], control=subsets[-1])
+    found = bootstrap.compare(hits, [bootstrap.Pair("halves", tuple(runs[:half]), tuple(runs[half:]))], subsets, 10_000, 42, primary=subsets[0], control=subsets[-1])
     rows = [(p, u, v["delta"], v["low"], v["high"], v["p"]) for p, x in found["pairs"].items() for u, v in [*x["subsets"].items(), ("did", x["did"])]]
     return spark.createDataFrame(rows, "pair string, subset string, delta double, low double, high double, p double")
 

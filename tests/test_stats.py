@@ -143,3 +143,34 @@ def test_head_rows():
     assert R.head_rows({"PER": ["PERSON", "CHILD"]}) == [("O", "O"), ("B-PER", "B-PERSON"), ("I-PER", "I-PERSON"), ("B-PER", "B-CHILD"), ("I-PER", "I-CHILD")]
     with pytest.raises(ValueError, match="taken from"):
         R.head_rows({"A": ["X"], "B": ["X"]})
+
+
+def test_sign_flip_of_all_differences(spark):
+    rng = np.random.default_rng(5)
+    cases = {"one": [0.3], "two": [0.1, -0.1], "ten": list(rng.normal(0.1, 0.3, 10)), "ties": [0.1] * 6 + [-0.1] * 5, "most": list(rng.normal(0.1, 0.3, 16))}
+    rows = [(k, i, float(d)) for k, v in cases.items() for i, d in enumerate(v)]
+    found = {r["k0"]: (r["k"], r["p"]) for r in T.sign_flip_split(spark.createDataFrame(rows, "k0 string, i int, d double"), "d", ["k0"], "i").collect()}
+    assert found == {k: (len(v), B.sign_flip_p(v)) for k, v in cases.items()}
+    # more than sixteen: of equal differences only the two patterns of one sign are as large; blocks of the second half
+    assert T.sign_flip_share(np.ones(30)) == 2 / 2**30
+    assert T.sign_flip_share(np.array([1.0] * 41 + [0.0])) == 2 / 2**41
+
+
+def test_runs_and_replicates_are_whole(spark, monkeypatch):
+    from spanframe.plans import runs as R
+
+    micro = spark.createDataFrame([("full", f"r{i:02}", "micro", 0.91) for i in range(24)], "method string, run_id string, etype string, f1 double")
+    monkeypatch.setattr(R, "_scored", lambda *_: micro)
+    assert [tuple(r) for r in R.sign_flip_all(spark, "").collect()] == [("full", 24, 2 / 2**24)]
+
+    counts = spark.createDataFrame([("r1", 1, "full", 1, 1, 1)], "run_id string, sentence_id long, method string, n_correct long, n_pred long, n_gold long")
+    hits = spark.createDataFrame([(r, 1, 1, True, 1.0, False) for r in ("a", "b")], "run_id string, sentence_id long, hit int, seen boolean, mean_pieces double, has_unk boolean")
+    asked = []
+    monkeypatch.setattr(R, "_arm_counts", lambda *_: counts)
+    monkeypatch.setattr(R, "hits_of", lambda *_: hits)
+    monkeypatch.setattr(R, "checkpointed", lambda df: df)
+    monkeypatch.setattr(B, "mean_f1", lambda _, replicates, seed: asked.append(replicates) or (0.0, 1.0))
+    monkeypatch.setattr(B, "compare", lambda _h, _p, _s, replicates, seed, **_: asked.append(replicates) or {"pairs": {}})
+    R.bootstrap_mean_f1(spark, "")
+    R.compare_bootstrap(spark, "")
+    assert asked == [1000, 10_000]
