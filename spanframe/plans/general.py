@@ -16,13 +16,17 @@ from spanframe.session import table
 from spanframe.streaming import incremental
 
 
-def _sentences(spark, sf_dir):
-    """``sentence_id, words, labels, sizes`` of the test sentences, in word order."""
-    w = split_words(spark, sf_dir).filter("split = 'test'")
+def _size(word):
+    """Pieces of four characters of a word."""
+    return F.greatest(F.ceil(F.length(word) / 4), F.lit(1)).cast("int")
+
+
+def _sentences(spark, sf_dir, only="split = 'test'"):
+    """``sentence_id, words, labels, sizes`` of the sentences of ``only``, in word order."""
+    w = split_words(spark, sf_dir).filter(only)
     ordered = F.array_sort(F.collect_list(F.struct("word_idx", "word", "gold")))
     rows = w.groupBy("sentence_id").agg(ordered.alias("w"))
-    size = lambda x: F.greatest(F.ceil(F.length(x["word"]) / 4), F.lit(1)).cast("int")
-    return rows.select("sentence_id", F.transform("w", lambda x: x["word"]).alias("words"), F.transform("w", lambda x: x["gold"]).alias("labels"), F.transform("w", size).alias("sizes"))
+    return rows.select("sentence_id", F.transform("w", lambda x: x["word"]).alias("words"), F.transform("w", lambda x: x["gold"]).alias("labels"), F.transform("w", lambda x: _size(x["word"])).alias("sizes"))
 
 
 @CORE.register(
@@ -48,16 +52,16 @@ def truncated_words(spark, sf_dir):
 
 @CORE.register("chunk_pack")
 def chunk_pack(spark, sf_dir):
-    return A.packed_chunks(_sentences(spark, sf_dir), "sentence_id", "words", "sizes", 16)
+    """Chunks of at most sixteen pieces of all sentences of every split; packing restarts with each sentence."""
+    return A.packed_chunks(_sentences(spark, sf_dir, "true"), "sentence_id", "words", "sizes", 16)
 
 
 @CORE.register("mask_plan")
 def mask_plan(spark, sf_dir):
-    """Masked examples of the test sentences, with numbered stand-ins for pieces."""
-    s = _sentences(spark, sf_dir)
-    ids = F.flatten(F.transform("sizes", lambda n, i: F.array_repeat(i, n)))
-    rows = s.select("sentence_id", ids.alias("word_ids"), F.transform(ids, lambda x: x + 1000).alias("input_ids"))
-    return A.masked_examples(rows, "sentence_id", 103, 5000, 42)
+    """Masked examples of the chunks of all sentences, with numbered stand-ins for pieces. ``chunk_id``: the sentence times 2^20, and the chunk's number in it."""
+    ids = F.flatten(F.transform("words", lambda x, i: F.array_repeat(i, _size(x))))
+    rows = chunk_pack(spark, sf_dir).select((F.col("sentence_id").cast("long") * (1 << 20) + F.col("chunk")).alias("chunk_id"), ids.alias("word_ids"))
+    return A.masked_examples(rows.withColumn("input_ids", F.transform("word_ids", lambda x: x + 1000)), "chunk_id", 103, 5000, 42)
 
 
 @CORE.register("learned_wordpiece_fertility")

@@ -133,3 +133,15 @@ def test_masks(spark):
     df = spark.createDataFrame([(i, [101, *range(5, 25), 102], [None, *range(20), None]) for i in range(6)], "chunk long, input_ids array<int>, word_ids array<int>")
     one, two = (sorted(map(repr, A.masked_examples(d, "chunk", 103, 500, 7).collect())) for d in (df, df.repartition(5)))
     assert one == two
+
+
+def test_chunks_and_masks_cover_all_splits(spark, monkeypatch):
+    from spanframe.plans import general as G
+
+    rows = [(sid, split, i, "abcdefgh", "O") for sid, split in ((1, "train"), (2, "validation"), (3, "test")) for i in range(10)]
+    words = spark.createDataFrame(rows, "sentence_id long, split string, word_idx int, word string, gold string")
+    monkeypatch.setattr(G, "split_words", lambda *_: words)
+    chunks = G.chunk_pack(spark, "").collect()
+    assert sorted((r["sentence_id"], r["chunk"], r["pieces"]) for r in chunks) == [(s, c, n) for s in (1, 2, 3) for c, n in ((0, 16), (1, 4))]
+    masks = {r["chunk_id"]: len(r["input_ids"]) for r in G.mask_plan(spark, "").collect()}
+    assert masks == {(r["sentence_id"] << 20) + r["chunk"]: r["pieces"] for r in chunks}
