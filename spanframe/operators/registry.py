@@ -29,9 +29,9 @@ def config_field(df: DataFrame, key: str) -> Column:
 
 
 def registered(runs: DataFrame) -> DataFrame:
-    """One row per run: the last registration counts."""
+    """One row per run: the last registration counts, of equal or missing times the greatest by its fields."""
     fields = [c for c in runs.columns if c not in ("run_id", "registered_at")]
-    last = runs.groupBy("run_id").agg(F.max_by(F.struct(*fields), "registered_at").alias("x"))
+    last = runs.groupBy("run_id").agg(F.max(F.struct("registered_at", *fields)).alias("x"))
     return last.select("run_id", *(F.col(f"x.{c}") for c in fields))
 
 
@@ -57,10 +57,17 @@ def select_arm(runs: DataFrame, name: str) -> DataFrame:
     return arm
 
 
+def exact_mean(c: Column | str) -> Column:
+    """The mean of values below 10^8, summed as decimals of twelve places: the same in whatever order rows come; null without any value."""
+    value = F.col(c) if isinstance(c, str) else c
+    total, n = F.sum(value.cast("decimal(20,12)")), F.count(value)
+    return (total.cast("decimal(22,12)") / F.nullif(n, F.lit(0)).cast("decimal(10,0)")).cast("double")
+
+
 def aggregate(runs: DataFrame, by: list[str], block: str = "test_contract", metrics: tuple[str, ...] = ("precision", "recall", "f1", "accuracy")) -> DataFrame:
     """Mean and sample sd (null for one run) of the metrics by configuration fields, with number, seeds and runs.
 
-    Seeds and runs are listed in order of seed, then run. ``code_refs`` above 1 means that a group mixes code versions. Groups come by
+    Means are of exact decimals of twelve places, so that they don't depend on the order of rows. Seeds and runs are listed in order of seed, then run. ``code_refs`` above 1 means that a group mixes code versions. Groups come by
     the fields' values as text.
     """
     done = completed(runs)
@@ -68,7 +75,7 @@ def aggregate(runs: DataFrame, by: list[str], block: str = "test_contract", metr
     rows = done.select(*keys, "run_id", F.col("config.seed").alias("_seed"), "code_ref", *(F.col(f"metrics.{block}.{m}").alias(m) for m in metrics))
     members = F.array_sort(F.collect_list(F.struct(F.coalesce("_seed", F.lit(-1)).alias("s"), F.col("run_id").alias("id"))))
     grouped = rows.groupBy(*by).agg(
-        *(F.avg(m).alias(f"{m}_mean") for m in metrics),
+        *(exact_mean(m).alias(f"{m}_mean") for m in metrics),
         *(F.stddev_samp(m).alias(f"{m}_sd") for m in metrics),
         F.count("*").alias("n"),
         F.array_join(F.transform(members, lambda x: x["s"].cast("string")), " ").alias("seeds"),

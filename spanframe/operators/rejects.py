@@ -42,7 +42,7 @@ CONTRACT_RULES = (
 )
 #: Faults of the line as a whole come as one cell of this name, whose value is the fault.
 LINE = "<line>"
-LINE_RULES = (Rule(LINE, "quoting", 1, "field_count"), Rule(LINE, "field_count", 2, "quoting"))
+LINE_RULES = (Rule(LINE, "header", 0, "quoting|field_count"), Rule(LINE, "quoting", 1, "header|field_count"), Rule(LINE, "field_count", 2, "header|quoting"))
 CONTRACT_TYPES = {"sentence_id": "bigint", "word_idx": "int", "word": "string", "gold": "string", "pred": "string", "truncated": "boolean"}
 
 #: Marks used inside :func:`split_cells`: U+0001 and a letter; U+0001 in the data is escaped, so they can't collide.
@@ -99,14 +99,19 @@ def parsed_lines(lines: DataFrame, salts: int = SALTS) -> DataFrame:
     return joined.select("line_id", "file_name", "header", ok.alias("quoting_ok"), F.when(ok, split_cells(F.col("body"))).alias("cells"))
 
 
-def cells(parsed: DataFrame) -> DataFrame:
+def header_broken(header: Column, required: list[str]) -> Column:
+    """True where a header repeats a name or lacks a required one: no line below it can be read by name."""
+    return (F.size(F.array_distinct(header)) != F.size(header)) | (F.size(F.array_except(F.array(*(F.lit(c) for c in required)), header)) > 0)
+
+
+def cells(parsed: DataFrame, required: list[str] | None = None) -> DataFrame:
     """One row per cell: ``line_id, column, value``; a line with a fault of its own gives the one cell that names it."""
     zipped = F.transform(F.arrays_zip(F.col("header").alias("c"), F.col("cells").alias("v")), lambda x: F.struct(x["c"].alias("column"), x["v"].alias("value")))
 
     def fault(reason: str) -> Column:
         return F.array(F.struct(F.lit(LINE).alias("column"), F.lit(reason).alias("value")))
 
-    each = F.when(~F.col("quoting_ok"), fault("quoting")).when(F.col("header").isNull() | (F.size("cells") != F.size("header")), fault("field_count")).otherwise(zipped)
+    each = F.when(header_broken(F.col("header"), required or []), fault("header")).when(~F.col("quoting_ok"), fault("quoting")).when(F.col("header").isNull() | (F.size("cells") != F.size("header")), fault("field_count")).otherwise(zipped)
     return parsed.select("line_id", F.explode(each).alias("cell")).select("line_id", F.col("cell.column").alias("column"), F.col("cell.value").alias("value"))
 
 
@@ -122,7 +127,9 @@ def violations(parsed: DataFrame, rules: tuple[Rule, ...] = CONTRACT_RULES) -> D
     holds = F.lit(None).cast("boolean")
     for pattern in dict.fromkeys(r.pattern for r in rules):
         holds = F.when(F.col("pattern") == pattern, F.col("value").rlike(f"^(?:{pattern})\\z")).otherwise(holds)
-    judged = cells(parsed).join(F.broadcast(rule_table(parsed, rules)), "column")
+    # what must not be empty must be there
+    required = list(dict.fromkeys(r.column for r in rules if r.reason == "empty"))
+    judged = cells(parsed, required).join(F.broadcast(rule_table(parsed, rules)), "column")
     return judged.filter(~holds).select("line_id", "priority")
 
 
@@ -130,7 +137,7 @@ def faulty_lines(lines: DataFrame, rules: tuple[Rule, ...] = CONTRACT_RULES) ->
     """``line_id, reason``: each faulty line once, with the first reason that applies.
 
     Headers, blank lines (null, empty, only spaces or tabs) and repetition are no faults. A line of a file that has no
-    header has the reason ``field_count``. Only violations are shuffled, pre-aggregated by line. An empty table gives no
+    header has the reason ``field_count``, every line below a header that repeats a name or lacks a required one the reason ``header``. Only violations are shuffled, pre-aggregated by line. An empty table gives no
     rows; a repeated ``line_id`` gives one row.
     """
     first = violations(parsed_lines(lines), rules).groupBy("line_id").agg(F.min("priority").alias("priority"))
@@ -151,10 +158,10 @@ def clean_rows(lines: DataFrame, rules: tuple[Rule, ...] = CONTRACT_RULES, types
 
 
 def typed_rows(parsed: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
-    """Cells of parsed lines as typed columns, by the names of their header."""
+    """Cells of parsed lines as typed columns, by the names of their header; of a repeated name the first cell counts."""
     types = types or CONTRACT_TYPES
-    by_name = F.map_from_arrays("header", "cells")
-    out = parsed.filter(F.size(F.array_distinct("header")) == F.size("header")).select("line_id", "file_name", by_name.alias("m"))
-    value = {c: F.try_element_at("m", F.lit(c)) for c in types}
+    out = parsed.select("line_id", "file_name", "header", "cells")
+    # position 0, for a name the header lacks, gives null
+    value = {c: F.get("cells", F.array_position("header", c).cast("int") - 1) for c in types}
     typed = [F.coalesce(value[c] == "1", F.lit(False)).alias(c) if t == "boolean" else value[c].try_cast(t).alias(c) for c, t in types.items()]
     return out.select("line_id", "file_name", *typed)

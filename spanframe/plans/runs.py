@@ -14,7 +14,7 @@ from spanframe.plans.spans import words
 from spanframe.plans.tokens import WORDS, hits_of, split_words, word_table_of
 from spanframe.session import checkpointed, table
 from spanframe.stats import bootstrap, logistic
-from spanframe.stats import tests as T
+from spanframe.stats import intervals as T
 
 RUNS = "reg AS (SELECT run_id, x.config AS config, x.metrics AS metrics, x.code_ref AS code_ref FROM (SELECT run_id, arg_max({'config': config, 'metrics': metrics, 'code_ref': code_ref}, registered_at) AS x FROM runs GROUP BY run_id)), done AS (SELECT * FROM reg WHERE config IS NOT NULL AND metrics IS NOT NULL)"
 
@@ -26,9 +26,15 @@ def registered(spark, sf_dir):
 _METRICS = ("precision", "recall", "f1", "accuracy")
 
 
+def _exact_mean(value: str) -> str:
+    """The mean rounded to eight places, half up, from whole numbers of 10^-12: no order of rows changes it."""
+    total, n = f"sum(CAST(round({value} * 1e12) AS HUGEINT))", f"count({value})"
+    return f"((2 * {total} + {n} * 10000) // (2 * nullif({n}, 0) * 10000))::DOUBLE / 1e8"
+
+
 def _aggregate_sql(by: dict[str, str]) -> str:
     keys = ", ".join(f"{path} AS {name}" for name, path in by.items())
-    means = ", ".join(f'round(avg(metrics.test_contract."{m}"), 8) AS {m}_mean, round(stddev_samp(metrics.test_contract."{m}"), 8) AS {m}_sd' for m in _METRICS)
+    means = ", ".join(f'{_exact_mean(f"""metrics.test_contract."{m}\"""")} AS {m}_mean, round(stddev_samp(metrics.test_contract."{m}"), 8) AS {m}_sd' for m in _METRICS)
     order = "ORDER BY coalesce(config.seed, -1), run_id"
     return f"WITH {RUNS} SELECT {keys}, {means}, count(*) AS n, string_agg(coalesce(config.seed, -1)::VARCHAR, ' ' {order}) AS seeds, string_agg(run_id, ' ' {order}) AS runs, count(DISTINCT code_ref) AS code_refs FROM done GROUP BY {', '.join(by.values())}"
 

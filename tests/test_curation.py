@@ -89,6 +89,13 @@ def test_exact_sample(spark):
     assert Sa.exact_sample(df, "ordinal", 0.2, 5, most=3).count() == 3 and Sa.exact_sample(df.limit(0), "ordinal", 0.5, 1).count() == 0
 
 
+def test_heldout_refuses_too_many(spark, monkeypatch):
+    monkeypatch.setattr(Sa, "EXACT_LIMIT", 5)
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "sid long, text string")
+    with pytest.raises(ValueError, match="too many"):
+        Sa.heldout_sample(rows, rows.limit(0), "text", "sid", 2, 1)
+
+
 def test_heldout(spark):
     rows = spark.createDataFrame([(i, f"t{i % 12}") for i in range(40)], "sid long, text string")
     train = spark.createDataFrame([(f"t{i}",) for i in range(4)], "text string")

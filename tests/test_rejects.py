@@ -70,6 +70,14 @@ def test_file_without_header_and_empty_table(spark):
     assert rejects.clean_rows(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("head", ["sentence_id,word_idx,word,gold,pred,pred", "sentence_id,word_idx,word,gold"])
+def test_broken_headers_lose_no_line(spark, head):
+    n = head.count(",") + 1
+    df = lines(spark, [",".join(["1", "0", "w", "O", "O", "O"][:n]), "x", ""], head=head)
+    assert {r["line_id"]: r["reason"] for r in rejects.faulty_lines(df).collect()} == {1: "header", 2: "header"}
+    assert rejects.clean_rows(df).count() == 0
+
+
 def test_very_long_line_and_clashing_columns(spark):
     from pyspark.sql import functions as F
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from spanframe.operators import registry as R
 from spanframe.stats import bootstrap as B
 from spanframe.stats import logistic as L
-from spanframe.stats import tests as T
+from spanframe.stats import intervals as T
 
 
 def test_logistic_closed_form():
@@ -133,6 +133,23 @@ def test_registry(spark):
         R.config_field(runs, "data.missing")
 
 
+def test_means_do_not_depend_on_order(spark):
+    values = [0.1, 0.2, 0.3, 1e6, 0.7] * 7 + [None]
+    one, two = (spark.createDataFrame([(v,) for v in x], "v double").coalesce(1).agg(R.exact_mean("v")).first()[0] for x in (values, values[::-1]))
+    assert one == two == pytest.approx(sum(v for v in values if v is not None) / 35)
+
+
+def test_last_registration_and_load_break_ties(spark):
+    from spanframe.operators import contract as C
+
+    rows = [("r", 1, 0, w, "O", "O", False, t) for w, t in (("a", 5), ("b", 5), ("c", None))]
+    schema = "run_id string, sentence_id long, word_idx int, word string, gold string, pred string, truncated boolean, loaded_at long"
+    assert all(C.latest(spark.createDataFrame(x, schema)).first()["word"] == "b" for x in (rows, rows[::-1]))
+    assert C.latest(spark.createDataFrame(rows[2:], schema)).first()["word"] == "c"
+    runs = spark.createDataFrame([("r", "x", None), ("r", "y", None)], "run_id string, code_ref string, registered_at long")
+    assert R.registered(runs).first()["code_ref"] == "y"
+
+
 def test_transfer_summary_fills_missing_types(spark):
     df = spark.createDataFrame([("a", "r1", "PER", 0.8, 5), ("a", "r1", "LOC", 0.4, 2), ("a", "r2", "PER", 0.6, 6)], "arm string, run_id string, etype string, f1 double, support long")
     out = {r["etype"]: (r["f1_mean"], r["support"], r["runs"]) for r in R.transfer_summary(df, ["arm"]).collect()}
