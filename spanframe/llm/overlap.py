@@ -1,43 +1,46 @@
-"""Same and near-same records across splits, by shared spans of sorted suffixes.
+"""Same and near-same records across splits, by a partitioned suffix array.
 
-Each record's text is its distinct words in one global order, rare words first. For two records whose word sets have
-Jaccard similarity t or more, at most d = a(1-t)/t words differ (a: the size of either set). Put in order, the words they share
-have d + 1 gaps among the first d + 2 of them (there are as many from t = 3/4 on), and d words can't break all: two shared words follow each other in both texts. So the suffixes at
-the first positions of both texts have a common prefix of two words. The suffixes are cut to that, partitioned by
-it and sorted; a run of equal prefixes that holds both splits reveals candidate pairs. Their shared spans are merged to the exact number of
-shared words and held against t. Nothing is approximate: no pair at or above t is lost, whatever the order of the words.
+Each record's text is its distinct words in one global order, rare words first. The texts' suffixes are partitioned by their first words (the
+head) and sorted; where suffixes of both splits share a head, their common prefix is a span that both texts have. Spans of a pair of
+texts are merged into the coverage of the record, and what the spans leave open is counted exactly.
 
-Records with equal word sets are one class: the search runs over classes, and members are joined back at the end.
+Which pairs can be missed? None. Let the sets have Jaccard similarity ``num/den`` or more, i words in common and D words that only one has:
+D <= i(den - num)/num. In the global order the D words break the i common ones into at most D + 1 runs, so among the first 2D + 3 common words
+three follow each other in both texts, and among the first D + 2 two do. Heads have three words wherever there are 2D + 3 common words,
+else two (at 4/5 that is only the pair of four words inside five). Only as many suffixes as this needs are made. Before a pair is looked at,
+lengths, places and 64-bit signatures of the two sets must allow so few differing words; these tests only leave out what can't qualify.
+
+Records with equal word sets are one class: search and counts run over classes, members are joined back only where a list of pairs is
+asked for. Words are compared through 62-bit codes until the last, exact count, which compares the words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanframe.functions.text import match_words
-from spanframe.session import checkpointed
+from spanframe.session import stored
 
-#: Words whose frequency decides the order; all others come first, by code point. Any order gives the same result.
-ORDERED_WORDS = 20_000
-_CHUNK = 20_000
-_SUFFIX = "head string, key binary, size int, in_train boolean, in_eval boolean"
+#: Words that come last in the global order, because they are in most texts. Any choice gives the same result.
+FREQUENT_WORDS = 1_000
+#: Codes of a suffix that are kept: longer common prefixes are found as overlapping spans.
+SUFFIX_WORDS = 8
+#: Heads of more suffixes than this are spread over ``SALTS`` tasks.
+HOT_HEAD, SALTS = 4_096, 32
+_CODE_BITS = 62
 
 
 def sentence_words(predictions: DataFrame) -> DataFrame:
     """``sentence_id, words``: the match words of each sentence in order, repeats kept.
 
-    Runs write a word differently only in ways that match words ignore; else the least of a position's match words are taken.
+    Runs write a word differently only in ways that match words ignore; else the least spelling of a position is taken. Words are put in
+    normal form once per sentence: no blank composes with what follows it.
     """
-    words = predictions.filter("word is not null and sentence_id is not null").select("sentence_id", "word_idx", match_words("word").alias("w"))
-    # equal spellings of a position collapse in the set; one shuffle by sentence serves all
-    ordered = words.groupBy("sentence_id").agg(F.array_sort(F.collect_set(F.struct("word_idx", "w"))).alias("x"))
-    before = F.concat(F.array(F.lit(None).cast("struct<word_idx:int,w:array<string>>")), F.slice("x", F.lit(1), F.size("x") - 1))
-    pairs = F.filter(F.arrays_zip(F.col("x").alias("a"), before.alias("b")), lambda p: ~p["a"]["word_idx"].eqNullSafe(p["b"]["word_idx"]) | p["b"].isNull())
-    return ordered.select("sentence_id", F.flatten(F.transform(pairs, lambda p: p["a"]["w"])).alias("words"))
+    words = predictions.filter("word is not null and sentence_id is not null").select("sentence_id", F.struct("word_idx", "word").alias("x"))
+    ordered = words.groupBy("sentence_id").agg(F.array_sort(F.collect_set("x")).alias("x"))
+    first = F.filter("x", lambda e, i: (i == 0) | ~e["word_idx"].eqNullSafe(F.get("x", i - 1)["word_idx"]))
+    return ordered.select("sentence_id", match_words(F.array_join(F.transform(first, lambda e: e["word"]), " ")).alias("words"))
 
 
 def classes(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
@@ -48,75 +51,109 @@ def classes(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     """
     fit = records.filter((F.size("words") >= min_words) & F.col("split").isNotNull() & F.col("id").isNotNull())
     keyed = fit.select("id", (F.col("split") == "train").alias("is_train"), F.array_sort(F.array_distinct("words")).alias("words"))
-    # read once for classes and once for members: made once
-    keyed = checkpointed(keyed.withColumn("key", F.unhex(F.md5(F.array_join("words", " ")))))
+    # read several times, by column: written once
+    keyed = stored(keyed.withColumn("key", F.unhex(F.md5(F.array_join("words", " ")))))
     grouped = keyed.groupBy("key").agg(F.first("words").alias("words"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
-    return grouped.withColumn("size", F.size("words")), keyed.select("key", "id", "is_train")
-
-
-def suffix_heads(grouped: DataFrame, num: int, den: int) -> DataFrame:
-    """The two-word heads of the suffixes at the positions that must hold a shared one."""
-    frequent = grouped.select(F.explode("words").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(ORDERED_WORDS)
-    # bounded by ORDERED_WORDS, whatever the corpus
-    order = {r[0]: r[1] for r in frequent.collect()}
-    shared = grouped.sparkSession.sparkContext.broadcast(order)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = shared.value.get
-        for batch in batches:
-            heads, source = [], []
-            for i, words in enumerate(batch.column(0).to_pylist()):
-                a = len(words)
-                differing = a * (den - num) // num
-                if not differing:
-                    continue  # such a set is similar to itself only
-                text = sorted(words, key=lambda w: (count(w, 0), w))
-                end = min(a, differing + 2 + a * (den - num) // den)
-                heads += [f"{text[p]} {text[p + 1]}" for p in range(end - 1)]
-                source += [i] * (end - 1)
-            if heads:
-                rest = batch.take(pa.array(source, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(heads, pa.string()), *rest.columns[1:]], ["head", "key", "size", "in_train", "in_eval"])
-
-    return grouped.select("words", "key", "size", "in_train", "in_eval").mapInArrow(run, _SUFFIX)
-
-
-def _cross_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of suffixes sorted by head, those with evaluation first: the ones whose head both splits have."""
-    head, waiting, train, evaluation, out = None, [], False, False, []
-    schema = None
-    for batch in batches:
-        schema = batch.schema
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != head:
-                head, waiting, train, evaluation = row[0], [], False, False
-            train, evaluation = train or row[3], evaluation or row[4]
-            if train and evaluation:
-                out += waiting
-                waiting = []
-                out.append(row)
-            elif evaluation:
-                waiting.append(row)  # without evaluation so far nothing waits: it sorts first
-            if len(out) >= _CHUNK:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
-                out = []
-    if out:
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
-
-
-def class_pairs(grouped: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """``train_key, eval_key, shared, united``: the pairs of different classes, one with training and one with evaluation records."""
-    sorted_heads = suffix_heads(grouped, num, den).repartition("head").sortWithinPartitions("head", F.desc("in_eval"), "in_train")
-    runs = sorted_heads.mapInArrow(_cross_split, _SUFFIX)
-    left = runs.filter("in_train").select("head", F.col("key").alias("train_key"), F.col("size").alias("a"))
-    right = runs.filter("in_eval").select("head", F.col("key").alias("eval_key"), F.col("size").alias("b"))
-    fits = (F.col("a") * den >= F.col("b") * num) & (F.col("b") * den >= F.col("a") * num)
-    candidates = left.join(right, "head").filter((F.col("train_key") != F.col("eval_key")) & fits).select("train_key", "eval_key").distinct()
+    return grouped.withColumn("size", F.size("words")), keyed.select("key", "id", "is_train", "words")
+
+
+def _code(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND((1 << _CODE_BITS) - 1)
+
+
+def frequent_codes(keyed: DataFrame) -> list[int]:
+    """Codes of the most frequent words: at most :data:`FREQUENT_WORDS`, whatever the corpus."""
+    counted = keyed.select(F.explode(F.transform("words", _code)).alias("c")).groupBy("c").count()
+    return [r[0] for r in counted.orderBy(F.desc("count"), "c").limit(FREQUENT_WORDS).collect()]
+
+
+def two_word_sizes(num: int, den: int) -> tuple[list[int], int]:
+    """(set sizes that need heads of two words, least size that needs heads of three) for similarities of at least num/den."""
+
+    def differing(shared: int) -> int:
+        return shared * (den - num) // num
+
+    # from 3 · 3 common words on 2D + 3 <= i holds for every threshold of 3/4 and above
+    short = [i for i in range(1, 12) if differing(i) and 2 * differing(i) + 3 > i]
+    two = sorted({i + own for i in short for own in range(differing(i) + 1)})
+    # at similarity 1 no two different sets match
+    three = next((a for a in range(1, 4 * den) if any(differing(a - own) >= max(1, own) and a - own not in short for own in range(a))), (1 << 31) - 1)
+    return two, three
+
+
+def suffixes(grouped: DataFrame, frequent: list[int], num: int, den: int) -> DataFrame:
+    """``key, size, in_train, in_eval, bits, head, pos, suffix``: the suffixes at the positions where a shared head must lie."""
+
+    def ordered(word: Column) -> Column:
+        code = _code(word)
+        return F.when(code.isin(frequent), code + (1 << _CODE_BITS)).otherwise(code) if frequent else code
+
+    two, three = two_word_sizes(num, den)
+    a = F.col("size")
+    own = F.floor(a * (den - num) / F.lit(den)).cast("int")
+    # own words that may stand between, then 2D + 3 common ones with D for a - own common words; more positions do no harm
+    needed = F.floor(2 * (a - own) * (den - num) / F.lit(num)).cast("int") + 3 + own
+    texts = grouped.select("key", "size", "in_train", "in_eval", F.array_sort(F.transform("words", ordered)).alias("codes"), needed.alias("needed"))
+
+    def heads(width: int, last: Column) -> Column:
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("codes", i + 1, F.lit(width))).alias("head"), i.alias("pos"), F.slice("codes", i + 1, F.lit(SUFFIX_WORDS)).alias("suffix")))
+
+    none = F.array().cast("array<struct<head:bigint,pos:int,suffix:array<bigint>>>")
+    each = F.concat(F.when(a >= three, heads(3, F.least(a, F.col("needed")) - 3)).otherwise(none), F.when(a.isin(two), heads(2, a - 2)).otherwise(none))
+    bits = F.aggregate("codes", F.lit(0).cast("long"), lambda x, c: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))))
+    return texts.select("key", "size", "in_train", "in_eval", bits.alias("bits"), F.explode(each).alias("x")).select("key", "size", "in_train", "in_eval", "bits", "x.*")
+
+
+def common_prefix(a: Column, b: Column, longest: int = SUFFIX_WORDS) -> Column:
+    """How many leading elements two arrays share, up to ``longest``."""
+    differs = F.zip_with(F.slice(a, 1, longest), F.slice(b, 1, longest), lambda x, y: ~x.eqNullSafe(y))
+    at = F.array_position(differs, F.lit(True)).cast("int")
+    return F.when(at == 0, F.size(differs)).otherwise(at - 1)
+
+
+def seeds(grouped: DataFrame, frequent: list[int], num: int, den: int) -> DataFrame:
+    """``train_key, eval_key, pos, span``: spans that texts of both splits share, ``pos`` in the evaluation text; pairs that can't qualify are left out."""
+    every = suffixes(grouped, frequent, num, den)
+    # flags by head collapse before they move, however many suffixes a head has
+    heads = every.groupBy("head").agg(F.max("in_train").alias("_t"), F.max("in_eval").alias("_e"), F.count("*").alias("n")).filter("_t and _e").select("head", (F.col("n") > HOT_HEAD).alias("hot"))
+    # few heads stand in both splits; what is left is written once and read for either side
+    crossing = stored(every.join(heads, "head"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left, right = (crossing.filter(side).select("head", *(F.col(c).alias(p + c) for c in ("key", "size", "bits", "pos", "suffix")), s.alias("salt")) for side, p, s in (("in_train", "t_", salt), ("in_eval", "e_", F.explode(salts))))
+    both = F.col("t_size") + F.col("e_size")
+    tail = (F.col("t_size") - F.col("t_pos")) - (F.col("e_size") - F.col("e_pos"))
+    # words that only one text has: before and after the shared head, and by the signatures
+    least = F.greatest(F.abs(F.col("t_pos") - F.col("e_pos")) + F.abs(tail), F.bit_count(F.col("t_bits").bitwiseXOR(F.col("e_bits"))))
+    pairs = left.join(right, ["head", "salt"]).filter((F.col("t_key") != F.col("e_key")) & (least * (den + num) <= both * (den - num)))
+    return pairs.select(F.col("t_key").alias("train_key"), F.col("e_key").alias("eval_key"), F.col("e_pos").alias("pos"), common_prefix(F.col("t_suffix"), F.col("e_suffix")).alias("span"))
+
+
+def class_pairs(grouped: DataFrame, frequent: list[int], num: int = 4, den: int = 5) -> DataFrame:
+    """``train_key, eval_key, shared, united, covered``: the pairs of different classes, one with training and one with evaluation records.
+
+    ``covered``: words of the evaluation text in merged shared spans; ``shared`` adds the common words that stand alone.
+    """
+    at = F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + F.col("span") - 1)))
+    merged = seeds(grouped, frequent, num, den).groupBy("train_key", "eval_key").agg(F.size(F.array_distinct(at)).alias("covered"))
     words = grouped.select("key", "words")
-    both = candidates.join(words.select(F.col("key").alias("eval_key"), F.col("words").alias("ew")), "eval_key").join(words.select(F.col("key").alias("train_key"), F.col("words").alias("tw")), "train_key")
-    shared = F.size(F.array_intersect("ew", "tw"))
-    merged = both.select("train_key", "eval_key", shared.alias("shared"), (F.size("ew") + F.size("tw") - shared).alias("united"))
-    return merged.filter(F.col("shared") * den >= F.col("united") * num)
+    both = merged.join(words.select(F.col("key").alias("eval_key"), F.col("words").alias("ew")), "eval_key").join(words.select(F.col("key").alias("train_key"), F.col("words").alias("tw")), "train_key")
+    counted = both.withColumn("shared", F.size(F.array_intersect("ew", "tw"))).withColumn("united", F.size("ew") + F.size("tw") - F.col("shared"))
+    return counted.filter(F.col("shared") * den >= F.col("united") * num).select("train_key", "eval_key", "shared", "united", "covered")
+
+
+def overlap(records: DataFrame, num: int = 4, den: int = 5, min_words: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): ``train_key, eval_key, shared, united, covered`` of all overlapping classes, a class with itself too, and ``key, id, is_train``.
+
+    The compact form of :func:`cross_split_pairs`: copies aren't expanded. A pair of classes stands for every pair of their members.
+    """
+    if 4 * num < 3 * den:
+        raise ValueError("the search is exact for thresholds of 3/4 and above")
+    grouped, keyed = classes(records, min_words)
+    size = F.col("size")
+    same = grouped.filter("in_train and in_eval").select(F.col("key").alias("train_key"), F.col("key").alias("eval_key"), size.alias("shared"), size.alias("united"), size.alias("covered"))
+    return class_pairs(grouped, frequent_codes(keyed), num, den).unionByName(same), keyed.select("key", "id", "is_train")
 
 
 def cross_split_pairs(records: DataFrame, num: int = 4, den: int = 5, min_words: int = 6) -> DataFrame:
@@ -126,11 +163,21 @@ def cross_split_pairs(records: DataFrame, num: int = 4, den: int = 5, min_words:
     ``min_words`` words, null ids, splits or words give no pairs; equal rows give one pair; extra columns are ignored; an
     empty table gives none. Every member of a class is paired: the result is as large as the overlap is.
     """
-    if 4 * num < 3 * den:
-        raise ValueError("the search is exact for thresholds of 3/4 and above")
-    grouped, members = classes(records, min_words)
-    same = grouped.filter("in_train and in_eval").select(F.col("key").alias("train_key"), F.col("key").alias("eval_key"), F.col("size").alias("shared"), F.col("size").alias("united"))
-    pairs = class_pairs(grouped, num, den).unionByName(same)
-    train = members.filter("is_train").select(F.col("key").alias("train_key"), F.col("id").alias("train_id"))
-    evaluation = members.filter("not is_train").select(F.col("key").alias("eval_key"), F.col("id").alias("eval_id"))
-    return pairs.join(evaluation, "eval_key").join(train, "train_key").select("train_id", "eval_id", "shared", "united").distinct()
+    pairs, members = overlap(records, num, den, min_words)
+    train = members.filter("is_train").select(F.col("key").alias("train_key"), F.col("id").alias("train_id")).distinct()
+    evaluation = members.filter("not is_train").select(F.col("key").alias("eval_key"), F.col("id").alias("eval_id")).distinct()
+    return pairs.join(evaluation, "eval_key").join(train, "train_key").select("train_id", "eval_id", "shared", "united")
+
+
+def record_coverage(records: DataFrame, num: int = 4, den: int = 5, min_words: int = 6) -> DataFrame:
+    """``id, train_records, coverage``: the evaluation records that overlap training records, how many, and the largest share of their words in one.
+
+    Counted over classes: no pair of members is made. Inputs as for :func:`cross_split_pairs`.
+    """
+    pairs, members = overlap(records, num, den, min_words)
+    train = members.filter("is_train").groupBy(F.col("key").alias("train_key")).agg(F.count_distinct("id").alias("n"))
+    # sizes from the two counts: united = both sizes less shared; the evaluation text's own size comes with its pairs
+    found = pairs.join(train, "train_key").groupBy("eval_key").agg(F.sum("n").alias("train_records"), F.max("shared").alias("shared"))
+    evaluation = members.filter("not is_train").select(F.col("key").alias("eval_key"), "id").distinct()
+    sizes = records.select("id", F.size(F.array_distinct("words")).alias("size")).groupBy("id").agg(F.max("size").alias("size"))
+    return found.join(evaluation, "eval_key").join(sizes, "id").select("id", "train_records", (F.col("shared") / F.col("size")).alias("coverage"))

@@ -125,16 +125,15 @@ shared AS (
 """
 
 
-def _p3_pairs(spark, sf_dir):
-    predictions, sentences = table(spark, sf_dir, "predictions"), table(spark, sf_dir, "sentences")
-    splits = sentence_splits(sentences)
-    words = overlap.sentence_words(predictions).join(splits, "sentence_id")
-    return overlap.cross_split_pairs(words.select(F.col("sentence_id").alias("id"), "split", "words")), splits
+def _p3_records(spark, sf_dir):
+    splits = sentence_splits(table(spark, sf_dir, "sentences"))
+    words = overlap.sentence_words(table(spark, sf_dir, "predictions")).join(splits, "sentence_id")
+    return words.select(F.col("sentence_id").alias("id"), "split", "words"), splits
 
 
 @LLM.register("p3_found", _P3_PAIRS + "SELECT least(t, e) AS sentence_id_a, greatest(t, e) AS sentence_id_b FROM pairs")
 def p3_found(spark, sf_dir):
-    pairs, _ = _p3_pairs(spark, sf_dir)
+    pairs = overlap.cross_split_pairs(_p3_records(spark, sf_dir)[0])
     return pairs.select(F.least("train_id", "eval_id").alias("sentence_id_a"), F.greatest("train_id", "eval_id").alias("sentence_id_b"))
 
 
@@ -143,11 +142,21 @@ def p3_found(spark, sf_dir):
     _P3_PAIRS + "SELECT split, coalesce(source, 'unknown') AS source, count(*) AS pairs, count(DISTINCT e) AS sentences, count(*) FILTER (WHERE i = u) AS same FROM pairs GROUP BY 1, 2",
 )
 def p3_by_split_source(spark, sf_dir):
-    """The overlapping pairs, and evaluation sentences in them, by split and source of the evaluation sentence."""
-    pairs, splits = _p3_pairs(spark, sf_dir)
-    named = pairs.join(splits.select(F.col("sentence_id").alias("eval_id"), "split", "source"), "eval_id")
+    """The overlapping pairs, and evaluation sentences in them, by split and source of the evaluation sentence: counted by classes, no pair is listed."""
+    records, splits = _p3_records(spark, sf_dir)
+    pairs, members = overlap.overlap(records)
+    train = members.filter("is_train").groupBy(F.col("key").alias("train_key")).agg(F.count("*").alias("n_train"))
+    by_class = pairs.join(train, "train_key").groupBy(F.col("eval_key").alias("key")).agg(F.sum("n_train").alias("n"), F.sum(F.when(F.col("shared") == F.col("united"), F.col("n_train")).otherwise(0)).alias("n_same"))
+    named = members.filter("not is_train").join(splits.select(F.col("sentence_id").alias("id"), "split", "source"), "id").join(by_class, "key")
     grouped = named.groupBy("split", F.coalesce("source", F.lit("unknown")).alias("source"))
-    return grouped.agg(F.count("*").alias("pairs"), F.count_distinct("eval_id").alias("sentences"), F.count_if(F.col("shared") == F.col("united")).alias("same"))
+    return grouped.agg(F.sum("n").alias("pairs"), F.count("*").alias("sentences"), F.sum("n_same").alias("same"))
+
+
+@LLM.register("p3_coverage", _P3_PAIRS + "SELECT e AS sentence_id, count(*) AS train_sentences, max(i::DOUBLE / n) AS coverage FROM pairs JOIN size ON size.sentence_id = e GROUP BY e")
+def p3_coverage(spark, sf_dir):
+    """The evaluation sentences that overlap training sentences, how many, and the largest share of their words in one."""
+    found = overlap.record_coverage(_p3_records(spark, sf_dir)[0])
+    return found.select(F.col("id").alias("sentence_id"), F.col("train_records").alias("train_sentences"), "coverage")
 
 
 @LLM.register("p1_sample")

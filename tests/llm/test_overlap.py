@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanframe.llm import overlap
 from spanframe.operators.splits import sentence_splits
@@ -59,6 +60,36 @@ def test_hot_class_and_edges(spark):
     assert found(frame(spark, long)) == [(1, 2, 4100, 5000)]
 
 
+def test_hot_head_is_spread(spark):
+    # all records share six words, so three heads hold every one of them; two records of each split differ in one word only
+    common = F.array(*(F.lit(f"c{i}") for i in range(6)))
+    rows = spark.range(100_020).select("id", F.when(F.col("id") < 100_000, "train").otherwise("test").alias("split"), F.concat(common, F.array(F.concat(F.lit("u"), "id"), F.concat(F.lit("v"), F.col("id") % 100_000))).alias("words"))
+    want = [(i, 100_000 + i, 7, 9) for i in range(20)]
+    assert found(rows) == [] and sorted(found(rows, num=7, den=9)) == want
+
+
+def test_coverage_counts_members(spark):
+    rows = [(1, "train", list("abcdefgh")), (2, "train", list("hgfedcba")), (3, "train", list("abcdefg")), (4, "test", list("abcdefgh")), (4, "test", list("abcdefgh")), (5, "test", list("abcdefgx")), (6, "test", list("uvwxyz"))]
+    got = {r["id"]: (r["train_records"], r["coverage"]) for r in overlap.record_coverage(frame(spark, rows)).collect()}
+    assert got == {4: (3, 1.0), 5: (1, 7 / 8)}
+    pairs, _ = overlap.overlap(frame(spark, rows))
+    assert all(r["covered"] <= r["shared"] for r in pairs.collect())
+
+
+@pytest.mark.parametrize(("num", "den"), [(3, 4), (4, 5), (7, 8)])
+def test_every_small_pair_is_found(spark, num, den):
+    # all ways to share i of up to 16 words, in a random global order each time
+    rng, rows, n = random.Random(num), [], 0
+    for shared in range(3, 14):
+        for a in range(3):
+            for b in range(3):
+                for _ in range(6):
+                    words = [f"{rng.random():.9f}" for _ in range(shared + a + b)]
+                    rows += [(n, "train", words[: shared + a]), (n + 1, "test", words[:shared] + words[shared + a :])]
+                    n += 2
+    assert found(frame(spark, rows), num=num, den=den, min_words=1) == sorted(brute(rows, num, den, 1))
+
+
 def test_splits_and_words(spark):
     s = spark.createDataFrame([(1, "valid", None), (1, None, "b"), (2, " DEV", "a"), (3, "other", "a"), (4, "Train\t", "a")], "sentence_id long, split string, source string")
     assert sorted(map(tuple, sentence_splits(s).collect())) == [(1, "validation", "b"), (2, "validation", "a"), (3, None, "a"), (4, "train", "a")]
