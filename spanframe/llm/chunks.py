@@ -3,7 +3,7 @@
 The atoms of a text are its words (a word larger than a piece is cut between code points). Between neighbours lies a
 boundary of known strength: inside a word, between words, sentences, lines. Adjacent pairs wait in a heap; the weakest boundary,
 and among equals the one of the smallest union, then the first, is merged while union and overlap fit the limit. What can't grow any more is
-a piece; it is extended to the left by the whole words that fit the overlap.
+a piece; it is extended to the left by the overlap, which is met exactly: whole words first, then the end of the word before them.
 
 A sentence or line that fits as a whole always ends up merged before any stronger boundary is looked at, so it enters as one atom: the same
 result with a much smaller heap.
@@ -18,12 +18,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from spanframe.llm.batches import slices
+from spanframe.operators.curation import prefix_sums
+from spanframe.session import stored
 
 DEFAULT_LIMIT = 128
 #: Places in a piece that belong to the model's own marks.
@@ -56,8 +58,8 @@ class Setting:
 
     @property
     def shared(self) -> int:
-        """The overlap in use: at most half of the piece, so that every piece brings something new."""
-        return max(0, min(self.overlap, self.budget // 2))
+        """The overlap in use: the one asked for. One that leaves a piece no room can't be met: half of the piece then (:func:`settings_of` names such runs)."""
+        return self.budget // 2 if self.overlap >= self.budget else max(0, self.overlap)
 
     @property
     def core(self) -> int:
@@ -132,11 +134,22 @@ class Words:
         return bounds, sizes, after
 
     def reach(self, start: int, shared: int) -> int:
-        """Where a piece begins that takes over the whole words before ``start`` that fit ``shared``."""
+        """Where a piece begins that takes over ``shared`` of what stands before ``start``, or all of it if that is less.
+
+        Sizes go by four code points: the part of a word that is taken over, and what is cut off before ``start``, have whole sizes.
+        """
         i = bisect_left(self.start, start)
-        j = i
-        while j > 0 and self.before[i] - self.before[j - 1] <= shared:
-            j -= 1
+        if i and self.end[i - 1] > start:
+            i -= 1  # the piece begins inside this word
+            inside = (start - self.start[i]) >> 2
+            if inside >= shared:
+                return start - 4 * shared
+            shared -= inside
+            start = self.start[i]
+        j = bisect_left(self.before, self.before[i] - shared)
+        rest = shared - (self.before[i] - self.before[j])
+        if rest and j:
+            return self.end[j - 1] - 4 * rest
         return self.start[j] if j < i else start
 
 
@@ -175,22 +188,24 @@ def split(words: Words, setting: Setting) -> list[tuple[int, int, int]]:
 
 
 def settings_of(runs: DataFrame) -> DataFrame:
-    """``run_id, source, budget, overlap, most``, one row per run: the last registration counts.
+    """``run_id, source, budget, overlap, most, reason``, one row per run: the last registration counts.
 
     The limit is the chunker's ``max_len`` (128 where null) less the two reserved places; runs whose limit leaves none are left
-    out. A missing or negative overlap is 0; a missing ``max_chunks`` means any number, one below 1 none.
+    out. A missing or negative overlap is 0; a missing ``max_chunks`` means any number, one below 1 none. ``reason`` names what can't be met,
+    an overlap that isn't smaller than a piece, else it is null.
     """
     limit = F.coalesce("config.chunker.max_len", F.lit(DEFAULT_LIMIT))
     fields = F.struct("source", (limit - RESERVED).alias("budget"), F.greatest(F.coalesce("chunk_overlap", F.lit(0)), F.lit(0)).alias("overlap"), F.col("config.corpus.max_chunks").alias("most"))
     last = runs.filter("run_id is not null and source is not null").groupBy("run_id").agg(F.max_by(fields, F.struct("registered_at", fields)).alias("x"))
-    return last.select("run_id", "x.*").filter("budget > 0")
+    unmet = F.when(F.col("overlap") >= F.col("budget"), F.lit("overlap not below the size of a piece: half a piece is used"))
+    return last.select("run_id", "x.*").filter("budget > 0").withColumn("reason", unmet)
 
 
-def split_oversized(docs: DataFrame, settings: DataFrame, with_text: bool = False, doc_id: str = "doc_id") -> DataFrame:
+def split_oversized(docs: DataFrame, settings: DataFrame, with_text: bool = False, doc_id: str = "doc_id", only_sizes: bool = False) -> DataFrame:
     """Each oversized document of each run's source with its pieces, one row per run and document.
 
     Columns: ``run_id, doc_id, size, starts, news, ends`` (code points: where each piece, and what is new in it, begins and
-    where it ends) and, with ``with_text``, ``texts``. ``docs`` has ``doc_id, text, source``; ``settings`` as from :func:`settings_of`. Documents that fit,
+    where it ends) and, with ``with_text``, ``texts``; with ``only_sizes`` nothing is split and the arrays are null. ``docs`` has ``doc_id, text, source``; ``settings`` as from :func:`settings_of`. Documents that fit,
     null and empty texts and null sources give no rows; repeated documents give repeated rows; extra columns are
     ignored. Documents are neither shuffled nor repeated per run; the settings (bounded blocks) go to the workers.
     """
@@ -198,12 +213,12 @@ def split_oversized(docs: DataFrame, settings: DataFrame, with_text: bool = Fals
     listed = rows.collect()
     out = None
     for lo in range(0, max(1, len(listed)), RUN_BLOCK):
-        part = _split_pass(docs, listed[lo : lo + RUN_BLOCK], with_text, doc_id)
+        part = _split_pass(docs, listed[lo : lo + RUN_BLOCK], with_text, doc_id, only_sizes)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _split_pass(docs: DataFrame, rows: list, with_text: bool, doc_id: str) -> DataFrame:
+def _split_pass(docs: DataFrame, rows: list, with_text: bool, doc_id: str, only_sizes: bool) -> DataFrame:
     by_source: dict[str, list[Setting]] = {}
     for r in rows:
         by_source.setdefault(r["source"], []).append(Setting(r["run_id"], r["budget"], r["overlap"], r["most"]))
@@ -223,7 +238,9 @@ def _split_pass(docs: DataFrame, rows: list, with_text: bool, doc_id: str) -> Da
                         continue
                     size = text_size(text)
                     large = [s for s in own if size > s.budget]
-                    if large:
+                    if large and only_sizes:
+                        out += [(s.run, key, size, None, None, None) for s in large]
+                    elif large:
                         words = Words(text)
                         for s in large:
                             pieces = split(words, s)
@@ -236,20 +253,33 @@ def _split_pass(docs: DataFrame, rows: list, with_text: bool, doc_id: str) -> Da
     return chosen.mapInArrow(run, schema)
 
 
+def _before_in_run(rows: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the run's rows before, in ``order``: running sums over ranges of (run, order), less the run's start."""
+    summed = prefix_sums(rows, value, ["run_id", *order], "_all")
+    starts = summed.groupBy("run_id").agg(F.min("_all").alias("_start"))
+    return summed.join(starts, "run_id").withColumn(out, F.col("_all") - F.col("_start")).drop("_all", "_start")
+
+
 def pieces(docs: DataFrame, settings: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """``run_id, doc_id, piece, start, new, end, text``: the pieces, at most the run's ``most`` of them in order of document and piece.
 
-    An oversized document has two pieces or more, so a run's first ``most / 2 + 1`` documents suffice: they are found by a
-    ranked limit that already acts before the shuffle, and the running count goes over those few only.
+    An oversized document has two pieces or more, so a run's first ``most / 2 + 1`` oversized documents suffice: they are found from sizes and ids
+    alone, by sums over ranges of ids, and only they are split. Copies of a document (same id and text) count once under a limit; several
+    texts of one id all count.
     """
     free = split_oversized(docs, settings.filter("most is null"), True, doc_id).withColumn("room", F.lit(None).cast("long"))
-    capped_settings = settings.filter("most is not null and most > 0")
-    largest = capped_settings.agg(F.max("most")).first()[0] or 0
-    by_doc = Window.partitionBy("run_id").orderBy(doc_id)
-    capped = split_oversized(docs, capped_settings, True, doc_id)
-    ranked = capped.withColumn("rank", F.row_number().over(by_doc)).filter(F.col("rank") <= largest // 2 + 1)
-    earlier = F.coalesce(F.sum(F.size("starts")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    with_room = ranked.withColumn("earlier", earlier).join(F.broadcast(capped_settings.select("run_id", "most")), "run_id").withColumn("room", F.col("most") - F.col("earlier")).filter("room > 0")
-    every = free.unionByName(with_room.select(*free.columns))
-    each = every.select("run_id", doc_id, "room", F.posexplode(F.arrays_zip("starts", "news", "ends", "texts")).alias("piece", "x"))
+    capped = settings.filter("most is not null and most > 0")
+    if capped.limit(1).count():
+        sizes = split_oversized(docs, capped, False, doc_id, only_sizes=True).select("run_id", doc_id).distinct().withColumn("_one", F.lit(1))
+        ranked = _before_in_run(sizes, "_one", [doc_id], "_rank").join(capped.select("run_id", "most"), "run_id")
+        first = stored(ranked.filter(F.col("_rank") <= F.floor(F.col("most") / 2)).select("run_id", doc_id, "most"))
+        last = first.agg(F.max(doc_id)).first()[0]
+        # the first documents of each run: an upper bound of the id reaches the scan
+        few = docs.filter(F.col(doc_id) <= F.lit(last)).join(first.select(doc_id).distinct(), doc_id, "left_semi")
+        split_ = split_oversized(few, capped, True, doc_id).join(first, ["run_id", doc_id]).withColumn("_text", F.xxhash64("texts"))
+        split_ = stored(split_.dropDuplicates(["run_id", doc_id, "_text"]))
+        counted = _before_in_run(split_.select("run_id", doc_id, "_text", F.size("starts").alias("_n")), "_n", [doc_id, "_text"], "_earlier").drop("_n")
+        with_room = split_.join(counted, ["run_id", doc_id, "_text"]).withColumn("room", F.col("most") - F.col("_earlier")).filter("room > 0")
+        free = free.unionByName(with_room.select(*free.columns))
+    each = free.select("run_id", doc_id, "room", F.posexplode(F.arrays_zip("starts", "news", "ends", "texts")).alias("piece", "x"))
     return each.filter("room is null or piece < room").select("run_id", doc_id, "piece", F.col("x.starts").alias("start"), F.col("x.news").alias("new"), F.col("x.ends").alias("end"), F.col("x.texts").alias("text"))

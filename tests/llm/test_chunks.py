@@ -18,8 +18,9 @@ def check(text, setting):
         size = chunks.text_size(text[s:e])
         assert s <= n < e and size <= setting.budget
         if i:
-            assert chunks.text_size(text[s:n]) <= setting.shared
-            assert s >= pieces[i - 1][0]
+            # consecutive pieces share the overlap exactly, or all of a first piece that is smaller
+            before = pieces[i - 1]
+            assert s >= before[0] and chunks.text_size(text[s : before[2]]) == min(setting.shared, chunks.text_size(text[before[0] : before[2]]))
     return pieces
 
 
@@ -30,6 +31,12 @@ def test_pieces(text, budget, overlap):
         assert len(check(text, chunks.Setting("r", budget, overlap))) > 1
 
 
+@pytest.mark.parametrize(("text", "budget", "overlap"), [("aaaaaaaaaaaaaaaa bbbb " * 200, 126, 8), ("abcdefgh" * 4 + " " + "ijklmnop" * 4 + " " + "x" * 320, 20, 6), ("word " * 300, 20, 15), ("z" * 4001, 30, 7)])
+def test_overlap_is_met(text, budget, overlap):
+    found = check(text, chunks.Setting("r", budget, overlap))
+    assert len(found) > 2 and all(chunks.text_size(text[s:n]) == min(overlap, chunks.text_size(text[:n])) for s, n, _ in found)
+
+
 def slow(text, core):
     """The plain form: atoms are words, all boundaries in one heap's order by repeated search."""
     words = chunks.Words(text)
@@ -71,6 +78,12 @@ def test_frames(spark):
     out = chunks.pieces(docs, settings_).collect()
     assert sum(r["run_id"] == "b" for r in out) == 3
     assert all(chunks.text_size(r["text"]) <= {"a": 126, "b": 98, "e": 126}[r["run_id"]] for r in out)
+    assert {r["run_id"] for r in settings_.filter("reason is not null").collect()} == {"e"}
+    # a limit takes documents in order; copies of one count once
+    many = spark.createDataFrame([(i, f"{'ab ' * 150}{i}", "s", "x") for i in (9, 4, 2, 7, 4)], DOC)
+    limited = spark.createDataFrame([("l", "s", ((5,), (None,)), 0, 1), ("m", "s", ((0,), (None,)), 0, 1), ("n", "s", ((1000,), (None,)), 0, 1)], RUN)
+    got = sorted((r["run_id"], r["doc_id"], r["piece"]) for r in chunks.pieces(many, chunks.settings_of(limited)).collect())
+    assert got == [("l", 2, 0), ("l", 2, 1), ("l", 4, 0), ("l", 4, 1), ("l", 7, 0)] + [("n", d, k) for d in (2, 4, 7, 9) for k in (0, 1)]
     assert chunks.pieces(docs.limit(0), settings_).count() == 0 and chunks.split_oversized(docs, settings_.limit(0)).count() == 0
 
 
