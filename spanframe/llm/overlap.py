@@ -54,16 +54,16 @@ def classes(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     # read several times, by column: written once
     keyed = stored(keyed.withColumn("key", F.unhex(F.md5(F.array_join("words", " ")))))
     grouped = keyed.groupBy("key").agg(F.first("words").alias("words"), F.max("is_train").alias("in_train"), F.max(~F.col("is_train")).alias("in_eval"))
-    return grouped.withColumn("size", F.size("words")), keyed.select("key", "id", "is_train", "words")
+    return stored(grouped.withColumn("size", F.size("words"))), keyed.select("key", "id", "is_train")
 
 
 def _code(word: Column) -> Column:
     return F.xxhash64(word).bitwiseAND((1 << _CODE_BITS) - 1)
 
 
-def frequent_codes(keyed: DataFrame) -> list[int]:
+def frequent_codes(grouped: DataFrame) -> list[int]:
     """Codes of the most frequent words: at most :data:`FREQUENT_WORDS`, whatever the corpus."""
-    counted = keyed.select(F.explode(F.transform("words", _code)).alias("c")).groupBy("c").count()
+    counted = grouped.select(F.explode(F.transform("words", _code)).alias("c")).groupBy("c").count()
     return [r[0] for r in counted.orderBy(F.desc("count"), "c").limit(FREQUENT_WORDS).collect()]
 
 
@@ -117,8 +117,9 @@ def seeds(grouped: DataFrame, frequent: list[int], num: int, den: int) -> DataFr
     every = suffixes(grouped, frequent, num, den)
     # flags by head collapse before they move, however many suffixes a head has
     heads = every.groupBy("head").agg(F.max("in_train").alias("_t"), F.max("in_eval").alias("_e"), F.count("*").alias("n")).filter("_t and _e").select("head", (F.col("n") > HOT_HEAD).alias("hot"))
-    # few heads stand in both splits; what is left is written once and read for either side
-    crossing = stored(every.join(heads, "head"))
+    # few heads stand in both splits: with their true size known, a small table of them is broadcast and a large one merged;
+    # what is left is written once and read for either side
+    crossing = stored(every.join(stored(heads), "head"))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left, right = (crossing.filter(side).select("head", *(F.col(c).alias(p + c) for c in ("key", "size", "bits", "pos", "suffix")), s.alias("salt")) for side, p, s in (("in_train", "t_", salt), ("in_eval", "e_", F.explode(salts))))
@@ -150,10 +151,10 @@ def overlap(records: DataFrame, num: int = 4, den: int = 5, min_words: int = 6)
     """
     if 4 * num < 3 * den:
         raise ValueError("the search is exact for thresholds of 3/4 and above")
-    grouped, keyed = classes(records, min_words)
+    grouped, members = classes(records, min_words)
     size = F.col("size")
     same = grouped.filter("in_train and in_eval").select(F.col("key").alias("train_key"), F.col("key").alias("eval_key"), size.alias("shared"), size.alias("united"), size.alias("covered"))
-    return class_pairs(grouped, frequent_codes(keyed), num, den).unionByName(same), keyed.select("key", "id", "is_train")
+    return class_pairs(grouped, frequent_codes(grouped), num, den).unionByName(same), members
 
 
 def cross_split_pairs(records: DataFrame, num: int = 4, den: int = 5, min_words: int = 6) -> DataFrame:
