@@ -24,8 +24,6 @@ from spanframe.session import stored
 
 #: Words that come last in the global order, because they are in most texts. Any choice gives the same result.
 FREQUENT_WORDS = 1_000
-#: Codes of a suffix that are kept: longer common prefixes are found as overlapping spans.
-SUFFIX_WORDS = 8
 #: Heads of more suffixes than this are spread over ``SALTS`` tasks.
 HOT_HEAD, SALTS = 4_096, 32
 _CODE_BITS = 62
@@ -81,39 +79,44 @@ def two_word_sizes(num: int, den: int) -> tuple[list[int], int]:
     return two, three
 
 
-def suffixes(grouped: DataFrame, frequent: list[int], num: int, den: int) -> DataFrame:
-    """``key, size, in_train, in_eval, bits, head, pos, suffix``: the suffixes at the positions where a shared head must lie."""
+def text(words: Column | str, frequent: list[int]) -> Column:
+    """The codes of a word set in the global order: rare words first."""
 
     def ordered(word: Column) -> Column:
         code = _code(word)
         return F.when(code.isin(frequent), code + (1 << _CODE_BITS)).otherwise(code) if frequent else code
 
+    return F.array_sort(F.transform(words, ordered))
+
+
+def suffixes(grouped: DataFrame, frequent: list[int], num: int, den: int) -> DataFrame:
+    """``key, size, in_train, in_eval, bits, head, pos``: the suffixes at the positions where a shared head must lie; what follows the head stays in the text."""
     two, three = two_word_sizes(num, den)
     a = F.col("size")
     own = F.floor(a * (den - num) / F.lit(den)).cast("int")
     # own words that may stand between, then 2D + 3 common ones with D for a - own common words; more positions do no harm
     needed = F.floor(2 * (a - own) * (den - num) / F.lit(num)).cast("int") + 3 + own
-    texts = grouped.select("key", "size", "in_train", "in_eval", F.array_sort(F.transform("words", ordered)).alias("codes"), needed.alias("needed"))
+    texts = grouped.select("key", "size", "in_train", "in_eval", text("words", frequent).alias("codes"), needed.alias("needed"))
 
     def heads(width: int, last: Column) -> Column:
         at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("codes", i + 1, F.lit(width))).alias("head"), i.alias("pos"), F.slice("codes", i + 1, F.lit(SUFFIX_WORDS)).alias("suffix")))
+        return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("codes", i + 1, F.lit(width))).alias("head"), i.alias("pos")))
 
-    none = F.array().cast("array<struct<head:bigint,pos:int,suffix:array<bigint>>>")
+    none = F.array().cast("array<struct<head:bigint,pos:int>>")
     each = F.concat(F.when(a >= three, heads(3, F.least(a, F.col("needed")) - 3)).otherwise(none), F.when(a.isin(two), heads(2, a - 2)).otherwise(none))
     bits = F.aggregate("codes", F.lit(0).cast("long"), lambda x, c: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(c, F.lit(64)).cast("int"))))
     return texts.select("key", "size", "in_train", "in_eval", bits.alias("bits"), F.explode(each).alias("x")).select("key", "size", "in_train", "in_eval", "bits", "x.*")
 
 
-def common_prefix(a: Column, b: Column, longest: int = SUFFIX_WORDS) -> Column:
-    """How many leading elements two arrays share, up to ``longest``."""
-    differs = F.zip_with(F.slice(a, 1, longest), F.slice(b, 1, longest), lambda x, y: ~x.eqNullSafe(y))
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many leading elements two arrays share."""
+    differs = F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y))
     at = F.array_position(differs, F.lit(True)).cast("int")
     return F.when(at == 0, F.size(differs)).otherwise(at - 1)
 
 
 def seeds(grouped: DataFrame, frequent: list[int], num: int, den: int) -> DataFrame:
-    """``train_key, eval_key, pos, span``: spans that texts of both splits share, ``pos`` in the evaluation text; pairs that can't qualify are left out."""
+    """``train_key, eval_key, t_pos, e_pos``: where suffixes of both splits share their head; pairs that can't qualify are left out."""
     every = suffixes(grouped, frequent, num, den)
     # flags by head collapse before they move, however many suffixes a head has
     heads = every.groupBy("head").agg(F.max("in_train").alias("_t"), F.max("in_eval").alias("_e"), F.count("*").alias("n")).filter("_t and _e").select("head", (F.col("n") > HOT_HEAD).alias("hot"))
@@ -122,13 +125,13 @@ def seeds(grouped: DataFrame, frequent: list[int], num: int, den: int) -> DataFr
     crossing = stored(every.join(stored(heads), "head"))
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left, right = (crossing.filter(side).select("head", *(F.col(c).alias(p + c) for c in ("key", "size", "bits", "pos", "suffix")), s.alias("salt")) for side, p, s in (("in_train", "t_", salt), ("in_eval", "e_", F.explode(salts))))
+    left, right = (crossing.filter(side).select("head", *(F.col(c).alias(p + c) for c in ("key", "size", "bits", "pos")), s.alias("salt")) for side, p, s in (("in_train", "t_", salt), ("in_eval", "e_", F.explode(salts))))
     both = F.col("t_size") + F.col("e_size")
     tail = (F.col("t_size") - F.col("t_pos")) - (F.col("e_size") - F.col("e_pos"))
     # words that only one text has: before and after the shared head, and by the signatures
     least = F.greatest(F.abs(F.col("t_pos") - F.col("e_pos")) + F.abs(tail), F.bit_count(F.col("t_bits").bitwiseXOR(F.col("e_bits"))))
     pairs = left.join(right, ["head", "salt"]).filter((F.col("t_key") != F.col("e_key")) & (least * (den + num) <= both * (den - num)))
-    return pairs.select(F.col("t_key").alias("train_key"), F.col("e_key").alias("eval_key"), F.col("e_pos").alias("pos"), common_prefix(F.col("t_suffix"), F.col("e_suffix")).alias("span"))
+    return pairs.select(F.col("t_key").alias("train_key"), F.col("e_key").alias("eval_key"), "t_pos", "e_pos")
 
 
 def class_pairs(grouped: DataFrame, frequent: list[int], num: int = 4, den: int = 5) -> DataFrame:
@@ -136,12 +139,18 @@ def class_pairs(grouped: DataFrame, frequent: list[int], num: int = 4, den: int
 
     ``covered``: words of the evaluation text in merged shared spans; ``shared`` adds the common words that stand alone.
     """
-    at = F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + F.col("span") - 1)))
-    merged = seeds(grouped, frequent, num, den).groupBy("train_key", "eval_key").agg(F.size(F.array_distinct(at)).alias("covered"))
+    found = seeds(grouped, frequent, num, den).groupBy("train_key", "eval_key").agg(F.collect_set(F.struct("t_pos", "e_pos")).alias("at"))
     words = grouped.select("key", "words")
-    both = merged.join(words.select(F.col("key").alias("eval_key"), F.col("words").alias("ew")), "eval_key").join(words.select(F.col("key").alias("train_key"), F.col("words").alias("tw")), "train_key")
+    both = found.join(words.select(F.col("key").alias("eval_key"), F.col("words").alias("ew")), "eval_key").join(words.select(F.col("key").alias("train_key"), F.col("words").alias("tw")), "train_key")
     counted = both.withColumn("shared", F.size(F.array_intersect("ew", "tw"))).withColumn("united", F.size("ew") + F.size("tw") - F.col("shared"))
-    return counted.filter(F.col("shared") * den >= F.col("united") * num).select("train_key", "eval_key", "shared", "united", "covered")
+    similar = counted.filter(F.col("shared") * den >= F.col("united") * num).withColumns({"tt": text("tw", frequent), "et": text("ew", frequent)})
+
+    def span(seed: Column) -> Column:
+        rest = [F.slice(t, seed[p] + 1, F.size(t)) for t, p in (("tt", "t_pos"), ("et", "e_pos"))]
+        return F.sequence(seed["e_pos"], seed["e_pos"] + common_prefix(*rest) - 1)
+
+    covered = F.size(F.array_distinct(F.flatten(F.transform("at", span))))
+    return similar.select("train_key", "eval_key", "shared", "united", covered.alias("covered"))
 
 
 def overlap(records: DataFrame, num: int = 4, den: int = 5, min_words: int = 6) -> tuple[DataFrame, DataFrame]:
