@@ -1,9 +1,9 @@
 """Counts of every term and n-gram, and of the records that hold it, by sorted truncated suffixes.
 
 Only suffixes cut at ``max_n`` terms are moved, not all n-grams: each n-gram is the prefix of the suffixes that begin with
-it. Equal suffixes are added up before they move. They are routed by their first term (and a hash bucket of the second,
-so that a frequent first term doesn't end in one task), sorted in reverse lexicographic order, and read once with a stack: what
-leaves the stack has its final count and hands it to its prefix.
+it. Equal suffixes are added up before they move. They are routed by their first term (and a hash bucket of the second, as many as
+the session has shuffle partitions, so that a frequent first term doesn't end in one task), sorted in reverse lexicographic order, and read once
+with a stack: equal suffixes from different places add up there, and what leaves the stack has its final count and hands it to its prefix.
 
 Sets of records per n-gram would not stay bounded. They are replaced by sums: within a record the sorted suffixes tell, by the common
 prefix with their predecessor, from which length on a prefix is new to the record. Counting the suffixes by that length
@@ -23,6 +23,7 @@ from spanframe.functions.text import nfc
 
 #: Terms of a record that are handled together; longer records are cut, with the following ``max_n - 1`` terms added.
 RECORD_BLOCK = 65_536
+#: Least number of buckets of the second term.
 SECOND_TERM_BUCKETS = 16
 _CHUNK = 20_000
 
@@ -32,16 +33,29 @@ def normal_term(word: Column | str) -> Column:
     return F.lower(F.trim(nfc(word), F.lit(" \t\xa0")))
 
 
+def _partitions(df: DataFrame) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def term_sums(tokens: DataFrame) -> DataFrame:
+    """``suffix, occ, new1``: suffixes of one term, added up within each partition only: a term has a row per partition that holds it.
+
+    Rows are placed once, by record and term, so that a record of many terms and a term of many records are both spread; repeats, the terms of
+    each record and the sums of each term are then found without moving anything again. The stack adds up the partitions' sums.
+    """
+    n = _partitions(tokens)
+    known = tokens.filter("record is not null and pos is not null and term is not null and term <> ''").select("record", "pos", "term")
+    placed = known.withColumn("part", F.pmod(F.xxhash64("record", "term"), F.lit(n)).cast("int")).repartitionById(n, "part")
+    per_record = placed.groupBy("part", "record", "pos", "term").agg(F.lit(1).alias("one")).groupBy("part", "record", "term").agg(F.count("*").alias("n"))
+    return per_record.groupBy("part", "term").agg(F.sum("n").alias("occ"), F.count("*").alias("new1")).select(F.array("term").alias("suffix"), "occ", "new1")
+
+
 def suffixes(tokens: DataFrame, max_n: int, block: int = RECORD_BLOCK) -> DataFrame:
     """``record, suffix, n``: the truncated suffixes of each record with their number in it.
 
-    ``tokens`` has ``record, pos, term``. A position counts once for each of its terms if ``max_n`` is 1, else with its
-    least term; a missing position ends the n-grams before it.
+    ``tokens`` has ``record, pos, term``. A position counts once, with its least term; a missing position ends the n-grams before it.
     """
     known = tokens.filter("record is not null and pos is not null and term is not null and term <> ''").select("record", "pos", "term")
-    if max_n == 1:
-        # one shuffle for both: rows of a record and term lie together, a record of many terms is spread
-        return known.repartition("record", "term").distinct().groupBy("record", "term").agg(F.count("*").alias("n")).select("record", F.array("term").alias("suffix"), "n")
     one = known.groupBy("record", "pos").agg(F.min("term").alias("term"))
     own = F.floor(F.col("pos") / block)
     also_before = (F.col("pos") % block < max_n - 1) & (own > 0)
@@ -67,21 +81,18 @@ def ngram_counts(tokens: DataFrame, max_n: int = 1, min_records: int = 1) -> Dat
     """``ngram array<string>, n int, occurrences long, records long`` of all n-grams of 1 to ``max_n`` terms.
 
     ``tokens`` has ``record, pos, term``; repeated rows count once; null or empty terms are no terms and end the
-    n-grams before them; extra columns are ignored; an empty table gives no rows. Only n-grams of at least
+    n-grams before them; extra columns are ignored; an empty table gives no rows. With ``max_n`` 1 a position counts once for each of its
+    terms, else with its least one. Only n-grams of at least
     ``min_records`` records come out.
     """
-    found = suffixes(tokens, max_n)
     if max_n == 1:
-        # a record has a term as one suffix: it is new to the record there
-        news = found.withColumn("new", F.lit(1))
+        routed = term_sums(tokens).repartition(F.col("suffix")[0])
     else:
         w = Window.partitionBy("record", F.col("suffix")[0]).orderBy("suffix")
-        news = found.withColumn("before", F.lag("suffix").over(w)).withColumn("new", _common(F.col("before"), F.col("suffix"), max_n) + 1)
-    summed = news.groupBy("suffix").agg(F.sum("n").alias("occ"), *(F.sum((F.col("new") == k).cast("long")).alias(f"new{k}") for k in range(1, max_n + 1)))
-    if max_n == 1:
-        routed = summed.repartition(F.col("suffix")[0])
-    else:
-        routed = summed.repartition(F.col("suffix")[0], F.pmod(F.xxhash64(F.get("suffix", F.lit(1))), F.lit(SECOND_TERM_BUCKETS)))
+        news = suffixes(tokens, max_n).withColumn("before", F.lag("suffix").over(w)).withColumn("new", _common(F.col("before"), F.col("suffix"), max_n) + 1)
+        summed = news.groupBy("suffix").agg(F.sum("n").alias("occ"), *(F.sum((F.col("new") == k).cast("long")).alias(f"new{k}") for k in range(1, max_n + 1)))
+        buckets = max(SECOND_TERM_BUCKETS, _partitions(tokens))
+        routed = summed.repartition(F.col("suffix")[0], F.pmod(F.xxhash64(F.get("suffix", F.lit(1))), F.lit(buckets)))
     counted = routed.sortWithinPartitions(F.col("suffix").desc()).mapInArrow(_stack_reader(max_n), "ngram array<string>, n int, occurrences long, records long")
     if max_n > 1:
         # a first term's suffixes lie in several buckets: only its own count is still in parts

@@ -31,6 +31,13 @@ def test_against_brute_force(spark):
         assert counted(df, max_n=n) == brute(records, n)
 
 
+def test_sums_of_partitions_meet_in_the_stack(spark):
+    rows = [(r, i, t) for r in range(300) for i, t in enumerate(["hot", "hot", f"t{r % 7}"])]
+    df = spark.createDataFrame(rows, "record long, pos int, term string")
+    parts = ngrams.term_sums(df).collect()
+    assert len(parts) > 8 and counted(df, max_n=1) == brute({r: ["hot", "hot", f"t{r % 7}"] for r in range(300)}, 1)
+
+
 def test_blocks_of_long_records(spark, monkeypatch):
     records = {1: ["a", "b"] * 50 + ["c"], 2: ["b", "a", "c"]}
     df = spark.createDataFrame([(r, i, t) for r, ts in records.items() for i, t in enumerate(ts)], "record long, pos int, term string")
