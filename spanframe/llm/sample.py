@@ -18,6 +18,8 @@ from spanframe.operators.splits import normal_split
 BITS = 20
 BUCKETS = 1 << BITS
 _MASK = BUCKETS - 1
+#: Runs whose settings one pass over the sentences carries.
+RUN_BLOCK = 20_000
 
 
 def bucket(*keys: Column | str) -> Column:
@@ -66,22 +68,29 @@ def run_settings(runs: DataFrame) -> DataFrame:
     return last.select("run_id", "x.fraction", "x.seed", wrong.alias("reason"))
 
 
-def train_sentences(sentences: DataFrame) -> DataFrame:
-    """The distinct train sentences over all deliveries."""
-    return sentences.filter((normal_split("split") == "train") & F.col("sentence_id").isNotNull()).select("sentence_id").distinct()
+def train_sentences(sentences: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The distinct train sentences over all deliveries, in ``partitions`` parts if given: one shuffle by sentence serves both."""
+    train = sentences.filter((normal_split("split") == "train") & F.col("sentence_id").isNotNull()).select("sentence_id")
+    return (train.repartition(partitions, "sentence_id") if partitions else train).distinct()
 
 
 def run_samples(sentences: DataFrame, runs: DataFrame) -> DataFrame:
     """``run_id, sentence_id``: the train sentences of each run with a usable fraction.
 
-    Each sentence's place is found once per distinct seed; runs are joined on the seed, so the rows made are those of the result
-    and one per sentence and seed. Runs are few by nature: they are grouped by seed before the join.
+    A sentence's place is found once per distinct seed, whatever number of runs share it; what is made of a sentence are the rows of the
+    result and one place per seed. The sentences are spread over the session's partitions before this fan-out. Seeds with their runs go to the
+    workers in blocks of at most about :data:`RUN_BLOCK` runs, so that what is broadcast doesn't grow with the registry.
     """
     usable = run_settings(runs).filter("reason is null").select("run_id", "seed", F.ceil(F.col("fraction") * BUCKETS).alias("taken"))
-    seeds = [r[0] for r in usable.select("seed").distinct().orderBy("seed").collect()]
-    if not seeds:
-        return sentences.select(F.lit("").alias("run_id"), "sentence_id").limit(0)
-    keyed = train_sentences(sentences).withColumn("bucket", bucket("sentence_id"))
-    placed = keyed.select("sentence_id", "bucket", F.explode(F.array(*(F.lit(s).cast("long") for s in seeds))).alias("seed"))
-    placed = placed.withColumn("place", position(F.col("bucket"), F.col("seed")))
-    return placed.join(usable, "seed").filter("place < taken").select("run_id", "sentence_id")
+    spark = sentences.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = train_sentences(sentences, parts).select("sentence_id", bucket("sentence_id").alias("bucket"), F.lit(0).alias("_k"))
+    blocks = max(1, math.ceil(usable.count() / RUN_BLOCK))
+    out = None
+    for block in range(blocks):
+        part = usable if blocks == 1 else usable.filter(F.pmod(F.xxhash64("run_id"), F.lit(blocks)) == block)
+        by_seed = part.groupBy("seed").agg(F.collect_list(F.struct("run_id", "taken")).alias("runs")).withColumn("_k", F.lit(0))
+        placed = keyed.join(F.broadcast(by_seed), "_k").withColumn("place", position(F.col("bucket"), F.col("seed")))
+        chosen = placed.select(F.explode(F.filter("runs", lambda r: F.col("place") < r["taken"])["run_id"]).alias("run_id"), "sentence_id")
+        out = chosen if out is None else out.unionByName(chosen)
+    return out

@@ -34,7 +34,7 @@ def test_null_keys_and_bad_fractions(spark):
 CONFIG = "struct<data:struct<train_fraction:double,subsample_seed:long,max_train_samples:long>>"
 
 
-def test_runs(spark):
+def test_runs(spark, monkeypatch):
     runs = spark.createDataFrame(
         [("a", ((None, None, None),), 1), ("b", None, 1), ("c", ((1.5, 1, None),), 1), ("d", ((0.5, 3, None),), 1), ("d", ((0.25, 3, None),), 2), ("e", ((float("nan"), 3, None),), 1), (None, None, 1)],
         f"run_id string, config {CONFIG}, registered_at long",
@@ -47,5 +47,8 @@ def test_runs(spark):
     for r in sample.run_samples(sentences, runs).collect():
         chosen.setdefault(r["run_id"], []).append(r["sentence_id"])
     assert sorted(chosen["a"]) == list(range(500)) and set(chosen) == {"a", "b", "d"} and 80 < len(chosen["d"]) < 170
+    whole = sorted(map(tuple, sample.run_samples(sentences, runs).collect()))
+    monkeypatch.setattr(sample, "RUN_BLOCK", 1)
+    assert sorted(map(tuple, sample.run_samples(sentences.repartition(7), runs).collect())) == whole
     assert sample.run_samples(sentences.limit(0), runs).count() == 0
     assert sample.run_samples(sentences, runs.limit(0)).count() == 0
