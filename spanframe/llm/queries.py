@@ -51,9 +51,7 @@ def p7_found(spark, sf_dir):
 @LLM.register("p7_leaks")
 def p7_leaks(spark, sf_dir):
     """Leaked items with the documents they stand in and how much of them is covered, reordered parts included."""
-    found = tiling.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
-    hit = found.filter((F.col("covered") * 2 >= F.col("n_words")) | (F.col("longest") >= 8))
-    return hit.withColumn("coverage", F.col("covered") / F.col("n_words"))
+    return tiling.covering(tiling.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), seed=4, share=0.5))
 
 
 _P2_TOKENS = r"""

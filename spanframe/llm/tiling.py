@@ -1,35 +1,40 @@
 """Evaluation passages inside training texts, by greedy string tiling.
 
-Every document is read once. Its match words become numbers of the passages' vocabulary (0: a word no passage has); a
-rolling Karp-Rabin hash over windows of ``seed`` words, computed for a whole batch at once, finds the windows that some passage
-has too. For each document and passage that share such a seed the tiling runs: the longest common run of unmarked words is marked first,
-then the next, down to ``min_tile`` words, so that passages whose parts were reordered still show their coverage.
+Texts become arrays of 64-bit word codes on the JVM. A rolling Karp-Rabin hash over windows of ``seed`` codes, computed for a whole batch at
+once, is looked up in a bit table of the passages' windows; only documents with hits go on. Their hits are joined with the passages' windows,
+which gives the pairs to look at, and each pair is tiled: the longest common run of unmarked words is marked first, then the next, down to
+``min_tile`` words, so that passages whose parts were reordered still show their coverage.
 
-The passages go to the workers in blocks of bounded size, one pass over the documents per block; the documents are
-never shuffled or collected. The result is as large as the leaks.
+One pass over the documents serves any number of passages: the bit table has a fixed size (a fuller one only lets more documents through to
+the join, which is exact), passages are never collected, and of a document without hits nothing is kept. The result is as large as the leaks.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spanframe.llm.batches import slices
-from spanframe.llm.words import match_words
+from spanframe.functions.text import match_words
+from spanframe.session import stored
 
-#: Code points of passages in one block: what a pass sends to each worker is at most some times this.
-BLOCK_CHARS = 8_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_TABLE_BITS = 20
+#: Size of the bit table: 2^24 bits, 2 MB, whatever the number of passages.
+TABLE_BITS = 24
+_SHIFT = np.uint64(64 - TABLE_BITS)
+
+
+def word_codes(text: Column | str) -> Column:
+    """The 64-bit codes of a text's match words, in order."""
+    return F.transform(match_words(text), lambda w: F.xxhash64(w))
 
 
 def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
@@ -42,37 +47,8 @@ def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
     for j in range(1, width):
         out *= _BASE
         out += ids[j : j + n]
-    return out
-
-
-class Passages:
-    """One block of passages: their vocabulary, numbers, and seeds."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], seed: int) -> None:
-        self.seed = seed
-        self.vocabulary: dict[str, int] = {}
-        self.ids: dict[int, np.ndarray] = {}
-        seeds: dict[int, set[int]] = defaultdict(set)
-        for item, words in items:
-            if len(words) < seed:
-                continue
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-            self.ids[item] = ids
-            for h in window_hashes(ids, seed).tolist():
-                seeds[h].add(item)
-        self.seeds = {h: tuple(sorted(x)) for h, x in seeds.items()}
-        self.filter = np.zeros(1 << _TABLE_BITS, bool)
-        if self.seeds:
-            self.filter[np.array(list(self.seeds), np.uint64) >> np.uint64(64 - _TABLE_BITS)] = True
-
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """(position, passages) of the windows of ``ids`` that some passage has."""
-        hashes = window_hashes(ids, self.seed)
-        # a window of words that no passage has can't be a seed; most windows end here
-        for i in np.flatnonzero(self.filter[hashes >> np.uint64(64 - _TABLE_BITS)]).tolist():
-            found = self.seeds.get(int(hashes[i]))
-            if found:
-                yield i, found
+    # codes are hashes, sums of them too; the last step spreads what equal words leave in the low bits
+    return (out ^ (out >> np.uint64(29))) * _BASE
 
 
 def tile(item: np.ndarray, doc: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
@@ -121,72 +97,114 @@ def tile(item: np.ndarray, doc: np.ndarray, min_tile: int) -> list[tuple[int, in
     return tiles
 
 
-def _scan(passages: Passages, keys: list, texts: list[str | None], min_tile: int) -> Iterator[tuple]:
-    """(key, item, words of the item, longest tile, covered words, tiles) of the documents of one batch."""
-    get, gap = passages.vocabulary.get, passages.seed
-    numbers, bounds, at = [], [], 0
-    for text in texts:
-        ids = [get(w, 0) for w in match_words(text)] if text else []
-        bounds.append((at, at + len(ids)))
-        numbers += ids
-        numbers += [0] * gap  # no seed runs from one text into the next
-        at += len(ids) + gap
-    ids = np.array(numbers, np.int64)
-    starts = np.array([b[0] for b in bounds], np.int64)
-    pairs: dict[tuple[int, int], None] = {}
-    for i, items in passages.candidates(ids):
-        doc = int(np.searchsorted(starts, i, "right")) - 1
-        for item in items:
-            pairs[doc, item] = None
-    for doc, item in pairs:
-        lo, hi = bounds[doc]
-        words = passages.ids[item]
-        tiles = tile(words, ids[lo:hi], min_tile)
-        if tiles:
-            yield keys[doc], item, len(words), tiles[0][2], sum(t[2] for t in tiles), len(tiles)
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, seed: int = 6, min_tile: int = 4, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Documents that contain passages: ``doc_id, item_id, n_words, longest, covered, tiles``, one row per pair.
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds) of a list column without nulls."""
+    return np.asarray(column.flatten()), np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(column)).astype(np.int64))))
+
+
+def _inner_windows(values: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, owners) of the windows of ``width`` values that lie within one list."""
+    hashes = window_hashes(values, width)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    inside = owner[: len(hashes)] == owner[width - 1 :] if len(hashes) else np.zeros(0, bool)
+    return hashes[inside], owner[: len(hashes)][inside]
+
+
+def item_windows(items: DataFrame, seed: int) -> DataFrame:
+    """``passage, window, m``: the window hashes of each passage and at how many of its places each stands; ``items`` has ``passage, codes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, owner = _inner_windows(*_lists(batch.column(1)), seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(hashes.astype(np.int64))], ["passage", "window"])
+
+    return items.select("passage", "codes").mapInArrow(run, T.StructType([items.schema["passage"], T.StructField("window", T.LongType())])).groupBy("passage", "window").agg(F.count("*").alias("m"))
 
-    A pair comes out if document and passage share ``seed`` consecutive match words; ``longest`` is the longest common run,
-    ``covered`` the words of the passage in tiles of at least ``min_tile`` words, ``n_words`` its length. Passages
-    shorter than ``seed`` match words give no rows; null and empty texts give none; repeated documents or passages (same
-    id and text) give one row; with several texts under one id, the longest run found counts. Texts of any length are read whole. Extra
-    columns are ignored. Empty tables give the empty result.
-    """
-    if min_tile > seed:
-        raise ValueError("min_tile must not exceed seed")
-    doc_type, item_type = docs.schema[doc_id].dataType, items.schema[item_id].dataType
-    schema = T.StructType([T.StructField(doc_id, doc_type), T.StructField(item_id, item_type), *(T.StructField(c, T.IntegerType()) for c in ("n_words", "longest", "covered", "tiles"))])
-    passages = items.select(item_id, F.col(text).alias("t")).filter(F.col("t").isNotNull() & F.col(item_id).isNotNull()).distinct()
-    total = passages.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_chars))
-    out = None
-    for block in range(blocks):
-        part = passages if blocks == 1 else passages.filter(F.pmod(F.xxhash64(item_id, "t"), F.lit(blocks)) == block)
-        found = _pass(docs.select(F.col(doc_id), F.col(text)), Passages([(r[0], match_words(r[1])) for r in part.collect()], seed), min_tile, schema)
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy(doc_id, item_id).agg(*(F.max(c).alias(c) for c in ("n_words", "longest", "covered", "tiles")))
-
-
-def _pass(docs: DataFrame, passages: Passages, min_tile: int, schema: T.StructType) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(passages)
-    names = schema.fieldNames()
-    types = to_arrow_schema(schema)
+
+def bit_table(windows: DataFrame) -> np.ndarray:
+    """The table of 2^:data:`TABLE_BITS` bits that has the windows' bits set, merged as words of 64 bits: at most 2^18 rows reach the driver."""
+    words = windows.select(F.shiftrightunsigned("window", 64 - TABLE_BITS).alias("b")).select(F.shiftright("b", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(64)).cast("int")).alias("m"))
+    merged = words.groupBy("w").agg(F.bit_or("m").alias("m"))
+    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
+    for batch in merged.toArrow().to_batches():
+        table[np.asarray(batch.column(0))] = np.asarray(batch.column(1)).astype(np.uint64)
+    return np.unpackbits(table.view(np.uint8), bitorder="little")
+
+
+def candidate_documents(docs: DataFrame, table: np.ndarray, seed: int) -> DataFrame:
+    """``doc, codes, windows``: the documents with windows whose bit is set, and these windows; ``docs`` has ``doc, codes``."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
+    number = T.ArrayType(T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for lo, hi in slices(texts):
-                rows = list(_scan(shared.value, keys.slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist(), min_tile))
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, types.field(n).type) for n, c in zip(names, columns, strict=True)], names)
+            hashes, owner = _inner_windows(*_lists(batch.column(1)), seed)
+            hit = bits[(hashes >> _SHIFT).astype(np.int64)]
+            if hit.any():
+                hashes, owner = hashes[hit], owner[hit]
+                with_hits, first = np.unique(owner, return_index=True)
+                windows = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), pa.array(hashes.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(with_hits)) for c in batch.columns), windows], ["doc", "codes", "windows"])
+
+    return docs.select("doc", "codes").mapInArrow(run, T.StructType([docs.schema["doc"], T.StructField("codes", number), T.StructField("windows", number)]))
+
+
+def _tiled(min_tile: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (a, at_a), (b, at_b) = (_lists(batch.column(i)) for i in (2, 3))
+            rows = []
+            for i in range(batch.num_rows):
+                item = a[at_a[i] : at_a[i + 1]]
+                tiles = tile(item, b[at_b[i] : at_b[i + 1]], min_tile)
+                rows.append((len(item), tiles[0][2] if tiles else 0, sum(t[2] for t in tiles), len(tiles)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[k] for r in rows], pa.int32()) for k in range(4))], [*batch.schema.names[:2], "n_words", "longest", "covered", "tiles"])
+
+    return run
 
-    return docs.mapInArrow(run, schema)
+
+def find_leaks(docs: DataFrame, items: DataFrame, seed: int = 6, min_tile: int = 4, least: int = 6, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", share: float | None = None, run: int = 8) -> DataFrame:
+    """Documents that contain passages: ``doc_id, item_id, n_words, longest, covered, tiles``, one row per pair.
+
+    A pair comes out if document and passage share ``seed`` consecutive match words; ``longest`` is the longest common run,
+    ``covered`` the words of the passage in tiles of at least ``min_tile`` words, ``n_words`` its length. Passages
+    shorter than ``least`` match words give no rows; null and empty texts and null ids give none; repeated documents or passages (same
+    id and text) give one row; with several texts under one id each is tiled by itself and the greatest figures count. Texts of any length are
+    read whole. Extra columns are ignored. Empty tables give the empty result. Words are compared through 64-bit codes.
+
+    With ``share``, pairs that have too few common windows for tiles over this share of the passage, and for a run of ``run`` words, aren't tiled.
+    No pair that reaches either is left out if ``seed`` is ``min_tile``: a tile of k words has k - seed + 1 windows, so k at most ``seed`` for each.
+    """
+    if not 0 < min_tile <= seed <= least:
+        raise ValueError("min_tile, seed and least must not decrease")
+    if share is not None and seed != min_tile:
+        raise ValueError("a share needs seeds of min_tile words")
+    if not isinstance(docs.schema[text].dataType, T.StringType):
+        raise ValueError(f"{text} must be text")
+    passages = items.filter(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), word_codes(text).alias("codes")).filter(F.size("codes") >= least).distinct()
+    passages = stored(passages.withColumn("passage", F.xxhash64("item", "codes")))
+    windows = stored(item_windows(passages, seed))
+    texts = docs.filter(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), word_codes(text).alias("codes"))
+    # codes of documents with hits only; a document's number tells its texts apart
+    hits = stored(candidate_documents(texts, bit_table(windows), seed).withColumn("number", F.xxhash64("doc", "codes")))
+    each = hits.select("number", F.explode(F.array_distinct("windows")).alias("window"))
+    pairs = each.join(windows, "window").groupBy("number", "passage").agg(F.sum("m").alias("common"))
+    bodies = hits.select("number", "doc", F.col("codes").alias("doc_codes")).dropDuplicates(["number"])
+    both = pairs.join(passages.select("passage", "item", F.col("codes").alias("item_codes")), "passage")
+    if share is not None:
+        both = both.filter((F.col("common") * seed >= F.size("item_codes") * share) | (F.col("common") > run - seed))
+    both = both.join(bodies, "number").select("doc", "item", "item_codes", "doc_codes")
+    types = [T.StructField("doc", docs.schema[doc_id].dataType), T.StructField("item", items.schema[item_id].dataType), *(T.StructField(c, T.IntegerType()) for c in ("n_words", "longest", "covered", "tiles"))]
+    found = both.mapInArrow(_tiled(min_tile), T.StructType(types)).filter("tiles > 0")
+    return found.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(*(F.max(c).alias(c) for c in ("n_words", "longest", "covered", "tiles")))
 
 
 def qualifying(leaks: DataFrame, words: int = 8, shortest: int = 6) -> DataFrame:
     """The pairs whose longest run has ``words`` words, or all of a passage of ``shortest`` words to ``words`` less one."""
     return leaks.filter((F.col("n_words") >= shortest) & (F.col("longest") >= F.least(F.lit(words), F.col("n_words"))))
+
+
+def covering(leaks: DataFrame, share: float = 0.5, words: int = 8) -> DataFrame:
+    """The pairs whose tiles cover ``share`` of the passage, in whatever order, or that have a run of ``words`` words, with ``coverage``."""
+    return leaks.withColumn("coverage", F.col("covered") / F.col("n_words")).filter((F.col("coverage") >= share) | (F.col("longest") >= words))

@@ -52,14 +52,53 @@ def frames(spark):
 def test_found(spark):
     docs, items = frames(spark)
     want = [(1, 10), (2, 10), (6, 12), (7, 11), (8, 10)]
-    for size in (tiling.BLOCK_CHARS, 30):
-        found = tiling.qualifying(tiling.find_leaks(docs, items, block_chars=size)).select("doc_id", "item_id")
+    for seed in (4, 6):
+        found = tiling.qualifying(tiling.find_leaks(docs, items, seed=seed)).select("doc_id", "item_id")
         assert sorted(map(tuple, found.collect())) == want
     leaks = {(r["doc_id"], r["item_id"]): (r["n_words"], r["longest"], r["covered"]) for r in tiling.find_leaks(docs, items).collect()}
     assert leaks[3, 10] == (9, 7, 7)
     assert tiling.find_leaks(docs.limit(0), items).count() == 0 and tiling.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_full_bit_table_loses_nothing(spark, monkeypatch):
+    docs, items = frames(spark)
+    want = sorted(map(tuple, tiling.find_leaks(docs, items).collect()))
+    monkeypatch.setattr(tiling, "bit_table", lambda _: np.ones(1 << tiling.TABLE_BITS, np.uint8))
+    assert sorted(map(tuple, tiling.find_leaks(docs, items).collect())) == want
+
+
+def test_two_texts_under_one_id(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "x a b c d e f y"), (5, "z z z a b c d z z")], "item_id long, text string")
+    assert [(r["item_id"], r["longest"], r["n_words"]) for r in tiling.find_leaks(docs, items, seed=4).collect()] == [(5, 6, 9)]
+
+
+def test_reordered_passages_are_found(spark):
+    # passages cut into parts of four to nine words, put into documents in another order between other words
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randint(0, 3000)}"
+    items, docs, planted = [], [], set()
+    for i in range(120):
+        words = [word() for _ in range(rng.randint(8, 40))]
+        items.append((i, " ".join(words)))
+        parts, at = [], 0
+        while len(words) - at >= 4:
+            n = min(rng.randint(4, 9), len(words) - at)
+            parts.append(words[at : at + n])
+            at += n
+        rng.shuffle(parts)
+        body = [word() for _ in range(30)]
+        for p in parts:
+            body += p + [word() for _ in range(rng.randint(1, 5))]
+        docs.append((i, " ".join(body + [word() for _ in range(200)])))
+        planted.add((i, i))
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in tiling.covering(tiling.find_leaks(d, t, seed=4, share=0.5)).collect()}
+    assert planted <= found and len(found) < len(planted) + 5
+    whole = {(r["doc_id"], r["item_id"]) for r in tiling.covering(tiling.find_leaks(d, t, seed=4)).collect()}
+    assert found == whole
+
+
 def test_match_words_equal_both_ways(spark):
     from pyspark.sql import functions as F
 
