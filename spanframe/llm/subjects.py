@@ -21,12 +21,14 @@ from dataclasses import dataclass, field
 from itertools import combinations
 
 import pyarrow as pa
+import xxhash
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from spanframe.functions.text import INVISIBLE, nfc
 from spanframe.llm.batches import slices
 from spanframe.llm.words import normal
 from spanframe.session import checkpointed
@@ -49,8 +51,11 @@ LONGEST_RULE = 3
 #: Shares tried in calibration; the one used when there are too few labelled documents to calibrate.
 SHARES = tuple(x / 100 for x in range(16, 37, 2))
 DEFAULT_SHARE, CALIBRATION_LEAST = 0.26, 200
-#: A line is boilerplate if at least so many distinct texts, and this share of them, have it.
-MENU_LEAST, MENU_SHARE, MENU_CHARS = 5, 1 / 500, 120
+#: A line is boilerplate if at least so many distinct texts, and this share of them, have it; most such lines.
+MENU_LEAST, MENU_SHARE, MOST_MENU = 5, 1 / 500, 200_000
+_UNSIGNED = (1 << 64) - 1
+#: What ``str.strip`` takes off the ends of a line.
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most words of a unit: longer runs without sentence ends are cut into even windows of words.
 LONGEST_UNIT = 30
 QUOTES = ("«", ">", "“", "„", '"')
@@ -109,9 +114,9 @@ def unquoted(line: str) -> str:
     return " ".join([*kept, line[end:]]).strip()
 
 
-def running_text(text: str, menu: frozenset[str]) -> list[list[str]]:
-    """The units, as words, of what counts in a text: sentences, and consecutive windows of longer ones. ``menu`` holds lines in normal form."""
-    lines = [u for line in normal(text).split("\n") if (s := line.strip()) and s not in menu and (u := unquoted(s))]
+def running_text(text: str, menu: frozenset[int]) -> list[list[str]]:
+    """The units, as words, of what counts in a text: sentences, and consecutive windows of longer ones. ``menu`` holds codes of lines in normal form."""
+    lines = [u for line in normal(text).split("\n") if (s := line.strip()) and line_code(s) not in menu and (u := unquoted(s))]
     if len(lines) > 1:
         # a line in another language than most of the text is a quotation; short lines are too short to tell
         tongue = [language(s) if len(s) >= 25 else "" for s in lines]
@@ -155,10 +160,10 @@ class _Known(dict):
 
 @dataclass
 class Model:
-    """Rules by their sets of stems: subject and evidence; the boilerplate lines; the calibrated share."""
+    """Rules by their sets of stems: subject and evidence; codes of the boilerplate lines; the calibrated share."""
 
     rules: dict[tuple[str, ...], tuple[str, float]]
-    menu: frozenset[str]
+    menu: frozenset[int]
     share: float = DEFAULT_SHARE
     stems: frozenset[str] = field(default=frozenset())
     longest: int = 1
@@ -202,17 +207,30 @@ class Model:
         return sorted(s for s, x in self.shares(text).items() if x >= least)
 
 
-def menu_lines(docs: DataFrame, text: str = "text") -> frozenset[str]:
-    """Lines that recur over the distinct texts of the corpus: copies of a text, by its hash, count once, however many ids they have.
+def line_code(line: str) -> int:
+    """The 64-bit code of a line in normal form, equal to ``xxhash64`` of the JVM."""
+    return xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
 
-    As texts have a bounded number of such lines on average, the list is bounded by 1 / MENU_SHARE times that.
+
+def menu_lines(docs: DataFrame, text: str = "text") -> frozenset[int]:
+    """Codes of the lines, in normal form, that recur over the distinct texts of the corpus: copies of a text, by its hash, count once, however many ids they have.
+
+    Only codes are shuffled, in one pass: a code that every text has counts the texts. As texts have a bounded number of lines on average, the lines
+    that a share of all texts have are bounded by 1 / MENU_SHARE times that; more than :data:`MOST_MENU` are an error, none is left out.
     """
-    texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), text)
-    lines = texts.select("id", F.explode(F.array_distinct(F.split(text, "\n"))).alias("line")).filter(F.length("line") <= MENU_CHARS)
-    lines = lines.select("id", F.trim(F.regexp_replace("line", r"^(?U)\s+|(?U)\s+$", "")).alias("line")).filter("line <> ''")
-    counted = lines.distinct().groupBy("line").count()
-    least = max(MENU_LEAST, math.ceil(texts.select("id").distinct().count() * MENU_SHARE))
-    return frozenset(normal(r[0]).strip() for r in counted.filter(F.col("count") >= least).select("line").collect())
+    plain = F.lower(nfc(F.translate(text, INVISIBLE, "")))
+    lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x, F.lit(SPACES))), lambda x: x != "")
+    codes = F.array_append(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))), F.lit(None).cast("long"))
+    each = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), F.explode(codes).alias("line")).distinct()
+    counted = each.groupBy("line").count().filter(F.col("count") >= MENU_LEAST)
+    found = counted.orderBy(F.desc("count"), F.asc_nulls_first("line")).limit(MOST_MENU + 1).collect()
+    # all texts have the first one
+    total = found[0][1] if found else 0
+    least = max(MENU_LEAST, math.ceil(total * MENU_SHARE))
+    heavy = frozenset(r[0] & _UNSIGNED for r in found if r[0] is not None and r[1] >= least)
+    if len(heavy) >= MOST_MENU:
+        raise ValueError(f"more than {MOST_MENU} lines recur: these texts aren't pages with menus")
+    return heavy
 
 
 def label_sets(labels: DataFrame, limit: int = LABELLED_LIMIT) -> DataFrame:
@@ -221,8 +239,8 @@ def label_sets(labels: DataFrame, limit: int = LABELLED_LIMIT) -> DataFrame:
     return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def _transactions(labelled: DataFrame, menu: frozenset[str]) -> DataFrame:
-    """``subject, stems`` of the sentences of documents with one label."""
+def _transactions(labelled: DataFrame, menu: frozenset[int]) -> DataFrame:
+    """``subject, stems`` of the sentences of documents with one label: of two subjects, a sentence doesn't tell which one it is about. They count in calibration."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from spanframe.llm import subjects as S
 
 WORDS = {"law": ["court", "judge", "trial", "verdict", "lawyer"], "sport": ["match", "goal", "coach", "stadium", "trophy"]}
@@ -26,7 +28,7 @@ def test_fit_and_assign(spark):
     docs = spark.createDataFrame([(i, t, "c") for i, t, _ in rows] + [(500, None, "c"), (501, "", "c"), (502, " \n ", "c"), (503, "Home | News", "c")], "doc_id long, text string, subject string")
     labels = spark.createDataFrame([(i, s, "e") for i, _, s in rows[:60]] + [(1, "sport", "e"), (None, "law", "e"), (2, None, "e")], "doc_id long, subject string, labeller string")
     model = S.fit(docs, labels)
-    assert model.share == S.DEFAULT_SHARE and "home | news" in model.menu
+    assert model.share == S.DEFAULT_SHARE and S.line_code("home | news") in model.menu
     found = {}
     for r in S.assign(docs, model).collect():
         found.setdefault(r["doc_id"], []).append(r["subject"])
@@ -44,7 +46,7 @@ def test_without_labels(spark):
 
 
 def test_running_text_and_shares():
-    model = S.Model({("court",): ("law", 2.0), ("match",): ("sport", 2.0), ("city", "match"): ("law", 9.0)}, frozenset({"menu line"}))
+    model = S.Model({("court",): ("law", 2.0), ("match",): ("sport", 2.0), ("city", "match"): ("law", 9.0)}, frozenset({S.line_code("menu line")}))
     assert S.running_text("Menu line\n«Court quoted here»\nThe court sat. Then lunch", model.menu) == [["the", "court", "sat"], ["then", "lunch"]]
     assert model.shares("The court sat. Then long lunch") == {"law": 0.5}
     assert model.shares("match match court") == {"sport": 1.0} or model.shares("match match court") == {"law": 1.0}
@@ -70,12 +72,22 @@ def test_copies_of_a_text_are_no_menu(spark):
     copied = "Home | News\n" + "\n".join(f"{sentence(rng, 'law')} Paragraph {i}" for i in range(4))
     rows = [(i, copied) for i in range(40)] + [(100 + i, f"  Home | News\nHome | News\n{sentence(rng, 'sport')} Text {i}") for i in range(80)] + [(900, None), (901, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert S.menu_lines(docs) == {"home | news"}
+    assert S.menu_lines(docs) == {S.line_code("home | news")}
     # a line twice in one text counts once
     few = spark.createDataFrame([(i, f"  Twice\nTwice\nText {i}") for i in range(4)], "doc_id long, text string")
     assert S.menu_lines(few) == frozenset()
 
 
+def test_menu_lines_of_any_length_and_form(spark, monkeypatch):
+    long = "Бас бет · " * 60
+    docs = spark.createDataFrame([(i, f"{long if i % 2 else long.upper()}\xa0\n\u200bЙ\nText {i}") for i in range(8)], "doc_id long, text string")
+    assert S.menu_lines(docs) == {S.line_code(long.lower().strip()), S.line_code("й")}
+    assert S.running_text(f" {long}\nThe text", S.menu_lines(docs)) == [["the", "text"]]
+    monkeypatch.setattr(S, "MOST_MENU", 1)
+    with pytest.raises(ValueError, match="recur"):
+        S.menu_lines(docs)
+
+
 def test_long_units_are_scored_in_windows():
     model = S.Model({("court",): ("law", 2.0), ("match",): ("sport", 2.0)}, frozenset())
     words = ["court", "house", "river"] * 200 + ["match", "house", "river"] * 200
