@@ -7,6 +7,7 @@ import json
 import sys
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from spanframe.operators import registry as R
 from spanframe.operators import spans as S
 from spanframe.operators import tables as Tb
 from spanframe.sources import contract, iob2, runs
-from spanframe.stats import bootstrap
+from spanframe.stats import bootstrap, intervals
 
 
 def _save(out: str | None, report: object) -> None:
@@ -119,7 +120,7 @@ def paired(spark: SparkSession, a: argparse.Namespace) -> dict:
     seeds = sorted(arms[a.a])
     one, two = (cube.counts[[at[arms[n][s]] for s in seeds]] for n in (a.a, a.b))
     found = bootstrap.paired_f1(one, two, a.replicates, a.seed)
-    return found | {"seeds": seeds, "sign_flip_p": bootstrap.sign_flip_p(found["by_seed"])}
+    return found | {"seeds": seeds, "sign_flip_p": intervals.sign_flip_share(np.array(found["by_seed"]))}
 
 
 def transfer(spark: SparkSession, a: argparse.Namespace) -> list:

@@ -13,7 +13,7 @@ from spanframe.plans.registry import CORE
 from spanframe.plans.spans import words
 from spanframe.plans.tokens import WORDS, hits_of, split_words, word_table_of
 from spanframe.session import checkpointed, table
-from spanframe.stats import bootstrap, logistic
+from spanframe.stats import bootstrap, logistic, resample
 from spanframe.stats import intervals as T
 
 RUNS = "reg AS (SELECT run_id, x.config AS config, x.metrics AS metrics, x.code_ref AS code_ref FROM (SELECT run_id, arg_max({'config': config, 'metrics': metrics, 'code_ref': code_ref}, registered_at) AS x FROM runs GROUP BY run_id)), done AS (SELECT * FROM reg WHERE config IS NOT NULL AND metrics IS NOT NULL)"
@@ -180,7 +180,7 @@ def _arm_counts(spark, sf_dir):
 
 @CORE.register("bootstrap_poisson")
 def bootstrap_poisson(spark, sf_dir):
-    return bootstrap.poisson_bootstrap(_arm_counts(spark, sf_dir), ["method"], 200, 42)
+    return resample.micro_f1(_arm_counts(spark, sf_dir), ["method"], 200, 42)
 
 
 @CORE.register("bootstrap_mean_f1")

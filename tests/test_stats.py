@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from spanframe.operators import registry as R
 from spanframe.stats import bootstrap as B
-from spanframe.stats import logistic as L
 from spanframe.stats import intervals as T
+from spanframe.stats import logistic as L
+from spanframe.stats import resample as Rs
 
 
 def test_logistic_closed_form():
@@ -39,7 +40,7 @@ def test_odds_ratios_by_group(spark):
 
 
 def test_holm_and_sign_flip(spark):
-    assert B.holm([0.01, 0.04, 0.03]) == pytest.approx([0.03, 0.06, 0.06]) and B.holm([0.6, 0.7]) == [1.0, 1.0]
+    assert B.step_down([0.01, 0.04, 0.03]) == pytest.approx([0.03, 0.06, 0.06]) and B.step_down([0.6, 0.7]) == [1.0, 1.0]
     df = spark.createDataFrame([("a", 1, 0.01), ("b", 1, 0.04), ("c", 1, 0.03), ("d", 2, 0.6), ("e", 2, 0.7)], "h string, g int, p double")
     got = {r["h"]: r["p_holm"] for r in T.holm(df, "p", "h", ["g"]).collect()}
     assert got == {k: pytest.approx(v) for k, v in {"a": 0.03, "b": 0.06, "c": 0.06, "d": 1.0, "e": 1.0}.items()}
@@ -47,9 +48,9 @@ def test_holm_and_sign_flip(spark):
     rows = [(k, i, v) for k, (d, _) in cases.items() for i, v in enumerate(d)]
     found = {r["k0"]: r["p"] for r in T.sign_flip(spark.createDataFrame(rows, "k0 string, i int, d double"), "d", ["k0"], "i").collect()}
     assert found == {k: pytest.approx(p) for k, (_, p) in cases.items()}
-    assert {k: B.sign_flip_p(d) for k, (d, _) in cases.items()} == found
+    assert {k: T.sign_flip_share(np.array(d)) for k, (d, _) in cases.items()} == found
     with pytest.raises(ValueError):
-        B.sign_flip_p([1.0] * 17)
+        T.sign_flip_share(np.ones(51))
 
 
 def test_interval_and_p(spark):
@@ -59,7 +60,8 @@ def test_interval_and_p(spark):
     row = df.agg(low.alias("lo"), high.alias("hi")).first()
     assert (row["lo"], row["hi"]) == tuple(pytest.approx(v) for v in np.percentile(values, [2.5, 97.5]))
     p = spark.createDataFrame([(v,) for v in values], "v double").agg(T.two_sided_p("v")).first()[0]
-    assert p == pytest.approx(B.two_sided_p(np.array(values))) and B.two_sided_p(np.ones(9)) == pytest.approx(2 / 10)
+    assert p == pytest.approx(B.Spread.of(np.array(values)).p) and B.Spread.of(np.ones(9)).p == pytest.approx(2 / 10)
+    assert B.Spread.of(np.array([np.nan])) == B.Spread(None, None, None)
 
 
 def test_bootstraps():
@@ -77,6 +79,7 @@ def test_bootstraps():
         B.paired_f1(a, b[:1], 10, 1)
 
 
+#: The ten-row table of FIXTURES F5 (fixed values), hits of a1, a2, b1 last.
 HITS = [(0, False, 4.0, False, (1, 0, 1)), (0, False, 3.5, False, (1, 0, 0)), (1, False, 5.0, False, (1, 1, 1)), (1, False, 4.0, False, (0, 1, 0)), (2, False, 1.0, False, (1, 1, 1)),
         (2, False, 2.0, False, (1, 0, 1)), (3, True, 1.0, False, (1, 1, 1)), (3, True, 4.0, False, (1, 1, 0)), (4, False, 4.0, True, (0, 1, 1)), (4, False, 2.5, False, (1, 1, 1))]
 
@@ -97,17 +100,63 @@ def test_compare_points(spark):
     got = out["pairs"]["p"]
     assert {n: got["subsets"][n]["delta"] for n in names} == {n: pytest.approx(v) for n, v in want.items()}
     assert got["did"]["delta"] == pytest.approx(want["primary"] - want["specificity"])
+    # the distributed form: the same points, and flags by the same rules
+    arms = spark.createDataFrame([("p", "a1", "a"), ("p", "a2", "a"), ("p", "b1", "b")], "pair string, run_id string, arm string")
+    spreads = {r["subset"]: r for r in Rs.paired_recall(df, arms, 200, 1).collect()}
+    assert {n: spreads[n]["delta"] for n in names} == {n: pytest.approx(v) for n, v in want.items()} and spreads["did"]["delta"] == pytest.approx(got["did"]["delta"])
+    assert all(r["low"] <= r["high"] and r["p_holm"] == spreads["primary"]["p"] and r["h1"] == (r["p_holm"] < 0.05) and r["h2"] is False for r in spreads.values())
     with pytest.raises(ValueError, match="share"):
         B.Pair("x", ("a1",), ("a1",))
     with pytest.raises(ValueError, match="distinct"):
         B.compare(df, [], names, 10, 1)
-
-
-def test_poisson_bootstrap_is_reproducible(spark):
-    rows = [(f"r{r}", s, s % 2, 1 + s % 3, 2) for r in range(2) for s in range(200)]
-    df = spark.createDataFrame(rows, "run_id string, sentence_id long, n_correct long, n_pred long, n_gold long")
-    one, two = (sorted(map(tuple, B.poisson_bootstrap(d, ["run_id"], 100, 3).collect())) for d in (df, df.repartition(9)))
-    assert one == two and all(lo < hi for _, lo, hi in one)
+    with pytest.raises(ValueError, match="no entity is in gone"):
+        B.compare(df, [B.Pair("p", ("a1",), ("b1",))], names, 10, 1, primary="gone")
+
+
+def test_bootstrap_of_the_odds_ratio(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(r, s, int(p), 3, 4 + int(p), True, "X", bool(rng.random() < 0.15 * p)) for r in ("r1", "r2") for s in range(80) for p in rng.integers(1, 5, 4)]
+    df = spark.createDataFrame(rows, "run_id string, sentence_id long, pieces int, freq int, chars int, is_begin boolean, etype string, error boolean")
+    low, high = L.bootstrap_odds_ratio(df, 30, 3)
+    assert 0 < low < high and L.bootstrap_odds_ratio(df.repartition(5), 30, 3) == (low, high)
+    # a run without any error stays in the mean: its fit is finite
+    none = df.withColumn("error", F.col("error") & (F.col("run_id") == "r1"))
+    assert all(np.isfinite(L.bootstrap_odds_ratio(none, 5, 3)))
+    assert L.bootstrap_odds_ratio(df.limit(0), 5, 3) == (None, None)
+    with pytest.raises(ValueError, match="too many"):
+        L.bootstrap_odds_ratio(df, 5, 3, most=10)
+
+
+def test_weights_are_poisson_and_reproducible(spark):
+    df = spark.range(200).withColumnRenamed("id", "sentence_id")
+    one, two = (sorted(tuple(r) for r in Rs.replicated(d, "sentence_id", 300, 3).select("sentence_id", "rep", "w").collect()) for d in (df, df.repartition(9)))
+    assert one == two and [w for s, rep, w in one if rep == 0] == [1] * 200
+    drawn = np.array([w for _, rep, w in one if rep])
+    n = 200 * 300
+    assert drawn.sum() / n == pytest.approx(1, abs=0.02) and (n - len(drawn)) / n == pytest.approx(np.exp(-1), abs=0.01)
+    assert (drawn.astype(float) ** 2).sum() / n == pytest.approx(2, abs=0.05)
+
+
+def test_resampled_means_agree_with_the_seeded_form(spark):
+    rng = np.random.default_rng(3)
+    gold = rng.integers(1, 4, (3, 150))
+    found = np.minimum(gold, rng.integers(0, 4, (3, 150)))
+    rows = [("m", f"r{r}", s, int(found[r, s]), int(gold[r, s]), int(gold[r, s])) for r in range(3) for s in range(150)]
+    df = spark.createDataFrame(rows, "method string, run_id string, sentence_id long, n_correct long, n_pred long, n_gold long")
+    counts = np.stack([found, gold, gold], axis=2).astype(float)
+    low, high = B.mean_f1(counts, 2000, 5)
+    got = Rs.mean_f1(df, ["method"], 500, 5).first()
+    assert got["f1"] == pytest.approx(B.f1(counts.sum(axis=1)).mean()) and got["low"] == pytest.approx(low, abs=0.01) and got["high"] == pytest.approx(high, abs=0.01)
+    assert Rs.micro_f1(df, ["method"], 10, 5).first()["f1"] == pytest.approx(B.f1(counts.sum(axis=(0, 1))))
+
+
+def test_resampled_pairs(spark):
+    # arms of three seeds; b is right more often, seed 9 has no partner
+    rows = [(arm, seed, s, 2 if arm == "b" or s % 3 else 1, 2, 2) for arm in "ab" for seed in (1, 2, 3) for s in range(60)] + [("a", 9, 1, 2, 2, 2)]
+    df = spark.createDataFrame(rows, "arm string, seed long, sentence_id long, n_correct long, n_pred long, n_gold long")
+    got = Rs.paired_f1(df, "a", "b", 300, 7).first()
+    assert (got["seeds"], got["f1_b"]) == (3, 1.0) and got["delta"] == pytest.approx(1 / 6) and 0 < got["low"] < 1 / 6 < got["high"] and got["p"] == pytest.approx(2 / 301)
+    assert Rs.paired_f1(df.filter("seed = 9"), "a", "b", 10, 7).count() == 0
 
 
 CONFIG = "struct<seed:long,name:string,method:struct<name:string,lora:struct<r:int>>,data:struct<train_fraction:double>,model:struct<name:string>,training:struct<learning_rate:double>>"
@@ -162,12 +211,19 @@ def test_head_rows():
         R.head_rows({"A": ["X"], "B": ["X"]})
 
 
+def plain_sign_flip(d):
+    from itertools import product
+
+    sums = [abs(sum(x * s for x, s in zip(d, signs, strict=True))) for signs in product((1, -1), repeat=len(d))]
+    return sum(x >= abs(sum(d)) - 1e-12 for x in sums) / len(sums)
+
+
 def test_sign_flip_of_all_differences(spark):
     rng = np.random.default_rng(5)
     cases = {"one": [0.3], "two": [0.1, -0.1], "ten": list(rng.normal(0.1, 0.3, 10)), "ties": [0.1] * 6 + [-0.1] * 5, "most": list(rng.normal(0.1, 0.3, 16))}
     rows = [(k, i, float(d)) for k, v in cases.items() for i, d in enumerate(v)]
     found = {r["k0"]: (r["k"], r["p"]) for r in T.sign_flip_split(spark.createDataFrame(rows, "k0 string, i int, d double"), "d", ["k0"], "i").collect()}
-    assert found == {k: (len(v), B.sign_flip_p(v)) for k, v in cases.items()}
+    assert found == {k: (len(v), pytest.approx(plain_sign_flip(v))) for k, v in cases.items()}
     # more than sixteen: of equal differences only the two patterns of one sign are as large; blocks of the second half
     assert T.sign_flip_share(np.ones(30)) == 2 / 2**30
     assert T.sign_flip_share(np.array([1.0] * 41 + [0.0])) == 2 / 2**41
