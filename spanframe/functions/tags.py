@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from spanframe.functions.text import col
 
 OUTSIDE = "O"
+#: The bins of piece counts (fixed values).
+PIECE_BINS = ("1", "2", "3", "4", "5+")
 #: A tag is ``O`` or ``B-``/``I-`` and a type without white space (fixed value).
 TAG_PATTERN = r"^(O|[BI]-\S+)$"
 
@@ -49,7 +51,7 @@ def sentence_kind(words: Column | str) -> Column:
 
 
 def subsets(seen: Column, mean_pieces: Column, has_unk: Column) -> dict[str, Column]:
-    """The entity subsets of a paired comparison; they don't cover all entities."""
+    """The entity subsets of a paired comparison (fixed definitions); they don't cover all entities."""
     return {
         "primary": ~seen & (mean_pieces > 3) & ~has_unk,
         "specificity": ~seen & (mean_pieces <= 2) & ~has_unk,

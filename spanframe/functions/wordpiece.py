@@ -21,26 +21,27 @@ def spell(piece: str, vocabulary: set[str] | dict[str, int], max_chars: int = MA
 
     The longest match from the left is taken each time; a piece of more than ``max_chars`` characters isn't spelt.
     """
-    prefix = "##" if piece.startswith("##") else ""
-    rest = piece[len(prefix) :]
-    if not rest or len(rest) > max_chars:
+    inner = piece.startswith("##")
+    return _longest_matches(piece[2:] if inner else piece, "##" if inner else "", vocabulary, max_chars)
+
+
+def _longest_matches(rest: str, mark: str, vocabulary: set[str] | dict[str, int], max_chars: int = MAX_CHARS) -> list[str] | None:
+    if not 0 < len(rest) <= max_chars:
         return None
-    out = []
+    out: list[str] = []
     while rest:
-        for end in range(len(rest), 0, -1):
-            if prefix + rest[:end] in vocabulary:
-                out.append(prefix + rest[:end])
-                rest, prefix = rest[end:], "##"
-                break
-        else:
+        end = next((e for e in range(len(rest), 0, -1) if mark + rest[:e] in vocabulary), 0)
+        if not end:
             return None
+        out.append(mark + rest[:end])
+        rest, mark = rest[end:], "##"
     return out
 
 
 def tokenize_word(word: str | None, vocabulary: set[str] | dict[str, int], lowercase: bool = False) -> list[str]:
-    """The pieces of one word; a word that can't be spelt, and the empty one, is one unknown piece."""
+    """The pieces of one word; a word that can't be spelt, and the empty one, is one unknown piece. ``##`` at a word's start is its own text."""
     text = (word or "").lower() if lowercase else (word or "")
-    return spell(text, vocabulary) or [UNK]
+    return _longest_matches(text, "", vocabulary) or [UNK]
 
 
 def pieces_udf(tokenize: Callable[[str], list[str]]) -> Callable[[Column | str], Column]:

@@ -110,16 +110,6 @@ def top_candidates(found: DataFrame, n: int) -> DataFrame:
     return found.filter("skip is null").orderBy(F.desc("n"), "piece").limit(n).select("piece", "n")
 
 
-def extend_vocabulary(base: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``piece, id``: the base vocabulary with ``pieces`` (``piece, n``) appended in order of use; old ids stay."""
-    from pyspark.sql import Window
-
-    size = base.agg(F.max("id").alias("last"))
-    new = pieces.join(base, "piece", "left_anti").withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), "piece")))
-    placed = new.withColumn("_k", F.lit(1)).join(size.withColumn("_k", F.lit(1)), "_k").select("piece", (F.coalesce("last", F.lit(-1)) + F.col("_r")).cast("int").alias("id"))
-    return base.select("piece", F.col("id").cast("int").alias("id")).unionByName(placed)
-
-
 def piece_usage(new_pieces: DataFrame, usage: DataFrame) -> DataFrame:
     """Use of all new pieces, unused ones too: number, least, tenth percentile, median, below 100, unused."""
     used = new_pieces.select("piece").join(usage, "piece", "left").select(F.coalesce("n", F.lit(0).cast("long")).alias("n"))
@@ -129,14 +119,14 @@ def piece_usage(new_pieces: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def extension_report(words: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Mean pieces before and after an extension for all, entity, and fragmented words (four pieces or more before), with unknown shares.
+    """Mean pieces before and after an extension for all, entity, and fragmented entity words (four pieces or more before), with unknown shares.
 
     ``words``: ``word, is_entity, n``; ``before`` and ``after``: piece tables.
     """
     b = before.select("word", F.col("n_pieces").alias("b"), F.col("any_unk").alias("bu"))
     a = after.select("word", F.col("n_pieces").alias("a"), F.col("any_unk").alias("au"))
     joined = words.join(b, "word").join(a, "word")
-    groups = F.array_compact(F.array(F.lit("all"), F.when(F.col("is_entity"), "entity"), F.when(F.col("b") >= 4, "fragmented")))
+    groups = F.array_compact(F.array(F.lit("all"), F.when(F.col("is_entity"), "entity"), F.when(F.col("is_entity") & (F.col("b") >= 4), "fragmented")))
     long = joined.withColumn("grp", F.explode(groups))
 
     def mean(c: Column) -> Column:

@@ -74,6 +74,12 @@ def run_strata(rows: DataFrame, run: str, by: list[str], value: str, group: list
     return out.filter(F.col("n") >= least) if least else out
 
 
+def all_bins(found: DataFrame, column: str, bins: tuple[str, ...]) -> DataFrame:
+    """``found`` with a row for every bin: what has no rows comes with ``n`` 0 and nulls."""
+    every = found.sparkSession.createDataFrame([(b,) for b in bins], f"`{column}` string")
+    return every.join(found, column, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def pivot_hits(hits: DataFrame, key: list[str], runs: list[str]) -> DataFrame:
     """One column ``hit_<run>`` per run: the shape of the entity file; only for a sink."""
     return hits.groupBy(*key).pivot("run_id", runs).agg(F.max("hit")).select(*key, *(F.col(f"`{r}`").alias(f"hit_{r}") for r in runs))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CORE_MODULES = ("rejects", "spans", "curation", "tokens", "runs", "general")
+CORE_MODULES = ("rejects", "spans", "curation", "tokens", "runs", "general", "wordpiece")
 
 
 def load(modules: tuple[str, ...]) -> None:

@@ -22,13 +22,17 @@ PLACES = 12
 COUNTS = ("n_correct", "n_pred", "n_gold")
 
 
-def uniform(key: Column, replicate: Column, seed: int) -> Column:
-    """A number in (0, 1) with 31 random bits for each key, replicate and seed."""
-    own = F.pmod(key.cast("long"), F.lit(PRIME))
-    first = F.pmod(own * 48_271 + replicate.cast("long") * 69_621 + F.lit(seed % 1_000_000).cast("long") * 16_807, F.lit(PRIME))
-    second = F.pmod(first * first + first * 12_345 + replicate, F.lit(PRIME))
-    third = F.pmod(second * second + second * 6_789 + own, F.lit(PRIME))
-    return (third + 0.5) / float(PRIME)
+def with_uniform(df: DataFrame, key: str, replicate: str, seed: int, out: str) -> DataFrame:
+    """``df`` with ``out``: a number in (0, 1) with 31 random bits for each key, replicate and seed.
+
+    Each round is a column of its own: put into one expression, the rounds would be written out many times over.
+    """
+    own = F.pmod(F.col(key).cast("long"), F.lit(PRIME))
+    rep = F.col(replicate).cast("long")
+    first = df.withColumn("_own", own).withColumn("_x", F.pmod(F.col("_own") * 48_271 + rep * 69_621 + F.lit(seed % 1_000_000).cast("long") * 16_807, F.lit(PRIME)))
+    second = first.withColumn("_x", F.pmod(F.col("_x") * F.col("_x") + F.col("_x") * 12_345 + rep, F.lit(PRIME)))
+    third = second.withColumn("_x", F.pmod(F.col("_x") * F.col("_x") + F.col("_x") * 6_789 + F.col("_own"), F.lit(PRIME)))
+    return third.withColumn(out, (F.col("_x") + 0.5) / float(PRIME)).drop("_own", "_x")
 
 
 def poisson_steps() -> list[float]:
@@ -40,17 +44,12 @@ def poisson_steps() -> list[float]:
     return steps
 
 
-def weight(key: Column, replicate: Column, seed: int) -> Column:
-    """The weight of a key in a replicate; 1 in replicate 0."""
-    u = uniform(key, replicate, seed)
-    drawn = sum(((u > step).cast("int") for step in poisson_steps()), F.lit(0))
-    return F.when(replicate == 0, F.lit(1)).otherwise(drawn)
-
-
 def replicated(sums: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """``sums`` once per replicate 0 to ``replicates`` with its weight, rows of weight 0 left out: columns ``rep, w``."""
+    """``sums`` once per replicate 0 to ``replicates`` with the weight ``w`` of its key in ``rep``; in replicate 0 it is 1."""
     each = sums.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
-    return each.withColumn("w", weight(F.col(key), F.col("rep"), seed)).filter("w > 0")
+    drawn = with_uniform(each, key, "rep", seed, "_u")
+    weight = sum(((F.col("_u") > step).cast("int") for step in poisson_steps()), F.lit(0))
+    return drawn.withColumn("w", F.when(F.col("rep") == 0, F.lit(1)).otherwise(weight)).drop("_u")
 
 
 def _f1() -> Column:
@@ -96,8 +95,9 @@ def paired_f1(counts: DataFrame, a: str, b: str, replicates: int, seed: int) ->
     named = both.filter("rep = 0").select("seed", (F.row_number().over(Window.orderBy("seed")) - 1).alias("place"), F.count("*").over(Window.partitionBy()).alias("seeds"))
     gains = both.join(F.broadcast(named), "seed").select("rep", "place", "seeds", "f1_a", "f1_b", (F.col("f1_b") - F.col("f1_a")).alias("gain"))
     # each replicate draws as many places as there are seeds; replicate 0 has each once
-    picked = F.floor(uniform(F.col("j") + 1, F.col("rep"), seed + 1) * F.col("seeds")).cast("int")
     draws = gains.select("rep", "seeds").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.col("seeds").cast("int") - 1)))
+    draws = with_uniform(draws.withColumn("_j", F.col("j") + 1), "_j", "rep", seed + 1, "_u")
+    picked = F.floor(F.col("_u") * F.col("seeds")).cast("int")
     draws = draws.select("rep", F.when(F.col("rep") == 0, F.col("j")).otherwise(picked).alias("place"))
     means = draws.join(gains, ["rep", "place"]).groupBy("rep").agg(F.avg("gain").alias("gain"))
     observed = gains.filter("rep = 0").agg(F.count("*").alias("seeds"), F.avg("f1_a").alias("f1_a"), F.avg("f1_b").alias("f1_b")).filter("seeds > 0").withColumn("_k", F.lit(0))
@@ -117,7 +117,7 @@ def paired_recall(hits: DataFrame, arms: DataFrame, replicates: int, seed: int,
     """
     each = hits.select("run_id", "sentence_id", F.explode("subsets").alias("subset"), F.col("hit").cast("long").alias("hit"))
     sums = each.groupBy("run_id", "subset", "sentence_id").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
-    by_run = replicated(sums, "sentence_id", replicates, seed).groupBy("run_id", "subset", "rep").agg((F.sum(F.col("h") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("recall"))
+    by_run = replicated(sums, "sentence_id", replicates, seed).groupBy("run_id", "subset", "rep").agg((F.sum(F.col("h") * F.col("w")) / F.nullif(F.sum(F.col("n") * F.col("w")), F.lit(0))).alias("recall"))
     sides = by_run.join(arms, "run_id").groupBy("pair", "subset", "rep").agg(*(F.avg(F.when(F.col("arm") == arm, F.col("recall"))).alias(arm) for arm in "ab"))
     deltas = sides.select("pair", "subset", "rep", (F.col("b") - F.col("a")).alias("delta")).filter("delta is not null")
     one = deltas.groupBy("pair", "rep").agg(*(F.max(F.when(F.col("subset") == s, F.col("delta"))).alias(n) for n, s in (("_p", primary), ("_c", control))))

@@ -6,6 +6,7 @@ from spanframe.functions import wordpiece as WP
 from spanframe.operators import align as A
 from spanframe.operators import fertility as Fe
 from spanframe.operators import tables as Tb
+from spanframe.operators import vocabulary as V
 
 VOCAB = (
     "[PAD] [UNK] [CLS] [SEP] [MASK] . - Асан Бек ##ұлы Алма ##ты ##ға барды Кеше университет кеңесі жиналды Мен кітап оқыдым Қарағанды облыс ##ында жаңа мектеп ашылды Айгүл Астана ##да тұрады Бүгін жаңбыр жауды "
@@ -82,8 +83,18 @@ def test_candidates_and_extension(spark):
     spellable = F.udf(lambda p: WP.spell(p, known) is not None, "boolean")
     found = Fe.candidates(learned, base, usage, spellable)
     assert {r["piece"]: r["skip"] for r in found.collect()} == {"ab": "in_base", "x": "single_character", "ққ": "needs_unk", "abcd": None, "cdab": "unused"}
-    extended = {r["piece"]: r["id"] for r in Fe.extend_vocabulary(base, Fe.top_candidates(found, 5)).collect()}
-    assert extended == {"ab": 0, "cd": 1, "##ab": 2, "##cd": 3, "abcd": 4}
+    e = V.extend(base, learned, usage, 5)
+    assert {r["piece"]: r["id"] for r in e.vocabulary.collect()} == {"ab": 0, "cd": 1, "##ab": 2, "##cd": 3, "abcd": 4}
+    assert {r["skip"]: r["pieces"] for r in e.skipped().collect()} == {"in_base": 1, "single_character": 1, "needs_unk": 1, "unused": 1}
+    assert [tuple(r) for r in e.added.collect()] == [("abcd", 7)]
+    for wrong in (["ab"], ["x", "x"]):
+        with pytest.raises(ValueError, match="new and distinct"):
+            V.append(base, wrong)
+    for rows in ([("a", 0), ("b", 2)], [("a", 0), ("a", 1)], [("a", 1), ("b", 2)], [("a", 0), ("b", 0)]):
+        with pytest.raises(ValueError, match="without gaps"):
+            V.require_contiguous(spark.createDataFrame(rows, "piece string, id int"))
+    with pytest.raises(ValueError, match="no vocabulary"):
+        V.collected(base, most=3)
     u = Fe.piece_usage(learned, usage).first()
     assert (u["pieces"], u["least"], u["unused"], u["below_100"], u["median"]) == (5, 0, 4, 5, 0.0)
 
@@ -94,6 +105,8 @@ def test_strata(spark):
     out = {r["bin"]: (r["mean"], r["sd"], r["n"]) for r in Tb.run_strata(df, "run_id", ["bin"], "error").collect()}
     assert out["1"] == (0.25, pytest.approx(np.std([0.5, 0], ddof=1)), 2) and out["2"] == (1.0, 0.0, 1)
     assert [r["bin"] for r in Tb.run_strata(df, "run_id", ["bin"], "error", least=2).collect()] == ["1"]
+    bins = {r["bin"]: r["n"] for r in Tb.all_bins(Tb.run_strata(df, "run_id", ["bin"], "error"), "bin", ("1", "2", "3")).collect()}
+    assert bins == {"1": 2, "2": 1, "3": 0}
     hits = spark.createDataFrame([(1, "a", True), (1, "b", False)], "e int, run_id string, hit boolean")
     assert Tb.pivot_hits(hits, ["e"], ["a", "b"]).first().asDict() == {"e": 1, "hit_a": True, "hit_b": False}
 
@@ -111,9 +124,32 @@ def test_tokenized_words(spark):
     assert list(A.tokenized_words(df, VOCAB, max_len=4).filter("sid = 1").first()["word_ids"]) == [None, 0, 0, None]
 
 
-def test_running_text_mismatches():
-    assert A.running_text_mismatches(["don", "'t", "go"], [(0, 3), (4, 6), (7, 9)]) == []
-    assert A.running_text_mismatches(["a", "b"], [(0, 3)]) == [0, 1] and A.running_text_mismatches([], []) == []
+def test_pieces_in_context(spark):
+    df = spark.createDataFrame([(1, ["Алматыға", "Париж", "барды"]), (2, []), (3, None)], "sid int, tokens array<string>")
+    rows = sorted(tuple(r) for r in V.pieces_in_context(df, VOCAB, "sid", "tokens").collect())
+    assert rows == [(1, 0, "Алматыға", 3, False), (1, 1, "Париж", 1, True), (1, 2, "барды", 1, False)]
+    assert V.with_marks(["a"]) == ["a", "[CLS]", "[SEP]", "[UNK]"] and V.with_marks(VOCAB) == VOCAB
+
+
+def test_split_and_running_text(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    df = spark.createDataFrame([(1, ["don", "t", "go"]), (2, []), (3, None)], "sid int, tokens array<string>")
+
+    def word_pieces(text):
+        model = tokenizers.Tokenizer(tokenizers.models.WordPiece({p: i for i, p in enumerate(["[UNK]", "don", "t", "go"])}, unk_token="[UNK]"))
+        model.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+        return model.encode(text)
+
+    def by_byte(text):
+        model = tokenizers.Tokenizer(tokenizers.models.BPE({c: i for i, c in enumerate("dontgĠ")}, []))
+        model.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
+        return model.encode(text)
+
+    for encode, want in ((word_pieces, []), (by_byte, [(1, 1, "t"), (1, 2, "go")])):
+        found = V.split_mismatches(df, "sid", "tokens", lambda w, e=encode: e(w).ids, lambda t, e=encode: (e(t).ids, e(t).offsets))
+        assert sorted(tuple(r) for r in found.collect()) == want
+    # a piece that ends in the space goes to the next word, one behind the end to the last
+    assert V.pieces_by_word(["ab", "c"], [1, 2, 3, 4], [(0, 2), (2, 3), (3, 4), (4, 4)]) == [[1], [2, 3, 4]]
 
 
 def test_packing(spark):
