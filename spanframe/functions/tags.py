@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from spanframe.functions.text import col
 
 OUTSIDE = "O"
+#: Names of the entity subsets, in the order of reports (fixed values).
+SUBSETS = ("primary", "specificity", "negative_control", "unseen_with_unk")
 #: The bins of piece counts (fixed values).
 PIECE_BINS = ("1", "2", "3", "4", "5+")
 #: A tag is ``O`` or ``B-``/``I-`` and a type without white space (fixed value).

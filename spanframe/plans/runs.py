@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanframe.operators import contract as C
 from spanframe.operators import registry as R
 from spanframe.operators import spans as S
-from spanframe.operators import splits as sp
 from spanframe.plans import sql
 from spanframe.plans.registry import CORE
 from spanframe.plans.spans import words
-from spanframe.plans.tokens import WORDS, hits_of, split_words, word_table_of
+from spanframe.plans.tokens import WORDS, split_words, test_contract, word_table_of
 from spanframe.session import checkpointed, table
 from spanframe.stats import bootstrap, logistic, resample
 from spanframe.stats import intervals as T
@@ -172,20 +170,33 @@ def compare_point(spark, sf_dir):
     return a.join(b, "etype").select("etype", F.round("recall_a", 8).alias("recall_a"), F.round("recall_b", 8).alias("recall_b"), F.round(F.col("recall_b") - F.col("recall_a"), 8).alias("delta"))
 
 
+METHODS = f"{RUNS}, methods AS (SELECT run_id, coalesce(config.method.name, 'none') AS method, config.seed AS seed FROM done)"
+CELLS = f"""{WORDS}, {METHODS}, test_contract AS (SELECT c.* FROM contract c JOIN splits s USING (sentence_id) WHERE s.split = 'test'), {sql.spans("test_contract")},
+cells AS (SELECT c.run_id, c.sentence_id, m.method, m.seed, count(*) FILTER (WHERE in_gold AND in_pred) AS n_correct, count(*) FILTER (WHERE in_pred) AS n_pred, count(*) FILTER (WHERE in_gold) AS n_gold
+  FROM (SELECT DISTINCT run_id, sentence_id FROM test_contract) c JOIN methods m USING (run_id) LEFT JOIN matched USING (run_id, sentence_id) GROUP BY ALL)"""
+
+
+def f1_sql(by: str, replicates: int, seed: int) -> str:
+    """CTEs from ``cells`` to ``scored``: F1 by ``by`` and replicate."""
+    return f"""sums AS (SELECT {by}, sentence_id, sum(n_correct) AS c, sum(n_pred + n_gold) AS t FROM cells GROUP BY ALL), {sql.weights("cells", replicates, seed)},
+scored AS (SELECT {by}, rep, coalesce(2 * sum(c * w)::DOUBLE / nullif(sum(t * w), 0), 0) AS f1 FROM sums JOIN weights USING (sentence_id) GROUP BY ALL)"""
+
+
 def _arm_counts(spark, sf_dir):
-    done = R.completed(registered(spark, sf_dir)).select("run_id", F.col("config.method.name").alias("method")).filter("method is not null")
-    test = sp.sentence_splits(table(spark, sf_dir, "sentences")).filter("split = 'test'").select("sentence_id")
-    return S.sentence_counts(C.latest(table(spark, sf_dir, "predictions")).join(test, "sentence_id", "left_semi")).join(done, "run_id")
+    """Counts of the test sentences by run with ``method``; runs without one are named ``none``."""
+    done = R.completed(registered(spark, sf_dir)).select("run_id", F.coalesce("config.method.name", F.lit("none")).alias("method"))
+    return S.sentence_counts(test_contract(spark, sf_dir)).join(done, "run_id")
 
 
-@CORE.register("bootstrap_poisson")
+@CORE.register("bootstrap_poisson", f"""WITH {CELLS}, {f1_sql("method", 200, 42)}, s AS ({sql.summary("method", "f1", "f1", "scored")}) SELECT method, round(f1, 8) AS f1, round(low, 8) AS low, round(high, 8) AS high FROM s""")
 def bootstrap_poisson(spark, sf_dir):
-    return resample.micro_f1(_arm_counts(spark, sf_dir), ["method"], 200, 42)
+    found = resample.micro_f1(_arm_counts(spark, sf_dir), ["method"], 200, 42)
+    return found.withColumns({c: F.round(c, 8) for c in ("f1", "low", "high")})
 
 
 @CORE.register("bootstrap_mean_f1")
 def bootstrap_mean_f1(spark, sf_dir):
-    """Seeded bootstrap interval of the mean F1 of all runs over the test sentences, by method."""
+    """Seeded bootstrap interval of the mean F1 of all runs over the test sentences, by method; runs without one are named ``none``."""
     counts = checkpointed(_arm_counts(spark, sf_dir))
     rows = []
     for method in [r[0] for r in counts.select("method").distinct().orderBy("method").collect()]:
@@ -194,26 +205,11 @@ def bootstrap_mean_f1(spark, sf_dir):
     return spark.createDataFrame(rows, "method string, f1 double, low double, high double")
 
 
-@CORE.register("compare_bootstrap")
-def compare_bootstrap(spark, sf_dir):
-    """Paired recall comparison of the two halves of the runs, with differences in differences."""
-    from spanframe.functions import tags
-
-    # read several times: made once
-    hits = checkpointed(hits_of(spark, sf_dir).select("run_id", "sentence_id", "hit", tags.subset_names(F.col("seen"), F.col("mean_pieces"), F.col("has_unk")).alias("subsets")))
-    runs = [r[0] for r in hits.select("run_id").distinct().orderBy("run_id").collect()]
-    subsets = [r[0] for r in hits.select(F.explode("subsets").alias("s")).distinct().orderBy("s").collect()]
-    half = len(runs) // 2
-    found = bootstrap.compare(hits, [bootstrap.Pair("halves", tuple(runs[:half]), tuple(runs[half:]))], subsets, 10_000, 42, primary=subsets[0], control=subsets[-1])
-    rows = [(p, u, v["delta"], v["low"], v["high"], v["p"]) for p, x in found["pairs"].items() for u, v in [*x["subsets"].items(), ("did", x["did"])]]
-    return spark.createDataFrame(rows, "pair string, subset string, delta double, low double, high double, p double")
-
-
 @CORE.register("irls_odds_ratios")
 def irls_odds_ratios(spark, sf_dir):
     """Odds ratios of a word error per piece, log frequency and character, by method."""
-    done = R.completed(registered(spark, sf_dir)).select("run_id", F.col("config.method.name").alias("method")).filter("method is not null")
-    errors = C.latest(table(spark, sf_dir, "predictions")).select("run_id", "sentence_id", "word_idx", (F.col("gold") != F.col("pred")).cast("int").alias("error"))
+    done = R.completed(registered(spark, sf_dir)).select("run_id", F.coalesce("config.method.name", F.lit("none")).alias("method"))
+    errors = test_contract(spark, sf_dir).select("run_id", "sentence_id", "word_idx", (F.col("gold") != F.col("pred")).cast("int").alias("error"))
     table_ = word_table_of(spark, sf_dir).filter("is_entity").select("sentence_id", "word_idx", "pieces", "freq", "chars", "is_begin", "etype")
     return logistic.odds_ratios_by(errors.join(table_, ["sentence_id", "word_idx"]).join(done, "run_id"), "method")
 

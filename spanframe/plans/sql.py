@@ -1,5 +1,7 @@
 """SQL shared by the queries' counterparts."""
 
+from spanframe.stats.resample import PLACES, PRIME, poisson_steps
+
 CONTRACT = """contract AS (
   SELECT run_id, sentence_id, word_idx, x.word AS word, coalesce(x.gold, 'O') AS gold, coalesce(x.pred, 'O') AS pred, coalesce(x.truncated, false) AS truncated
   FROM (SELECT run_id, sentence_id, word_idx, arg_max({'word': word, 'gold': gold, 'pred': pred, 'truncated': truncated}, loaded_at) AS x FROM predictions GROUP BY ALL)
@@ -41,3 +43,30 @@ def prf(by: str = "", matched: str = "matched") -> str:
   SELECT {key}etype, n_gold AS support, n_pred, n_correct, coalesce(n_correct::DOUBLE / nullif(n_pred, 0), 0) AS "precision",
     coalesce(n_correct::DOUBLE / nullif(n_gold, 0), 0) AS recall, coalesce((2 * n_correct)::DOUBLE / nullif(n_pred + n_gold, 0), 0) AS f1 FROM both_levels
 )"""
+
+
+def _steps(u: str) -> str:
+    return " + ".join(f"({u} > {step!r})::INT" for step in poisson_steps())
+
+
+def uniform(key: str, rep: str, seed: int) -> str:
+    """The number in (0, 1) of :func:`spanframe.stats.resample.with_uniform`; ``key`` isn't negative."""
+    p = PRIME
+    own = f"({key} % {p})"
+    first = f"(({own} * 48271 + {rep} * 69621 + {seed} * 16807) % {p})"
+    second = f"list_transform([{first}], lambda x: (x * x + x * 12345 + {rep}) % {p})"
+    return f"(list_transform({second}, lambda x: (x * x + x * 6789 + {own}) % {p})[1] + 0.5) / {float(p)!r}"
+
+
+def weights(ids: str, replicates: int, seed: int) -> str:
+    """A CTE ``weights(sentence_id, rep, w)`` over the ``sentence_id`` column of ``ids``."""
+    return f"""weights AS (SELECT sentence_id, rep, CASE WHEN rep = 0 THEN 1 ELSE {_steps("u")} END AS w FROM (
+      SELECT sentence_id, rep, {uniform("sentence_id", "rep", seed)} AS u FROM (SELECT sentence_id::BIGINT AS sentence_id, unnest(range({replicates + 1})) AS rep FROM (SELECT DISTINCT sentence_id FROM {ids}))))"""
+
+
+def summary(by: str, value: str, name: str, source: str) -> str:
+    """Replicate 0, interval and two-sided p of the others, rounded."""
+    v, others = f"round({value}, {PLACES})", "FILTER (WHERE rep > 0)"
+    tail = f"least((1 + count(*) FILTER (WHERE rep > 0 AND {v} <= 0))::DOUBLE / (1 + count({value}) {others}), (1 + count(*) FILTER (WHERE rep > 0 AND {v} >= 0))::DOUBLE / (1 + count({value}) {others}))"
+    keys = f"{by}, " if by else ""
+    return f"""SELECT {keys}max({value}) FILTER (WHERE rep = 0) AS {name}, quantile_cont({v}, 0.025) {others} AS low, quantile_cont({v}, 0.975) {others} AS high, least(1.0, 2 * {tail}) AS p FROM {source} {"GROUP BY " + by if by else ""}"""

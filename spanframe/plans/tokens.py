@@ -14,7 +14,7 @@ from spanframe.operators import splits as sp
 from spanframe.operators import tables as Tb
 from spanframe.plans import sql
 from spanframe.plans.registry import CORE
-from spanframe.session import checkpointed, table
+from spanframe.session import stored, table
 
 #: One row per sentence and word, any run: spelling without stray blanks.
 _CLEAN = "trim(x.word, ' ' || chr(9) || chr(160))"
@@ -36,6 +36,12 @@ def split_words(spark, sf_dir):
     return one.join(splits, "sentence_id")
 
 
+def test_contract(spark, sf_dir):
+    """The last loads of the test sentences, placed by sentence: the other sentences' rows never move."""
+    test = sp.sentence_splits(table(spark, sf_dir, "sentences")).filter("split = 'test'").select("sentence_id")
+    return C.latest(table(spark, sf_dir, "predictions").join(test, "sentence_id", "left_semi"), ("sentence_id",))
+
+
 def pieces_of(words):
     return WP.piece_table(words, WP.fixed_width_pieces)
 
@@ -80,7 +86,7 @@ def fertility_by_lang(spark, sf_dir):
 )
 def piece_overlap_splits(spark, sf_dir):
     # read several times: made once
-    w = checkpointed(split_words(spark, sf_dir).select("split", "word"))
+    w = stored(split_words(spark, sf_dir).select("split", "word"))
     out = Fe.piece_overlap(w.filter("split = 'train'"), w.filter("split = 'test'"), WP.fixed_width_pieces)
     return out.withColumns({c: F.round(c, 8) for c in ("shared_piece_types", "shared_piece_tokens", "covered_words", "word_types_in_source")})
 
@@ -131,7 +137,7 @@ known AS (SELECT DISTINCT text, etype FROM bounds WHERE split = 'train'), entiti
 
 
 def entities_of(spark, sf_dir):
-    w = checkpointed(split_words(spark, sf_dir))
+    w = stored(split_words(spark, sf_dir))
     return Tb.entity_table(w.filter("split = 'test'"), pieces_of(w), Tb.training_entities(w.filter("split = 'train'"), ["sentence_id"]))
 
 
@@ -166,7 +172,7 @@ def error_strata(spark, sf_dir):
 
 
 def _word_errors(spark, sf_dir):
-    preds = C.latest(table(spark, sf_dir, "predictions")).select("run_id", "sentence_id", "word_idx", (F.col("gold") != F.col("pred")).cast("int").alias("error"))
+    preds = test_contract(spark, sf_dir).select("run_id", "sentence_id", "word_idx", (F.col("gold") != F.col("pred")).cast("int").alias("error"))
     return preds.join(word_table_of(spark, sf_dir).select("sentence_id", "word_idx", "piece_bin", "freq_bin", "is_entity"), ["sentence_id", "word_idx"])
 
 
@@ -187,7 +193,7 @@ _HITS = f"""{_ENTITIES}, pred_spans AS (
 
 def hits_of(spark, sf_dir):
     """``run_id`` and the entity columns with ``hit``, for every run that has the sentence."""
-    w = C.latest(table(spark, sf_dir, "predictions"))
+    w = test_contract(spark, sf_dir)
     found = S.side_spans(w, S.SENTENCE, {"pred": "pred"}).select("run_id", "sentence_id", "etype", "start", "end").withColumn("found", F.lit(True))
     runs = w.select("run_id", "sentence_id").distinct()
     return entities_of(spark, sf_dir).join(runs, "sentence_id").join(found, ["run_id", "sentence_id", "etype", "start", "end"], "left").withColumn("hit", F.coalesce("found", F.lit(False))).drop("found")
@@ -224,7 +230,7 @@ def subset_recall(spark, sf_dir):
     SELECT fertility_bin, coalesce(n, 0) AS n, round(recall, 8) AS recall FROM b LEFT JOIN c USING (fertility_bin)""",
 )
 def recall_by_pieces_all_bins(spark, sf_dir):
-    """Every bin comes out, empty ones with null."""
+    """Persons only, as its SQL; every bin comes out, empty ones with null. ``wordpiece_recall_by_bins`` is the form over all types."""
     bins = spark.createDataFrame([(b,) for b in ("1.0", "(1,2]", "(2,3]", ">3")], "fertility_bin string")
     found = hits_of(spark, sf_dir).filter("etype = 'PERSON'").groupBy("fertility_bin").agg(F.count("*").alias("n"), F.avg(F.col("hit").cast("int")).alias("recall"))
     return bins.join(found, "fertility_bin", "left").select("fertility_bin", F.coalesce("n", F.lit(0)).alias("n"), F.round("recall", 8).alias("recall"))

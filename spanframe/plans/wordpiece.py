@@ -6,24 +6,23 @@ learned. A word with a letter that isn't frequent can't be spelt and is unknown.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from spanframe.functions import tags
 from spanframe.functions import wordpiece as WP
-from spanframe.operators import contract as C
 from spanframe.operators import fertility as Fe
 from spanframe.operators import registry as R
 from spanframe.operators import sampling as Sa
 from spanframe.operators import spans as S
-from spanframe.operators import splits as sp
 from spanframe.operators import tables as Tb
 from spanframe.operators import vocabulary as V
 from spanframe.plans import sql
 from spanframe.plans.registry import CORE
-from spanframe.plans.runs import RUNS, registered
-from spanframe.plans.tokens import WORDS, split_words
-from spanframe.session import stored, table
-from spanframe.stats import logistic, resample
+from spanframe.plans.runs import CELLS, METHODS, f1_sql, registered
+from spanframe.plans.tokens import WORDS, split_words, test_contract
+from spanframe.session import stored
+from spanframe.stats import bootstrap, intervals, logistic, resample
 
 #: The rule: least count of a whole word and its most letters, least number of words with an ending and its most letters, least count of a letter.
 LEAST_WORD, WORD_LETTERS, LEAST_ENDING, ENDING_LETTERS, LEAST_LETTER = 5, 12, 10, 5, 20
@@ -81,21 +80,16 @@ class Base:
     def entities(self):
         return Tb.entity_table(self.of("test"), self.pieces, Tb.training_entities(self.of("train"), ["sentence_id"]))
 
-    def test_predictions(self):
-        """Contract rows of the test sentences only, by sentence: the others never move."""
-        test = sp.sentence_splits(table(self.spark, self.sf_dir, "sentences")).filter("split = 'test'").select("sentence_id")
-        return C.latest(table(self.spark, self.sf_dir, "predictions").join(test, "sentence_id", "left_semi"), ("sentence_id",))
-
     def hits(self):
         """``run_id`` and the entity columns with ``hit``, for every run that has the sentence."""
-        w = self.test_predictions()
+        w = test_contract(self.spark, self.sf_dir)
         found = S.side_spans(w, S.SENTENCE, {"pred": "pred"}).select("run_id", "sentence_id", "etype", "start", "end").withColumn("found", F.lit(True))
         each = self.entities().join(w.select("run_id", "sentence_id").distinct(), "sentence_id")
         return each.join(found, ["run_id", "sentence_id", "etype", "start", "end"], "left").withColumn("hit", F.coalesce("found", F.lit(False))).drop("found")
 
     def errors(self):
         """The word table with ``run_id, error`` of every run that has the word."""
-        wrong = self.test_predictions().select("run_id", "sentence_id", "word_idx", (F.col("gold") != F.col("pred")).cast("int").alias("error"))
+        wrong = test_contract(self.spark, self.sf_dir).select("run_id", "sentence_id", "word_idx", (F.col("gold") != F.col("pred")).cast("int").alias("error"))
         return wrong.join(self.word_table(), ["sentence_id", "word_idx"])
 
 
@@ -264,52 +258,13 @@ PAIRS = {"lora_full": ("lora", "full"), "frozen_full": ("frozen", "full")}
 REPLICATES, SEED = 1_000, 42
 
 
-def _steps(u: str) -> str:
-    return " + ".join(f"({u} > {step!r})::INT" for step in resample.poisson_steps())
-
-
-def uniform_sql(key: str, rep: str, seed: int) -> str:
-    """The number in (0, 1) of :func:`resample.with_uniform`; ``key`` isn't negative."""
-    p = resample.PRIME
-    own = f"({key} % {p})"
-    first = f"(({own} * 48271 + {rep} * 69621 + {seed} * 16807) % {p})"
-    second = f"list_transform([{first}], lambda x: (x * x + x * 12345 + {rep}) % {p})"
-    return f"(list_transform({second}, lambda x: (x * x + x * 6789 + {own}) % {p})[1] + 0.5) / {float(p)!r}"
-
-
-def weights_sql(ids: str, replicates: int = REPLICATES, seed: int = SEED) -> str:
-    """A CTE ``weights(sentence_id, rep, w)`` over the ``sentence_id`` column of ``ids``."""
-    return f"""weights AS (SELECT sentence_id, rep, CASE WHEN rep = 0 THEN 1 ELSE {_steps("u")} END AS w FROM (
-      SELECT sentence_id, rep, {uniform_sql("sentence_id", "rep", seed)} AS u FROM (SELECT sentence_id::BIGINT AS sentence_id, unnest(range({replicates + 1})) AS rep FROM (SELECT DISTINCT sentence_id FROM {ids}))))"""
-
-
-def summary_sql(by: str, value: str, name: str, source: str) -> str:
-    """Replicate 0, interval and two-sided p of the others, rounded."""
-    v, others = f"round({value}, {resample.PLACES})", "FILTER (WHERE rep > 0)"
-    tail = f"least((1 + count(*) FILTER (WHERE rep > 0 AND {v} <= 0))::DOUBLE / (1 + count({value}) {others}), (1 + count(*) FILTER (WHERE rep > 0 AND {v} >= 0))::DOUBLE / (1 + count({value}) {others}))"
-    keys = f"{by}, " if by else ""
-    return f"""SELECT {keys}max({value}) FILTER (WHERE rep = 0) AS {name}, quantile_cont({v}, 0.025) {others} AS low, quantile_cont({v}, 0.975) {others} AS high, least(1.0, 2 * {tail}) AS p FROM {source} {"GROUP BY " + by if by else ""}"""
-
-
-_DONE = f"{RUNS}, methods AS (SELECT run_id, coalesce(config.method.name, 'none') AS method, config.seed AS seed FROM done)"
-_CELLS = f"""{WORDS}, {_DONE}, test_contract AS (SELECT c.* FROM contract c JOIN splits s USING (sentence_id) WHERE s.split = 'test'), {sql.spans("test_contract")},
-cells AS (SELECT c.run_id, c.sentence_id, m.method, m.seed, count(*) FILTER (WHERE in_gold AND in_pred) AS n_correct, count(*) FILTER (WHERE in_pred) AS n_pred, count(*) FILTER (WHERE in_gold) AS n_gold
-  FROM (SELECT DISTINCT run_id, sentence_id FROM test_contract) c JOIN methods m USING (run_id) LEFT JOIN matched USING (run_id, sentence_id) GROUP BY ALL)"""
-
-
 def _cells(spark, sf_dir):
     """Counts of the test sentences by run with ``method, seed``; runs without a method are named ``none``."""
     done = R.completed(registered(spark, sf_dir)).select("run_id", F.coalesce("config.method.name", F.lit("none")).alias("method"), F.col("config.seed").alias("seed"))
-    test = sp.sentence_splits(table(spark, sf_dir, "sentences")).filter("split = 'test'").select("sentence_id")
-    return S.sentence_counts(C.latest(table(spark, sf_dir, "predictions").join(test, "sentence_id", "left_semi"), ("sentence_id",))).join(done, "run_id")
-
+    return S.sentence_counts(test_contract(spark, sf_dir)).join(done, "run_id")
 
-def _f1_sql(by: str) -> str:
-    return f"""sums AS (SELECT {by}, sentence_id, sum(n_correct) AS c, sum(n_pred + n_gold) AS t FROM cells GROUP BY ALL), {weights_sql("cells")},
-scored AS (SELECT {by}, rep, coalesce(2 * sum(c * w)::DOUBLE / nullif(sum(t * w), 0), 0) AS f1 FROM sums JOIN weights USING (sentence_id) GROUP BY ALL)"""
 
-
-@CORE.register("resampled_f1", f"""WITH {_CELLS}, {_f1_sql("method")}, s AS ({summary_sql("method", "f1", "f1", "scored")}) SELECT method, round(f1, 8) AS f1, round(low, 8) AS low, round(high, 8) AS high FROM s""")
+@CORE.register("resampled_f1", f"""WITH {CELLS}, {f1_sql("method", REPLICATES, SEED)}, s AS ({sql.summary("method", "f1", "f1", "scored")}) SELECT method, round(f1, 8) AS f1, round(low, 8) AS low, round(high, 8) AS high FROM s""")
 def resampled_f1(spark, sf_dir):
     """F1 over all test rows of a method with its 95 % interval, sentences resampled by arithmetic weights."""
     return _rounded(resample.micro_f1(_cells(spark, sf_dir), ["method"], REPLICATES, SEED), "f1", "low", "high")
@@ -317,7 +272,7 @@ def resampled_f1(spark, sf_dir):
 
 @CORE.register(
     "resampled_mean_f1",
-    f"""WITH {_CELLS}, {_f1_sql("method, run_id")}, means AS (SELECT method, rep, avg(f1) AS f1 FROM scored GROUP BY ALL), s AS ({summary_sql("method", "f1", "f1", "means")})
+    f"""WITH {CELLS}, {f1_sql("method, run_id", REPLICATES, SEED)}, means AS (SELECT method, rep, avg(f1) AS f1 FROM scored GROUP BY ALL), s AS ({sql.summary("method", "f1", "f1", "means")})
     SELECT method, round(f1, 8) AS f1, round(low, 8) AS low, round(high, 8) AS high FROM s""",
 )
 def resampled_mean_f1(spark, sf_dir):
@@ -327,10 +282,10 @@ def resampled_mean_f1(spark, sf_dir):
 
 @CORE.register(
     "paired_f1",
-    f"""WITH {_CELLS}, {_f1_sql("method, seed")}, wide AS (SELECT seed, rep, max(f1) FILTER (WHERE method = 'lora') AS a, max(f1) FILTER (WHERE method = 'full') AS b FROM scored WHERE seed IS NOT NULL GROUP BY ALL HAVING a IS NOT NULL AND b IS NOT NULL),
+    f"""WITH {CELLS}, {f1_sql("method, seed", REPLICATES, SEED)}, wide AS (SELECT seed, rep, max(f1) FILTER (WHERE method = 'lora') AS a, max(f1) FILTER (WHERE method = 'full') AS b FROM scored WHERE seed IS NOT NULL GROUP BY ALL HAVING a IS NOT NULL AND b IS NOT NULL),
     named AS (SELECT seed, row_number() OVER (ORDER BY seed) - 1 AS place, count(*) OVER () AS seeds FROM wide WHERE rep = 0), gains AS (SELECT rep, place, seeds, a, b, b - a AS gain FROM wide JOIN named USING (seed)),
-    draws AS (SELECT rep, seeds, unnest(range(seeds)) AS j FROM (SELECT DISTINCT rep, seeds FROM gains)), picked AS (SELECT rep, CASE WHEN rep = 0 THEN j ELSE floor(({uniform_sql("(j + 1)", "rep", SEED + 1)}) * seeds)::BIGINT END AS place FROM draws),
-    means AS (SELECT rep, avg(gain) AS gain FROM picked JOIN gains USING (rep, place) GROUP BY rep), s AS ({summary_sql("", "gain", "delta", "means")}), o AS (SELECT count(*) AS seeds, avg(a) AS f1_a, avg(b) AS f1_b FROM gains WHERE rep = 0)
+    draws AS (SELECT rep, seeds, unnest(range(seeds)) AS j FROM (SELECT DISTINCT rep, seeds FROM gains)), picked AS (SELECT rep, CASE WHEN rep = 0 THEN j ELSE floor(({sql.uniform("(j + 1)", "rep", SEED + 1)}) * seeds)::BIGINT END AS place FROM draws),
+    means AS (SELECT rep, avg(gain) AS gain FROM picked JOIN gains USING (rep, place) GROUP BY rep), s AS ({sql.summary("", "gain", "delta", "means")}), o AS (SELECT count(*) AS seeds, avg(a) AS f1_a, avg(b) AS f1_b FROM gains WHERE rep = 0)
     SELECT seeds, round(f1_a, 8) AS f1_a, round(f1_b, 8) AS f1_b, round(delta, 8) AS delta, round(low, 8) AS low, round(high, 8) AS high, round(p, 8) AS p FROM o, s WHERE seeds > 0""",
 )
 def paired_f1(spark, sf_dir):
@@ -344,22 +299,58 @@ _ARMS_SQL = " UNION ALL ".join(f"SELECT '{p}' AS pair, run_id, CASE method WHEN
 
 @CORE.register(
     "paired_recall",
-    f"""WITH RECURSIVE {_HITS}, {_DONE}, arms AS ({_ARMS_SQL}), sums AS (SELECT run_id, subset, sentence_id, count(*) AS n, sum(hit::INT) AS h FROM in_subsets GROUP BY ALL), {weights_sql("sums")},
+    f"""WITH RECURSIVE {_HITS}, {METHODS}, arms AS ({_ARMS_SQL}), sums AS (SELECT run_id, subset, sentence_id, count(*) AS n, sum(hit::INT) AS h FROM in_subsets GROUP BY ALL), {sql.weights("sums", REPLICATES, SEED)},
     by_run AS (SELECT run_id, subset, rep, sum(h * w)::DOUBLE / nullif(sum(n * w), 0) AS recall FROM sums JOIN weights USING (sentence_id) GROUP BY ALL),
     sides AS (SELECT pair, subset, rep, avg(recall) FILTER (WHERE arm = 'b') - avg(recall) FILTER (WHERE arm = 'a') AS delta FROM by_run JOIN arms USING (run_id) GROUP BY ALL HAVING delta IS NOT NULL),
     did AS (SELECT pair, 'did' AS subset, rep, max(delta) FILTER (WHERE subset = 'primary') - max(delta) FILTER (WHERE subset = 'specificity') AS delta FROM sides GROUP BY pair, rep HAVING delta IS NOT NULL),
-    every AS (SELECT * FROM sides UNION ALL SELECT * FROM did), s AS ({summary_sql("pair, subset", "delta", "delta", "every")}),
+    every AS (SELECT * FROM sides UNION ALL SELECT * FROM did), s AS ({sql.summary("pair, subset", "delta", "delta", "every")}),
     scaled AS (SELECT pair, p, delta, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, pair) + 1) * p) AS x FROM s WHERE subset = 'primary'),
     corrected AS (SELECT pair, delta > 0 AS better, max(x) OVER (ORDER BY p, pair ROWS UNBOUNDED PRECEDING) AS p_holm FROM scaled), second AS (SELECT pair, delta > 0 AND low > 0 AS h2 FROM s WHERE subset = 'did')
     SELECT s.pair, s.subset, round(s.delta, 8) AS delta, round(low, 8) AS low, round(high, 8) AS high, round(s.p, 8) AS p, round(p_holm, 8) AS p_holm, better AND p_holm < 0.05 AS h1, h2 FROM s LEFT JOIN corrected USING (pair) LEFT JOIN second USING (pair)""",
 )
 def paired_recall(spark, sf_dir):
     """Differences of mean recall of two pairs of methods by subset, the difference in differences, corrected p-values and decisions."""
+    hits = stored(_with_subsets(Base(spark, sf_dir).hits()).select("run_id", "sentence_id", "hit", "subsets"))
+    return _rounded(resample.paired_recall(hits, _arms(spark, sf_dir), REPLICATES, SEED), "delta", "low", "high", "p", "p_holm")
+
+
+def _arms(spark, sf_dir):
+    """``pair, run_id, arm`` of the compared methods' completed runs."""
     done = R.completed(registered(spark, sf_dir)).select("run_id", F.col("config.method.name").alias("method"))
     sides = F.array(*(F.struct(F.lit(p).alias("pair"), F.when(F.col("method") == a, "a").when(F.col("method") == b, "b").alias("arm")) for p, (a, b) in PAIRS.items()))
-    arms = done.select("run_id", F.explode(sides).alias("x")).filter("x.arm is not null").select("x.pair", "run_id", "x.arm")
+    return done.select("run_id", F.explode(sides).alias("x")).filter("x.arm is not null").select("x.pair", "run_id", "x.arm")
+
+
+@CORE.register("compare_bootstrap")
+def compare_bootstrap(spark, sf_dir):
+    """The seeded paired recall comparison of the same pairs: 10,000 replicates, all four subsets that have entities, decisions."""
     hits = stored(_with_subsets(Base(spark, sf_dir).hits()).select("run_id", "sentence_id", "hit", "subsets"))
-    return _rounded(resample.paired_recall(hits, arms, REPLICATES, SEED), "delta", "low", "high", "p", "p_holm")
+    known = {r[0] for r in hits.select("run_id").distinct().collect()}
+    arms = [r for r in _arms(spark, sf_dir).orderBy("pair", "run_id").collect() if r["run_id"] in known]
+    sides = {p: [tuple(r["run_id"] for r in arms if (r["pair"], r["arm"]) == (p, side)) for side in "ab"] for p in PAIRS}
+    present = {r[0] for r in hits.select(F.explode("subsets")).distinct().collect()}
+    schema = "pair string, subset string, delta double, low double, high double, p double, p_holm double, h1 boolean, h2 boolean"
+    if not {"primary", "specificity"} <= present or not all(all(x) for x in sides.values()):
+        return spark.createDataFrame([], schema)  # nothing to compare in so little data
+    pairs = [bootstrap.Pair(p, *x) for p, x in sides.items()]
+    found = bootstrap.compare(hits, pairs, [u for u in tags.SUBSETS if u in present], 10_000, SEED)
+    rows = []
+    for pair, x in found["pairs"].items():
+        rows += [(pair, u, v["delta"], v["low"], v["high"], v["p"], x["p_holm"], bool(x["h1"]), bool(x["h2"])) for u, v in [*x["subsets"].items(), (resample.DID, x["did"])]]
+    return spark.createDataFrame(rows, schema)
+
+
+@CORE.register("paired_f1_seeded")
+def paired_f1_seeded(spark, sf_dir):
+    """The seeded form of ``paired_f1`` with 10,000 replicates and the exact sign-flip p of the seeds' differences."""
+    pooled = _cells(spark, sf_dir).filter("seed is not null").groupBy("method", "seed", "sentence_id").agg(*(F.sum(c).alias(c) for c in resample.COUNTS))
+    a, b = PAIRS["lora_full"]
+    cube = bootstrap.cube(stored(pooled.filter(F.col("method").isin(a, b)).select(F.concat_ws("/", "method", "seed").alias("run_id"), "sentence_id", *resample.COUNTS)))
+    at = {r: i for i, r in enumerate(cube.runs)}
+    seeds = sorted({r.split("/")[1] for r in cube.runs if f"{a}/{r.split('/')[1]}" in at and f"{b}/{r.split('/')[1]}" in at}, key=int)
+    found = bootstrap.paired_f1(*(cube.counts[[at[f"{m}/{s}"] for s in seeds]] for m in (a, b)), 10_000, SEED)
+    sign = intervals.sign_flip_share(np.array(found["by_seed"]))
+    return spark.createDataFrame([(len(seeds), found["f1_a"], found["f1_b"], found["delta"], found["low"], found["high"], found["p"], sign)], "seeds int, f1_a double, f1_b double, delta double, low double, high double, p double, sign_flip_p double")
 
 
 # vocabulary extension: the most used whole words of all splits, as a learner would give them, against the base vocabulary

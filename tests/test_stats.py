@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,9 @@ from spanframe.stats import intervals as T
 from spanframe.stats import logistic as L
 from spanframe.stats import resample as Rs
 
+SMALL = "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+
 
 def test_logistic_closed_form():
     x = np.array([[1.0, 0.0], [1.0, 1.0]])
@@ -237,13 +242,19 @@ def test_runs_and_replicates_are_whole(spark, monkeypatch):
     assert [tuple(r) for r in R.sign_flip_all(spark, "").collect()] == [("full", 24, 2 / 2**24)]
 
     counts = spark.createDataFrame([("r1", 1, "full", 1, 1, 1)], "run_id string, sentence_id long, method string, n_correct long, n_pred long, n_gold long")
-    hits = spark.createDataFrame([(r, 1, 1, True, 1.0, False) for r in ("a", "b")], "run_id string, sentence_id long, hit int, seen boolean, mean_pieces double, has_unk boolean")
     asked = []
     monkeypatch.setattr(R, "_arm_counts", lambda *_: counts)
-    monkeypatch.setattr(R, "hits_of", lambda *_: hits)
-    monkeypatch.setattr(R, "checkpointed", lambda df: df)
     monkeypatch.setattr(B, "mean_f1", lambda _, replicates, seed: asked.append(replicates) or (0.0, 1.0))
-    monkeypatch.setattr(B, "compare", lambda _h, _p, _s, replicates, seed, **_: asked.append(replicates) or {"pairs": {}})
     R.bootstrap_mean_f1(spark, "")
-    R.compare_bootstrap(spark, "")
-    assert asked == [1000, 10_000]
+    assert asked == [1000]
+
+
+@needs_data
+def test_the_compared_subsets_occur(spark):
+    from spanframe.plans import wordpiece as W
+
+    rows = {(r["pair"], r["subset"]): r for r in W.compare_bootstrap(spark, SMALL).collect()}
+    resampled = {(r["pair"], r["subset"]): r for r in W.paired_recall(spark, SMALL).collect()}
+    assert {p for p, _ in rows} == set(W.PAIRS) and all((p, u) in rows for p in W.PAIRS for u in ("primary", "specificity", "did"))
+    assert all(r["h1"] == (rows[p, "primary"]["delta"] > 0 and r["p_holm"] < 0.05) for (p, _), r in rows.items())
+    assert set(resampled) >= {(p, "primary") for p in W.PAIRS}
