@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from spanframe.functions import tags
 from spanframe.functions import wordpiece as WP
+from spanframe.operators import align as A
 from spanframe.operators import fertility as Fe
+from spanframe.operators import packing
 from spanframe.operators import registry as R
 from spanframe.operators import sampling as Sa
 from spanframe.operators import spans as S
@@ -432,3 +434,38 @@ def heldout_draw(spark, sf_dir):
     texts = stored(sentence_texts(spark, sf_dir))
     drawn = Sa.heldout_sample(texts.filter("split <> 'train'"), texts.filter("split = 'train'"), "text", "sentence_id", 50, 42)
     return Sa.renumbered(drawn, ["sentence_id"]).select("ordinal", "sentence_id", "text")
+
+
+BUDGET = 126
+_CHUNKS = f"""{SPELLED}, seq AS (SELECT row_number() OVER (ORDER BY w.sentence_id, w.word_idx) AS i, w.word, p.n_pieces::BIGINT AS n FROM words w JOIN wp p USING (word)), cum AS (SELECT *, sum(n) OVER (ORDER BY i)::BIGINT AS c FROM seq),
+nxt AS MATERIALIZED (SELECT a.i, greatest(b.i, a.i + 1) AS j FROM cum a ASOF JOIN cum b ON a.c - a.n + {BUDGET} < b.c), starts(chunk, i) AS (SELECT 0::BIGINT, min(i) FROM seq HAVING min(i) IS NOT NULL UNION ALL SELECT chunk + 1, j FROM starts JOIN nxt USING (i)),
+placed AS (SELECT s.i, s.word, s.n, t.chunk FROM seq s ASOF JOIN starts t ON s.i >= t.i)"""
+
+
+def _chunks(spark, sf_dir):
+    """Chunks of the whole corpus: its sentences in order of id, sizes in pieces."""
+    b = Base(spark, sf_dir)
+    sized = b.words.join(b.pieces.select("word", "n_pieces"), "word")
+    ordered = sized.groupBy("sentence_id").agg(F.array_sort(F.collect_list(F.struct("word_idx", "word", "n_pieces"))).alias("w"))
+    lines = ordered.select("sentence_id", F.transform("w", lambda x: x["word"]).alias("words"), F.transform("w", lambda x: x["n_pieces"]).alias("sizes"))
+    return packing.packed_text(lines, ["sentence_id"], "words", "sizes", BUDGET), b
+
+
+@CORE.register("chunk_text", f"WITH RECURSIVE {_CHUNKS} SELECT chunk, string_agg(word, ' ' ORDER BY i) AS words, sum(n)::BIGINT AS pieces, count(*) FILTER (WHERE n > {BUDGET})::INT AS oversized FROM placed GROUP BY chunk")
+def chunk_text(spark, sf_dir):
+    """The corpus packed into chunks of at most 126 pieces that run on from sentence to sentence."""
+    return _chunks(spark, sf_dir)[0].select("chunk", F.array_join("words", " ").alias("words"), "pieces", "oversized")
+
+
+@CORE.register("chunk_report", f"WITH RECURSIVE {_CHUNKS} SELECT count(DISTINCT chunk) AS chunks, count(*) AS words, sum(n)::BIGINT AS pieces, count(*) FILTER (WHERE n > {BUDGET}) AS oversized FROM placed")
+def chunk_report(spark, sf_dir):
+    return packing.packing_report(_chunks(spark, sf_dir)[0])
+
+
+@CORE.register("mask_text")
+def mask_text(spark, sf_dir):
+    """Masked examples of the chunks of the whole corpus under the vocabulary with its marks."""
+    chunks, b = _chunks(spark, sf_dir)
+    listed = V.with_marks(b.vocabulary)
+    encoded = A.tokenized_words(chunks.select("chunk", "words"), listed, "words")
+    return A.masked_examples(encoded, "chunk", listed.index(WP.UNK), len(listed), SEED)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from spanframe.functions import wordpiece as WP
 from spanframe.operators import align as A
 from spanframe.operators import fertility as Fe
+from spanframe.operators import packing as P
 from spanframe.operators import tables as Tb
 from spanframe.operators import vocabulary as V
 
@@ -160,6 +161,50 @@ def test_packing(spark):
     assert [(r["k"], r["chunk"], r["pieces"]) for r in A.packed_chunks(df, "k", "w", "s", 4).orderBy("chunk").collect()] == [(1, 0, 3), (1, 1, 4), (1, 2, 4)]
 
 
+def chunked(spark, lines, budget, partitions=4, **kw):
+    rows = [(i, t, [len(WP.tokenize_word(w, set(VOCAB))) for w in t] if t is not None else None) for i, t in enumerate(lines)]
+    df = spark.createDataFrame(rows, "line int, w array<string>, s array<int>").repartition(partitions)
+    found = P.packed_text(df, ["line"], "w", "s", budget, **kw)
+    return [list(r["words"]) for r in found.orderBy("chunk").collect()], P.packing_report(found, kw.get("max_chunks")).first()
+
+
+def test_chunks_run_on_from_line_to_line(spark):
+    lines = ["Асан Бекұлы Алматыға барды .".split(), None, [], "Кеше барды .".split()]
+    chunks, report = chunked(spark, lines, 4)
+    assert chunks == [["Асан", "Бекұлы"], ["Алматыға", "барды"], [".", "Кеше", "барды", "."]] and report["oversized"] == 0
+    chunks, report = chunked(spark, lines, 2)
+    assert ["Алматыға"] in chunks and report["oversized"] == 1 and report["words"] == 8
+    # the word that closes the last chunk has been read
+    chunks, report = chunked(spark, lines, 2, max_chunks=2)
+    assert chunks == [["Асан"], ["Бекұлы"]] and tuple(report) == (2, 2, 3, 1)
+    assert chunked(spark, [None], 4)[0] == []
+
+
+def plain_packing(sizes, budget):
+    out, used = [], 0
+    for i, n in enumerate(sizes):
+        if not out or used + n > budget:
+            out.append([])
+            used = 0
+        out[-1].append(i)
+        used += n
+    return out
+
+
+def test_parallel_packing_equals_the_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    for budget in (1, 7, 30, 500):
+        sizes = [rng.integers(0, 9, rng.integers(0, 12)).tolist() for _ in range(150)]
+        flat = [max(n, 1) for s in sizes for n in s]
+        ids = iter(range(10**6))
+        df = spark.createDataFrame([(i, [str(next(ids)) for _ in s], s) for i, s in enumerate(sizes)], "line int, w array<string>, s array<int>")
+        want = plain_packing(flat, budget)
+        for most in (None, 3):
+            found = P.packed_text(df.repartition(5), ["line"], "w", "s", budget, max_chunks=most).orderBy("chunk").collect()
+            assert [[int(w) for w in r["words"]] for r in found] == want[:most]
+            assert all(r["pieces"] == sum(flat[i] for i in c) for r, c in zip(found, want))
+
+
 def test_masks(spark):
     plan = A.mask_plan(200, 3, 42)
     assert (plan == A.mask_plan(200, 3, 42)).all() and (plan != A.mask_plan(200, 4, 42)).any() and (plan != A.NOTHING).sum() == 30
