@@ -2,49 +2,54 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanframe.operators.curation import prefix_sums
 from spanframe.operators.rejects import FormatError
+from spanframe.sources.files import exists, numbered_lines
 
 SPLIT_FILES = {"train": "IOB2_train.txt", "validation": "IOB2_valid.txt", "test": "IOB2_test.txt"}
 
 
-def read_iob2(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """``sid, idx, word, label``: sentences and words numbered from 0; label ``0`` is read as ``O``.
+def read_iob2(spark: SparkSession, path: str, strict: bool = True, whole: bool = False) -> DataFrame:
+    """``file, sid, idx, word, label``: sentences and words numbered from 0; label ``0`` is read as ``O``.
 
     Lines of white space end a sentence; repeated and trailing ones make none. LF or CRLF. With ``strict`` a line of one column is an error that names
-    the line; else such lines are left out. Each file is one value of ``wholetext``: label files are small, corpora of
-    many files are read in parallel. Sentences of several files are numbered within their file, in column ``file``.
+    the line; else such lines are left out. Sentences are numbered within their file, or, with ``whole``, over all files in order of their paths.
+    Files are read in blocks and sentences numbered by sums over ranges of lines: a file of any size is spread over the session.
     """
-    texts = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"[^/]+$", 0).alias("file"), "value")
-    lines = texts.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-    order = Window.partitionBy("file").orderBy("line_no")
-    parts = F.split(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")), " ")
-    marked = lines.withColumn("blank", (~F.col("line").rlike(r"(?U)\S")).cast("int")).withColumn("block", F.sum("blank").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = marked.filter("blank = 0").withColumn("parts", parts)
+    lines = numbered_lines(spark, path)
+    clean = F.trim(F.regexp_replace("raw", r"(?U)\s+", " "))
+    marked = prefix_sums(lines.select("file", "path", "line_no", clean.alias("line")).withColumn("blank", (F.col("line") == "").cast("int")), "blank", ["path", "line_no"], "block")
+    rows = marked.filter("blank = 0").withColumn("parts", F.split("line", " "))
     if strict:
-        bad = rows.filter(F.size("parts") < 2).orderBy("file", "line_no").select("file", "line_no", "line").first()
+        bad = rows.filter(F.size("parts") < 2).orderBy("path", "line_no").select("file", "line_no", "line").first()
         if bad:
             raise FormatError(f"{bad['file']}:{bad['line_no'] + 1}: a token and a label are needed, not {bad['line']!r}")
     rows = rows.filter(F.size("parts") >= 2)
+    # one row per sentence: its number over all files, less the file's first one
+    sentences = prefix_sums(rows.select("path", "block").distinct().withColumn("one", F.lit(1)), "one", ["path", "block"], "n").drop("one")
+    first = sentences.groupBy("path").agg(F.min("n").alias("first"))
+    numbered = sentences.join(first, "path").select("path", "block", (F.col("n") - (F.lit(0) if whole else F.col("first"))).cast("long").alias("sid"))
     label = F.element_at("parts", -1)
-    numbered = rows.withColumn("sid", F.dense_rank().over(Window.partitionBy("file").orderBy("block")) - 1)
-    idx = F.row_number().over(Window.partitionBy("file", "block").orderBy("line_no")) - 1
-    return numbered.select("file", F.col("sid").cast("long").alias("sid"), idx.alias("idx"), F.col("parts")[0].alias("word"), F.when(label == "0", "O").otherwise(label).alias("label"))
+    idx = F.row_number().over(Window.partitionBy("path", "block").orderBy("line_no")) - 1
+    words = rows.withColumn("idx", idx).join(numbered, ["path", "block"])
+    return words.select("file", "sid", "idx", F.col("parts")[0].alias("word"), F.when(label == "0", "O").otherwise(label).alias("label"))
 
 
 def read_splits(spark: SparkSession, folder: str, files: dict[str, str] | None = None) -> DataFrame:
     """``split, sid, idx, word, label`` of a folder's split files; all missing files are named at once."""
     files = files or SPLIT_FILES
-    missing = [f for f in files.values() if not Path(folder, f).exists()]
+    missing = [f for f in files.values() if not exists(spark, f"{folder}/{f}")]
     if missing:
         raise FileNotFoundError(f"{folder} lacks {', '.join(missing)}")
     out = None
     for split, name in files.items():
-        part = read_iob2(spark, str(Path(folder, name))).withColumn("split", F.lit(split)).drop("file")
+        part = read_iob2(spark, f"{folder}/{name}").withColumn("split", F.lit(split)).drop("file")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -66,26 +71,43 @@ def arrays(words: DataFrame) -> DataFrame:
     return grouped.select("sid", F.transform("w", lambda x: x["word"]).alias("tokens"), F.transform("w", lambda x: x["label"]).alias("labels"))
 
 
-def tagged_parquet(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """``sid, idx, word, label`` of parquet rows ``tokens array<string>, ner_tags array<int>``; ``names`` are the classes in order.
+def class_names(path: str, column: str = "ner_tags") -> list[str]:
+    """The class names that a dataset's files carry in their footers (key ``huggingface``), on a local disk; a file without or with others is an error."""
+    import pyarrow.parquet as pq
 
-    Arrays of unequal length and class numbers out of range are an error.
+    files = sorted(p for p in Path(path).rglob("*.parquet") if p.is_file()) if Path(path).is_dir() else [Path(path)]
+    known: dict[tuple, str] = {}
+    for file in files:
+        try:
+            features = json.loads((pq.read_schema(file).metadata or {})[b"huggingface"])["info"]["features"]
+            known.setdefault(tuple(features[column]["feature"]["names"]), file.name)
+        except (KeyError, TypeError, ValueError):
+            raise FormatError(f"{file.name}: its footer names no classes of {column}") from None
+    if len(known) != 1:
+        raise FormatError(f"{path}: {len(known)} different lists of class names: {', '.join(known.values())}")
+    return list(next(iter(known)))
+
+
+def tagged_parquet(spark: SparkSession, path: str, names: list[str] | None = None, expected: list[str] | None = None) -> DataFrame:
+    """``sid, idx, word, label`` of parquet rows ``tokens array<string>, ner_tags array<int>``, numbered in order of file and row.
+
+    ``names`` are the classes in order; without them they are read from the footers. With ``expected`` another list is an error, so that a changed
+    order can't pass. Arrays of unequal length and class numbers out of range are an error.
     """
-    rows = spark.read.parquet(path).select(F.struct("_metadata.file_path", "_metadata.row_index").alias("_o"), "tokens", "ner_tags")
+    names = names if names is not None else class_names(path)
+    if expected is not None and list(expected) != list(names):
+        raise FormatError(f"{path}: the classes are {', '.join(names)}, not {', '.join(expected)}")
+    rows = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"), "tokens", "ner_tags")
     table = F.array(*(F.lit(n) for n in names))
     checked = F.when(F.size("tokens") != F.size("ner_tags"), F.raise_error(F.lit("tokens and ner_tags differ in length")).cast("array<int>")).otherwise(F.col("ner_tags"))
     zipped = F.arrays_zip(F.col("tokens").alias("t"), checked.alias("g"))
-    each = rows.select("_o", F.posexplode(zipped).alias("idx", "x"))
-    sids = rows.select("_o").withColumn("sid", F.row_number().over(Window.orderBy("_o")).cast("long") - 1)
-    return each.join(sids, "_o").select("sid", "idx", F.col("x.t").alias("word"), F.element_at(table, F.col("x.g") + 1).alias("label"))
+    # a row's number: its place in the file after the rows of the files before, one row per file
+    before = Window.partitionBy(F.lit(0)).orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_f").agg(F.max("_r").alias("_last")).withColumn("_start", F.coalesce(F.sum(F.col("_last") + 1).over(before), F.lit(0))).select("_f", "_start")
+    each = rows.join(starts, "_f").select((F.col("_start") + F.col("_r")).alias("sid"), F.posexplode(zipped).alias("idx", "x"))
+    return each.select("sid", "idx", F.col("x.t").alias("word"), F.element_at(table, (F.col("x.g") + 1).cast("int")).alias("label"))
 
 
 def entity_counts(words: DataFrame) -> DataFrame:
     """``etype, n``: the ``B-`` tags by type, as a manifest lists them."""
     return words.filter(F.col("label").startswith("B-")).groupBy(F.expr("substr(label, 3)").alias("etype")).agg(F.count("*").alias("n"))
-
-
-def checksum(spark: SparkSession, path: str) -> DataFrame:
-    """``file, sha256`` of files, line ends as LF."""
-    text = F.expr("replace(decode(content, 'utf-8'), '\r\n', '\n')")
-    return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), F.sha2(F.encode(text, "utf-8"), 256).alias("sha256"))

@@ -9,23 +9,25 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanframe.sources.files import FOLDER, checksums, found, read_lines, write_file
+
 _JSON_FILES = ("config", "metrics", "environment")
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
     """``run_dir, config, metrics, environment`` (JSON text) of every subfolder with a ``config.json``; missing files are null.
 
-    A run without metrics isn't complete. Fields are read with ``get_json_object`` or ``variant_get``.
+    A run without metrics isn't complete. Fields are read with ``get_json_object`` or ``variant_get``. Each of these files is small: one row.
     """
-    found = None
+    out = None
     for name in _JSON_FILES:
-        files = sorted(str(p) for p in Path(folder).glob(f"*/{name}.json"))
-        if files:
-            part = spark.read.text(files, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("run_dir"), F.col("value").alias(name))
+        pattern = f"{folder}/*/{name}.json"
+        if found(spark, pattern):
+            part = spark.read.text(pattern, wholetext=True).select(F.regexp_extract("_metadata.file_path", FOLDER, 1).alias("run_dir"), F.col("value").alias(name))
         else:
             part = spark.createDataFrame([], f"run_dir string, {name} string")
-        found = part if found is None else found.join(part, "run_dir", "left")
-    return found
+        out = part if out is None else out.join(part, "run_dir", "left")
+    return out
 
 
 def run_fields(runs: DataFrame, paths: dict[str, str]) -> DataFrame:
@@ -33,19 +35,17 @@ def run_fields(runs: DataFrame, paths: dict[str, str]) -> DataFrame:
     return runs.select("run_dir", *(F.get_json_object("config", "$." + p).alias(n) for n, p in paths.items()))
 
 
-def read_run_predictions(spark: SparkSession, folder: str, name: str = "predictions.csv") -> DataFrame:
-    """The contract rows of all run directories with ``run_id`` from the path; a missing file of a run is a named error."""
+def read_run_predictions(spark: SparkSession, folder: str, name: str = "predictions.csv", only: list[str] | None = None) -> DataFrame:
+    """The contract rows of all run directories, or those in ``only``, in one read, with ``run_id`` from the path; a missing file of a run is a named error."""
     from spanframe.sources.contract import FormatError, read_predictions
 
-    dirs = sorted(p.parent.name for p in Path(folder).glob("*/config.json"))
-    missing = [d for d in dirs if not Path(folder, d, name).exists()]
+    dirs = {p.split("/")[-2] for p in found(spark, f"{folder}/*/config.json")}
+    dirs = dirs if only is None else set(only)
+    missing = sorted(dirs - {p.split("/")[-2] for p in found(spark, f"{folder}/*/{name}")})
     if missing:
         raise FormatError(f"no {name} in {', '.join(missing)}")
-    out = None
-    for d in dirs:
-        rows = read_predictions(spark, str(Path(folder, d, name))).drop("file_name").withColumn("run_id", F.lit(d))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    paths = [f"{folder}/{d}/{name}" for d in sorted(dirs)]
+    return read_predictions(spark, paths, key=FOLDER).withColumnRenamed("file_name", "run_id")
 
 
 def row_groups(paths: list[str], column: str = "text") -> list[tuple[str, int, int, int]]:
@@ -98,9 +98,24 @@ def read_mapping(path: str) -> dict:
 
 
 def read_pieces(spark: SparkSession, path: str) -> DataFrame:
-    """``piece, ordinal``: one piece per line, blank lines left out."""
-    texts = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("ordinal", "piece"))
-    return texts.filter("piece <> ''").select("piece", "ordinal")
+    """``piece, ordinal``: one piece per line in the order of the lines, blank lines left out; ordinals are line numbers."""
+    return read_lines(spark, path).filter("line <> ''").select(F.col("line").alias("piece"), F.col("line_no").alias("ordinal"))
+
+
+def read_head_mapping(path: str) -> dict:
+    """A head mapping (YAML): ``source, target, outside, mapping`` from a type to the list of types that start from it; a wrong form is an error."""
+    import yaml
+
+    keys = ("source", "target", "outside", "mapping")
+    data = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    if not isinstance(data, dict) or set(data) != set(keys):
+        raise ValueError(f"{path}: exactly the keys {', '.join(keys)} are needed")
+    if not isinstance(data["outside"], bool) or not isinstance(data["mapping"], dict):
+        raise ValueError(f"{path}: outside must be true or false, mapping a mapping")
+    for source, targets in data["mapping"].items():
+        if not isinstance(targets, list) or not all(isinstance(t, str) for t in targets):
+            raise ValueError(f"{path}: {source!r} must list types")
+    return data
 
 
 def canonical_json(value: object) -> str:
@@ -119,11 +134,11 @@ def data_digest(parts: dict[str, str]) -> str:
 
 
 def write_report(rows: DataFrame, path: str, most: int = 100_000) -> None:
-    """A small table as indented JSON, non-ASCII kept; refused beyond ``most`` rows."""
-    found = [r.asDict(recursive=True) for r in rows.limit(most + 1).collect()]
-    if len(found) > most:
+    """A small table as indented JSON, non-ASCII kept, published at once; refused beyond ``most`` rows."""
+    listed = [r.asDict(recursive=True) for r in rows.limit(most + 1).collect()]
+    if len(listed) > most:
         raise ValueError(f"a report has at most {most} rows")
-    Path(path).write_text(json.dumps(found, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+    write_file(rows.sparkSession, path, json.dumps(listed, indent=2, ensure_ascii=False, default=str) + "\n")
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
@@ -137,3 +152,43 @@ def format_table(rows: DataFrame, most: int = 1000) -> str:
     cells = [names, *([("" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)) for v in r] for r in rows.limit(most).collect())]
     widths = [max(len(c[i]) for c in cells) for i in range(len(names))]
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(c, widths, strict=True)).rstrip() for c in cells)
+
+
+def format_report(title: str, sections: dict[str, DataFrame]) -> str:
+    """A report as text: a title, then each section's name over its table. Sections without rows say so."""
+    blocks = [title, "=" * len(title)]
+    for name, rows in sections.items():
+        table = format_table(rows)
+        blocks += ["", name, "-" * len(name), table if "\n" in table else "(none)"]
+    return "\n".join(blocks) + "\n"
+
+
+def write_extension(extension, path: str) -> dict:
+    """An extended vocabulary as a folder: ``vocab.txt`` by id, ``new_pieces.txt`` in their order, and ``extension.json`` with the counts, written last.
+
+    Both lists are bounded as vocabularies are. Returns the manifest.
+    """
+    spark = extension.vocabulary.sparkSession
+    listed = [r["piece"] for r in extension.vocabulary.orderBy("id").collect()]
+    new = extension.added.count()
+    manifest = {"pieces": len(listed), "new": new, "skipped": {r["skip"]: r["pieces"] for r in extension.skipped().orderBy("skip").collect()}}
+    manifest["digest"] = data_digest({"vocabulary": hashlib.sha256("\n".join(listed).encode()).hexdigest()})
+    for name, pieces in (("vocab.txt", listed), ("new_pieces.txt", listed[len(listed) - new :])):
+        write_file(spark, f"{path}/{name}", "".join(p + "\n" for p in pieces))
+    write_file(spark, f"{path}/extension.json", json.dumps(manifest, indent=2, ensure_ascii=False) + "\n")
+    return manifest
+
+
+def write_corpus(kept: DataFrame, path: str, order: list[str]) -> dict:
+    """Kept lines as text files in order, with ``manifest.json`` beside them: lines, words, digests of the files and one over them. Returns the manifest."""
+    from spanframe.operators import curation
+
+    spark = kept.sparkSession
+    curation.write_corpus(kept, f"{path}/corpus", order)
+    counts = curation.manifest_digest(kept).first()
+    digests = {r["file"]: r["sha256"] for r in checksums(spark, f"{path}/corpus/part-*", text=False).collect()}
+    # file names of a write hold a random part; their number gives the order
+    named = {f"part-{i:05d}": digests[f] for i, f in enumerate(sorted(digests))}
+    manifest = {"lines": counts["lines"], "words": counts["words"] or 0, "files": named, "digest": data_digest(named)}
+    write_file(spark, f"{path}/manifest.json", json.dumps(manifest, indent=2) + "\n")
+    return manifest

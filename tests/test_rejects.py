@@ -132,3 +132,10 @@ def test_older_layout(spark, tmp_path):
     path.write_text("sentence_id,token,true_label,pred_label\n3,a,O,O\n3,b,B-X,O\n1,c,O,O\n", encoding="utf-8")
     rows = sorted(tuple(r) for r in contract.read_older(spark, str(path)).collect())
     assert rows == [(1, 0, "c", "O", "O", False), (3, 0, "a", "O", "O", False), (3, 1, "b", "B-X", "O", False)]
+    gold = [(1, 0, "c", "O"), (1, 1, "d", "B-Y"), (3, 0, "a", "O"), (3, 1, "b", "B-X")]
+    schema = "sid long, idx int, word string, label string"
+    rows = sorted(tuple(r) for r in contract.read_older(spark, str(path), spark.createDataFrame(gold, schema)).collect())
+    assert rows == [(1, 0, "c", "O", "O", False), (1, 1, "d", "B-Y", "O", True), (3, 0, "a", "O", "O", False), (3, 1, "b", "B-X", "O", False)]
+    for wrong in ([*gold[:3], (3, 1, "b", "O")], gold[:3], [*gold, (4, 0, "x", "O")]):
+        with pytest.raises(rejects.FormatError, match="match the gold file"):
+            contract.read_older(spark, str(path), spark.createDataFrame(wrong, schema))

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spanframe.sources import iob2, runs
+from spanframe.sources import files, iob2, runs
 
 TEXT = "Асан B-PERSON\nБарды x y 0\n\n  \nМен\tO\r\n.  O\n\n"
 
@@ -42,8 +42,76 @@ def test_tagged_parquet_and_checksum(spark, tmp_path):
     assert rows == [(0, 0, "a", "O"), (0, 1, "b", "B-PER"), (1, 0, "c", "I-PER")]
     for name, text in (("x", b"a\r\nb"), ("y", b"a\nb")):
         (tmp_path / name).write_bytes(text)
-    digests = [iob2.checksum(spark, str(tmp_path / n)).first()["sha256"] for n in "xy"]
-    assert digests[0] == digests[1]
+    digests = {r["file"]: r["sha256"] for r in files.checksums(spark, str(tmp_path / "[xy]")).collect()}
+    assert digests["x"] == digests["y"]
+    files.verify(spark, str(tmp_path / "[xy]"), digests)
+    with pytest.raises(ValueError, match="missing or changed: x, z"):
+        files.verify(spark, str(tmp_path / "[xy]"), digests | {"x": "0", "z": "0"})
+
+
+def test_class_names_from_footers(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def write(name, names):
+        table = pa.table({"tokens": [["a", "b"]], "ner_tags": [[0, 1]]})
+        meta = {} if names is None else {b"huggingface": json.dumps({"info": {"features": {"ner_tags": {"feature": {"names": names}}}}}).encode()}
+        pq.write_table(table.replace_schema_metadata(meta), tmp_path / name)
+
+    write("a.parquet", ["O", "B-PER"])
+    write("b.parquet", ["O", "B-PER"])
+    rows = sorted(map(tuple, iob2.tagged_parquet(spark, str(tmp_path), expected=["O", "B-PER"]).collect()))
+    assert rows == [(0, 0, "a", "O"), (0, 1, "b", "B-PER"), (1, 0, "a", "O"), (1, 1, "b", "B-PER")]
+    with pytest.raises(iob2.FormatError, match="not B-PER, O"):
+        iob2.tagged_parquet(spark, str(tmp_path), expected=["B-PER", "O"])
+    write("b.parquet", ["B-PER", "O"])
+    with pytest.raises(iob2.FormatError, match="2 different"):
+        iob2.class_names(str(tmp_path))
+    write("b.parquet", None)
+    with pytest.raises(iob2.FormatError, match="b.parquet"):
+        iob2.class_names(str(tmp_path))
+
+
+def test_lines_of_several_blocks(spark, tmp_path):
+    lines = [f"line {i}" * (i % 7) for i in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "b.txt").write_text("x\r\n\ny\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = files.numbered_lines(spark, str(tmp_path / "a.txt")).orderBy("line_no").collect()
+        assert [r["raw"] for r in found] == lines and [r["line_no"] for r in found] == list(range(3000)) and {r["file"] for r in found} == {"a.txt"}
+        whole = files.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+        assert [r["line"] for r in whole] == [*lines, "x", "", "y"] and [r["line_no"] for r in whole] == list(range(3003))
+        (tmp_path / "big.txt").write_text("".join(f"w{i} O\nv{i} B-X\n\n" for i in range(900)), encoding="utf-8")
+        rows = iob2.read_iob2(spark, str(tmp_path / "big.txt")).orderBy("sid", "idx").collect()
+        assert [(r["sid"], r["idx"], r["word"]) for r in rows] == [(i, k, f"{'wv'[k]}{i}") for i in range(900) for k in (0, 1)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_extension_and_corpus_folders(spark, tmp_path):
+    from spanframe.operators import vocabulary as V
+
+    base = spark.createDataFrame([("ab", 0), ("cd", 1), ("##ab", 2), ("##cd", 3)], "piece string, id int")
+    e = V.extend(base, spark.createDataFrame([("abcd",), ("x",)], "piece string"), spark.createDataFrame([("abcd", 7)], "piece string, n long"), 5)
+    manifest = runs.write_extension(e, str(tmp_path / "ext"))
+    assert (manifest["pieces"], manifest["new"], manifest["skipped"]) == (5, 1, {"single_character": 1})
+    assert [r["piece"] for r in runs.read_pieces(spark, str(tmp_path / "ext" / "new_pieces.txt")).collect()] == ["abcd"]
+    assert json.loads((tmp_path / "ext" / "extension.json").read_text()) == manifest
+    kept = spark.createDataFrame([(i, f"жол {i}") for i in range(40)], "i int, line string")
+    one, two = (runs.write_corpus(kept.repartition(n), str(tmp_path / f"c{n}"), ["i"]) for n in (2, 5))
+    assert (one["lines"], one["words"]) == (40, 80) == (two["lines"], two["words"])
+    assert [r["line"] for r in files.read_lines(spark, str(tmp_path / "c2" / "corpus")).orderBy("line_no").collect()] == [f"жол {i}" for i in range(40)]
+
+
+def test_head_mapping(tmp_path):
+    path = tmp_path / "h.yaml"
+    path.write_text("source: a\ntarget: b\noutside: true\nmapping: {PER: [PERSON, CHILD]}\n", encoding="utf-8")
+    assert runs.read_head_mapping(str(path))["mapping"] == {"PER": ["PERSON", "CHILD"]}
+    for bad in ("source: a\n", "source: a\ntarget: b\noutside: 1\nmapping: {}\n", "source: a\ntarget: b\noutside: true\nmapping: {PER: X}\n"):
+        path.write_text(bad, encoding="utf-8")
+        with pytest.raises(ValueError, match="h.yaml"):
+            runs.read_head_mapping(str(path))
 
 
 def test_runs(spark, tmp_path):
@@ -89,6 +157,8 @@ def test_ids_and_reports(spark, tmp_path):
     with pytest.raises(ValueError, match="at most"):
         runs.write_report(df, str(tmp_path / "r.json"), most=1)
     assert runs.format_table(df).splitlines()[1] == "қ  1.5000"
+    assert runs.format_report("All", {"one": df.limit(1), "two": df.limit(0)}).splitlines() == ["All", "===", "", "one", "---", "a  b", "қ  1.5000", "", "two", "---", "(none)"]
+    assert not (tmp_path / "r.json.part").exists()
     path = tmp_path / "m.yaml"
     path.write_text("source: a\ntarget: b\ntarget_types: [PER]\nmapping: {PERSON: PER, DATE: O}\n", encoding="utf-8")
     assert runs.read_mapping(str(path))["mapping"] == {"PERSON": "PER", "DATE": "O"}
