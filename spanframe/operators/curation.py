@@ -76,10 +76,10 @@ def prefix_sums(df: DataFrame, value: str, order: list[str], out: str, partition
     (one row each) added up and joined back.
     """
     n = partitions or max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    from spanframe.session import checkpointed
+    from spanframe.session import stored
 
     # ranges are found by sampling: cut here, so that totals and rows see the same partitions
-    ranged = checkpointed(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = stored(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_t"))
     offsets = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
     within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -85,16 +85,24 @@ def aggregate(runs: DataFrame, by: list[str], block: str = "test_contract", metr
     return grouped
 
 
-def transfer_summary(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Mean and sample sd of F1 per group and type over runs; a run without the type counts 0; support is the largest.
+def transfer_summary(scores: DataFrame, by: list[str], metrics: tuple[str, ...] = ("f1",)) -> DataFrame:
+    """Mean and sample sd of the metrics per group and type over runs; a run without the type counts 0; support is the largest.
 
-    ``scores``: ``*by, run_id, etype, f1, support``. The grid of runs and types of each group is built by a join on the group's key.
+    ``scores``: ``*by, run_id, etype, support`` and the metrics. The grid of runs and types of each group is built by a join on the group's key.
     """
     runs = scores.select(*by, "run_id").distinct()
     types = scores.select(*by, "etype").distinct()
     grid = runs.join(types, by) if by else runs.withColumn("_k", F.lit(1)).join(types.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    filled = grid.join(scores, [*by, "run_id", "etype"], "left").withColumns({"f1": F.coalesce("f1", F.lit(0.0)), "support": F.coalesce("support", F.lit(0))})
-    return filled.groupBy(*by, "etype").agg(F.avg("f1").alias("f1_mean"), F.stddev_samp("f1").alias("f1_sd"), F.max("support").alias("support"), F.count("*").alias("runs"))
+    zero = {m: F.coalesce(m, F.lit(0.0)) for m in metrics} | {"support": F.coalesce("support", F.lit(0))}
+    filled = grid.join(scores, [*by, "run_id", "etype"], "left").withColumns(zero)
+    spread = [f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+    return filled.groupBy(*by, "etype").agg(*spread, F.max("support").alias("support"), F.count("*").alias("runs"))
+
+
+def subset_summary(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and sample sd over runs of the micro scores of each subset: ``scores`` as from :func:`subset_scores`, with the ``by`` columns."""
+    spread = [f(m).alias(f"{m}_{n}") for m in ("precision", "recall", "f1") for n, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+    return scores.groupBy(*by, "subset").agg(*spread, F.max("sentences").alias("sentences"), F.count("*").alias("runs"))
 
 
 def sentence_subsets(sentences: DataFrame) -> DataFrame:
@@ -118,14 +126,25 @@ def subset_scores(counts: DataFrame, subsets: DataFrame) -> DataFrame:
     return summed.select("run_id", "subset", "sentences", *(v.alias(k) for k, v in scores(F.col("n_correct"), F.col("n_pred"), F.col("n_gold")).items()))
 
 
-def head_rows(mapping: dict[str, list[str]], outside: bool = True) -> list[tuple[str, str]]:
-    """(source label, target label) pairs of a head mapping: B and I of each type pair, and O to O."""
+def head_rows(mapping: dict[str, list[str]], outside: bool = True, source_labels: list[str] | None = None, target_labels: list[str] | None = None) -> list[tuple[str, str]]:
+    """(source label, target label) pairs of a head mapping: B and I of each type pair, and O to O.
+
+    With label sets, the mapping must list exactly the source's types, and every label of a pair must exist on its side.
+    """
     pairs = [("O", "O")] if outside else []
     claimed: dict[str, str] = {}
+    if source_labels is not None:
+        own = {x[2:] for x in source_labels if x != "O"}
+        if own != set(mapping):
+            raise ValueError(f"the mapping must list the source's types: {', '.join(sorted(own ^ set(mapping)))} differ")
     for source, targets in mapping.items():
         for target in targets:
             if target in claimed:
                 raise ValueError(f"target type {target!r} is taken from {claimed[target]!r} and {source!r}")
             claimed[target] = source
             pairs += [(f"{p}-{source}", f"{p}-{target}") for p in "BI"]
+    for side, labels in ((0, source_labels), (1, target_labels)):
+        missing = [] if labels is None else sorted({p[side] for p in pairs} - set(labels))
+        if missing:
+            raise ValueError(f"labels that are missing on the {('source', 'target')[side]} side: {', '.join(missing)}")
     return pairs

@@ -78,7 +78,20 @@ _BUDGET = 20_000
 )
 def corpus_stop_rule(spark, sf_dir):
     """Stage counts of the lines that a budget of words needs."""
-    return Q.stage_counts(Q.until_budget(staged(spark, sf_dir), _BUDGET, ORDER))
+    # places, stages and word counts only: no text is placed
+    return Q.stage_counts(Q.until_budget(staged(spark, sf_dir).select(*ORDER, "stage", "n_words"), _BUDGET, ORDER))
+
+
+@CORE.register(
+    "row_groups_used",
+    f"""WITH {LINES}, summed AS (SELECT *, coalesce(sum(CASE WHEN stage = 'kept' THEN n ELSE 0 END) OVER (ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM staged)
+    SELECT file_name, row_group, count(DISTINCT doc_id) AS docs FROM summed JOIN documents USING (doc_id) WHERE before < {_BUDGET} GROUP BY ALL""",
+)
+def row_groups_used(spark, sf_dir):
+    """Documents of each row group that were read before the word budget was met."""
+    read = Q.until_budget(staged(spark, sf_dir).select(*ORDER, "stage", "n_words"), _BUDGET, ORDER).select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "file_name", "row_group").join(read, "doc_id", "left_semi")
+    return docs.groupBy("file_name", "row_group").agg(F.count("*").alias("docs"))
 
 
 @CORE.register("script_share", r"""SELECT doc_id, round(length(regexp_replace(text, '[^\x{0400}-\x{0481}\x{048A}-\x{04FF}]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '[^\p{L}]', '', 'g')), 0), 9) AS share FROM documents""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from spanframe.functions import wordpiece as WP
 from spanframe.operators import align as A
 from spanframe.operators import fertility as Fe
+from spanframe.operators import sampling as Sa
 from spanframe.plans.registry import CORE
 from spanframe.plans.tokens import WORDS, split_words
-from spanframe.session import table
+from spanframe.session import shared_folder, table
 from spanframe.streaming import incremental
 
 
@@ -83,10 +84,8 @@ def learned_wordpiece_fertility(spark, sf_dir):
     SELECT e.piece, e.pos::INT AS pos, b.id AS source_id FROM e JOIN b ON b.piece = CASE WHEN e.pos > 0 THEN '##' ELSE '' END || substr(e.piece, e.pos * 4 + 1, 4)""")
 def fvt_sources(spark, sf_dir):
     """Base ids of the parts of new pieces (test words of more than four characters)."""
-    from spanframe.operators.contract import label_ids
-
     new = split_words(spark, sf_dir).filter("split = 'test' and length(word) > 4").select(F.col("word").alias("piece")).distinct()
-    base = label_ids(new.select(F.explode(WP.fixed_width_pieces("piece")).alias("p")), "p").select(F.col("label").alias("piece"), "id")
+    base = Sa.numbered(new.select(F.explode(WP.fixed_width_pieces("piece")).alias("piece")).distinct(), ["piece"], "id").select("piece", F.col("id").cast("int").alias("id"))
     return Fe.fvt_sources(new, base, WP.fixed_width_pieces)
 
 
@@ -123,14 +122,19 @@ def _stream(spark, sf_dir, name):
     """SELECT run_id, CASE WHEN coalesce(gold, 'O') = 'O' THEN '' ELSE substr(gold, 3) END AS etype, count(*) AS words, count(*) FILTER (WHERE coalesce(gold, 'O') <> coalesce(pred, 'O')) AS errors FROM predictions GROUP BY ALL""",
 )
 def stream_type_errors(spark, sf_dir):
-    """Word errors by run and type, kept up by a stream over the table's files until all that is there is read."""
-    name = f"type_errors_{abs(hash(sf_dir)) % 10**8}"
+    """Word errors by run and type, kept up by a stream over the table's files until all that is there is read; each batch writes the table anew."""
+    place = f"{shared_folder(spark)}/type-errors-{uuid.uuid4().hex}"
     out = incremental.type_errors(_stream(spark, sf_dir, "predictions"), ["run_id"])
-    checkpoint = spark.conf.get("spark.checkpoint.dir", None)
-    location = f"{checkpoint}/{name}_{spark.sparkContext.applicationId}_{tempfile.mktemp(dir='').strip('/')}" if checkpoint else tempfile.mkdtemp(prefix="spanframe-stream-")
-    query = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", location).trigger(availableNow=True).start()
+    written: list[str] = []
+
+    def keep(batch, number):
+        path = f"{place}/table-{number}"
+        batch.write.mode("overwrite").parquet(path)
+        written.append(path)
+
+    query = out.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(written[-1]) if written else spark.createDataFrame([], out.schema)
 
 
 @CORE.register("events_json", """SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY event_type""")

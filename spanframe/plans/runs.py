@@ -10,7 +10,7 @@ from spanframe.plans import sql
 from spanframe.plans.registry import CORE
 from spanframe.plans.spans import words
 from spanframe.plans.tokens import WORDS, split_words, test_contract, word_table_of
-from spanframe.session import checkpointed, table
+from spanframe.session import checkpointed, stored, table
 from spanframe.stats import bootstrap, logistic, resample
 from spanframe.stats import intervals as T
 
@@ -69,6 +69,18 @@ def seed_expansion(spark, sf_dir):
     return reg.groupBy(F.col("config.name").alias("name")).agg(F.collect_set("config.seed").alias("s")).select("name", F.explode("s").alias("seed"))
 
 
+METHODS = f"{RUNS}, methods AS (SELECT run_id, coalesce(config.method.name, 'none') AS method, config.seed AS seed FROM done)"
+CELLS = f"""{WORDS}, {METHODS}, test_contract AS (SELECT c.* FROM contract c JOIN splits s USING (sentence_id) WHERE s.split = 'test'), {sql.spans("test_contract")},
+cells AS (SELECT c.run_id, c.sentence_id, m.method, m.seed, count(*) FILTER (WHERE in_gold AND in_pred) AS n_correct, count(*) FILTER (WHERE in_pred) AS n_pred, count(*) FILTER (WHERE in_gold) AS n_gold
+  FROM (SELECT DISTINCT run_id, sentence_id FROM test_contract) c JOIN methods m USING (run_id) LEFT JOIN matched USING (run_id, sentence_id) GROUP BY ALL)"""
+
+
+def f1_sql(by: str, replicates: int, seed: int) -> str:
+    """CTEs from ``cells`` to ``scored``: F1 by ``by`` and replicate."""
+    return f"""sums AS (SELECT {by}, sentence_id, sum(n_correct) AS c, sum(n_pred + n_gold) AS t FROM cells GROUP BY ALL), {sql.weights("cells", replicates, seed)},
+scored AS (SELECT {by}, rep, coalesce(2 * sum(c * w)::DOUBLE / nullif(sum(t * w), 0), 0) AS f1 FROM sums JOIN weights USING (sentence_id) GROUP BY ALL)"""
+
+
 _ARMS = f"""{sql.CONTRACT}, {RUNS}, {sql.spans()}, {sql.prf("run_id")}, scored AS (
   SELECT d.config.method.name AS method, p.* FROM prf p JOIN done d USING (run_id) WHERE d.config.method.name IS NOT NULL
 )"""
@@ -89,6 +101,19 @@ def transfer_summary(spark, sf_dir):
     return R.transfer_summary(scored, ["method"]).withColumns({"f1_mean": F.round("f1_mean", 8), "f1_sd": F.round("f1_sd", 8)})
 
 
+@CORE.register(
+    "transfer_metrics",
+    f"""WITH {_ARMS}, grid AS (SELECT * FROM (SELECT DISTINCT method, run_id FROM scored) JOIN (SELECT DISTINCT method, etype FROM scored) USING (method))
+    SELECT method, etype, {", ".join(f'round(avg(coalesce("{m}", 0)), 8) AS {m}_mean, round(stddev_samp(coalesce("{m}", 0)), 8) AS {m}_sd' for m in ("precision", "recall", "f1"))}, max(coalesce(support, 0)) AS support, count(*) AS runs
+    FROM grid LEFT JOIN scored USING (method, run_id, etype) GROUP BY ALL""",
+)
+def transfer_metrics(spark, sf_dir):
+    """Mean and sd of precision, recall and F1 by method and type."""
+    metrics = ("precision", "recall", "f1")
+    out = R.transfer_summary(_scored(spark, sf_dir).select("method", "run_id", "etype", "support", *metrics), ["method"], metrics)
+    return out.withColumns({f"{m}_{k}": F.round(f"{m}_{k}", 8) for m in metrics for k in ("mean", "sd")})
+
+
 _SUBSETS = f"""{WORDS}, sent AS (SELECT sentence_id, list(word ORDER BY word_idx) AS w FROM words GROUP BY ALL), kinds AS (SELECT *, CASE WHEN w[1] = 'АЙДАУ' THEN 'redirect' WHEN w[1] IN ('''', '''''') THEN 'bold_title' ELSE 'other' END AS kind FROM sent),
 subsets AS (SELECT sentence_id, unnest(['all', kind]) AS subset FROM kinds UNION ALL SELECT min(sentence_id), 'other_unique' FROM kinds WHERE kind = 'other' GROUP BY w)"""
 
@@ -113,6 +138,28 @@ def subset_scores(spark, sf_dir):
     return R.subset_scores(S.sentence_counts(words(spark, sf_dir)), subsets_of(spark, sf_dir))
 
 
+_SUBSET_CELLS = f"""{CELLS}, {_SUBSETS.removeprefix(WORDS).lstrip(", ")}, in_subset AS (SELECT c.*, s.subset FROM cells c JOIN subsets s USING (sentence_id))"""
+
+
+@CORE.register(
+    "subset_intervals",
+    f"""WITH {_SUBSET_CELLS}, sums AS (SELECT subset, run_id, sentence_id, sum(n_correct) AS c, sum(n_pred + n_gold) AS t FROM in_subset WHERE method = 'full' GROUP BY ALL), {sql.weights("sums", 200, 42)},
+    scored AS (SELECT subset, run_id, rep, coalesce(2 * sum(c * w)::DOUBLE / nullif(sum(t * w), 0), 0) AS f1 FROM sums JOIN weights USING (sentence_id) GROUP BY ALL), means AS (SELECT subset, rep, avg(f1) AS f1 FROM scored GROUP BY ALL),
+    s AS ({sql.summary("subset", "f1", "f1", "means")}), r AS (SELECT subset, run_id, sum(n_correct) AS c, sum(n_pred) AS p, sum(n_gold) AS g, count(*) AS sentences FROM in_subset WHERE method = 'full' GROUP BY ALL),
+    m AS (SELECT subset, {", ".join(f"round(avg({x}), 8) AS {n}_mean, round(stddev_samp({x}), 8) AS {n}_sd" for n, x in (("precision", "coalesce(c::DOUBLE / nullif(p, 0), 0)"), ("recall", "coalesce(c::DOUBLE / nullif(g, 0), 0)"), ("f1", "coalesce((2 * c)::DOUBLE / nullif(p + g, 0), 0)")))},
+      max(sentences) AS sentences, count(*) AS runs FROM r GROUP BY subset)
+    SELECT m.*, round(low, 8) AS low, round(high, 8) AS high FROM m JOIN s USING (subset)""",
+)
+def subset_intervals(spark, sf_dir):
+    """Micro scores of full fine-tuning on each subset of test sentences: mean and sd over runs, and the interval of the mean F1."""
+    counts = stored(_arm_counts(spark, sf_dir).filter("method = 'full'"))
+    subsets = stored(subsets_of(spark, sf_dir))
+    summary = R.subset_summary(R.subset_scores(counts, subsets), [])
+    interval = resample.mean_f1(counts.join(subsets, "sentence_id"), ["subset"], 200, 42).select("subset", "low", "high")
+    names = [c for c in summary.columns if c.endswith(("_mean", "_sd"))]
+    return summary.join(interval, "subset").withColumns({c: F.round(c, 8) for c in (*names, "low", "high")})
+
+
 @CORE.register(
     "percentile_ci",
     """SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.025), 6) AS low, round(quantile_cont(o_totalprice, 0.975), 6) AS high FROM orders GROUP BY 1""",
@@ -170,18 +217,6 @@ def compare_point(spark, sf_dir):
     return a.join(b, "etype").select("etype", F.round("recall_a", 8).alias("recall_a"), F.round("recall_b", 8).alias("recall_b"), F.round(F.col("recall_b") - F.col("recall_a"), 8).alias("delta"))
 
 
-METHODS = f"{RUNS}, methods AS (SELECT run_id, coalesce(config.method.name, 'none') AS method, config.seed AS seed FROM done)"
-CELLS = f"""{WORDS}, {METHODS}, test_contract AS (SELECT c.* FROM contract c JOIN splits s USING (sentence_id) WHERE s.split = 'test'), {sql.spans("test_contract")},
-cells AS (SELECT c.run_id, c.sentence_id, m.method, m.seed, count(*) FILTER (WHERE in_gold AND in_pred) AS n_correct, count(*) FILTER (WHERE in_pred) AS n_pred, count(*) FILTER (WHERE in_gold) AS n_gold
-  FROM (SELECT DISTINCT run_id, sentence_id FROM test_contract) c JOIN methods m USING (run_id) LEFT JOIN matched USING (run_id, sentence_id) GROUP BY ALL)"""
-
-
-def f1_sql(by: str, replicates: int, seed: int) -> str:
-    """CTEs from ``cells`` to ``scored``: F1 by ``by`` and replicate."""
-    return f"""sums AS (SELECT {by}, sentence_id, sum(n_correct) AS c, sum(n_pred + n_gold) AS t FROM cells GROUP BY ALL), {sql.weights("cells", replicates, seed)},
-scored AS (SELECT {by}, rep, coalesce(2 * sum(c * w)::DOUBLE / nullif(sum(t * w), 0), 0) AS f1 FROM sums JOIN weights USING (sentence_id) GROUP BY ALL)"""
-
-
 def _arm_counts(spark, sf_dir):
     """Counts of the test sentences by run with ``method``; runs without one are named ``none``."""
     done = R.completed(registered(spark, sf_dir)).select("run_id", F.coalesce("config.method.name", F.lit("none")).alias("method"))

@@ -214,6 +214,11 @@ def test_head_rows():
     assert R.head_rows({"PER": ["PERSON", "CHILD"]}) == [("O", "O"), ("B-PER", "B-PERSON"), ("I-PER", "I-PERSON"), ("B-PER", "B-CHILD"), ("I-PER", "I-CHILD")]
     with pytest.raises(ValueError, match="taken from"):
         R.head_rows({"A": ["X"], "B": ["X"]})
+    source, target = ["O", "B-PER", "I-PER"], ["O", "B-PERSON", "I-PERSON"]
+    assert len(R.head_rows({"PER": ["PERSON"]}, True, source, target)) == 3
+    for mapping, message in (({"PER": [], "LOC": []}, "LOC differ"), ({}, "PER differ"), ({"PER": ["CHILD"]}, "target side: B-CHILD")):
+        with pytest.raises(ValueError, match=message):
+            R.head_rows(mapping, True, source, target)
 
 
 def plain_sign_flip(d):
