@@ -12,6 +12,8 @@ OUTSIDE = "O"
 SUBSETS = ("primary", "specificity", "negative_control", "unseen_with_unk")
 #: The bins of piece counts (fixed values).
 PIECE_BINS = ("1", "2", "3", "4", "5+")
+#: The bins of mean pieces (fixed values).
+FERTILITY_BINS = ("1.0", "(1,2]", "(2,3]", ">3")
 #: A tag is ``O`` or ``B-``/``I-`` and a type without white space (fixed value).
 TAG_PATTERN = r"^(O|[BI]-\S+)$"
 
