@@ -100,6 +100,14 @@ def require_same_set(contract: DataFrame, columns: tuple[str, ...] = ("word", "g
         raise ValueError(f"runs with another test set: {', '.join(found[1]['runs'][:5])}")
 
 
+def set_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The distinct rows that only one of two tables of equal columns has, with ``side`` ``left`` or ``right``: none if they are equal as sets."""
+    sides = a.withColumn("_a", F.lit(1)).withColumn("_b", F.lit(0)).unionByName(b.withColumn("_a", F.lit(0)).withColumn("_b", F.lit(1)))
+    # one aggregation over both instead of two anti-joins
+    found = sides.groupBy(*a.columns).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b")).filter("_a <> _b")
+    return found.select(*a.columns, F.when(F.col("_a") == 1, "left").otherwise("right").alias("side"))
+
+
 def require_common_targets(gold: dict[str, str] | None, pred: dict[str, str] | None) -> None:
     """Two mappings must end in the same types; of one mapping only, the other side's types are its targets."""
     if gold is not None and pred is not None and set(gold.values()) - {tags.OUTSIDE} != set(pred.values()) - {tags.OUTSIDE}:

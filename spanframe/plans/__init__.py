@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-CORE_MODULES = ("rejects", "spans", "curation", "tokens", "runs", "general", "wordpiece", "files")
+CORE_MODULES = ("rejects", "spans", "curation", "tokens", "runs", "general", "wordpiece", "checks", "files")
 
 
 def load(modules: tuple[str, ...]) -> None:

@@ -51,7 +51,6 @@ def truncated_words(spark, sf_dir):
     return s.select("sentence_id", F.array_sort(A.truncated_words(numbered, F.size("words"))).alias("cut"))
 
 
-@CORE.register("chunk_pack")
 def chunk_pack(spark, sf_dir):
     """Chunks of at most sixteen pieces of all sentences of every split; packing restarts with each sentence."""
     return A.packed_chunks(_sentences(spark, sf_dir, "true"), "sentence_id", "words", "sizes", 16)

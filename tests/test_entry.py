@@ -13,6 +13,9 @@ def test_names_and_sql():
     assert set(E.oracle_sql()) <= set(E.queries())
     if importlib.util.find_spec("spanframe.llm") is None:
         assert not any(n.startswith("p") and n[1:2].isdigit() and not n.startswith("p4_") for n in E.queries())
+    else:
+        # a broken import in the folder must not pass as its absence
+        assert {f"p{n}_" for n in range(1, 9)} <= {n[:3] for n in E.queries()}
 
 
 def test_nothing_imports_the_training_data_package():
@@ -32,7 +35,7 @@ def test_flagship(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["prf_by_run", "sentence_counts", "line_stages", "fertility_by_split", "entity_table", "recall_by_fertility", "aggregate_runs", "p4_found"])
+@pytest.mark.parametrize("name", ["prf_by_run", "sentence_counts", "line_stages", "fertility_by_split", "entity_table", "recall_by_fertility", "aggregate_runs", "p4_found", "wordpiece_subset_recall", "wordpiece_overlap", "extension_vocabulary", "chunk_text", "paired_f1", "paired_recall", "iob2_round_trip", "contract_round_trip", "trainer_scores"])
 def test_equal_to_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
