@@ -240,21 +240,22 @@ def label_sets(labels: DataFrame, limit: int = LABELLED_LIMIT) -> DataFrame:
 
 
 def _transactions(labelled: DataFrame, menu: frozenset[int]) -> DataFrame:
-    """``subject, stems`` of the sentences of documents with one label: of two subjects, a sentence doesn't tell which one it is about. They count in calibration."""
+    """``subject, stems`` of the sentences of labelled documents; of a document with several subjects they count for each, as nothing tells which one they are about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in slices(batch.column(1)):
                 subject, stems = [], []
-                for label, text in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
+                for labels, text in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
                     for words in running_text(text, menu) if text else ():
-                        subject.append(label)
-                        stems.append(sorted({stem(w) for w in words}))
+                        own = sorted({stem(w) for w in words})
+                        for label in labels:
+                            subject.append(label)
+                            stems.append(own)
                 if subject:
                     yield pa.RecordBatch.from_arrays([pa.array(subject, pa.string()), pa.array(stems, pa.list_(pa.string()))], ["subject", "stems"])
 
-    single = labelled.filter(F.size("subjects") == 1).select(F.col("subjects")[0].alias("subject"), "text")
-    return single.mapInArrow(run, "subject string, stems array<string>")
+    return labelled.select("subjects", "text").mapInArrow(run, "subject string, stems array<string>")
 
 
 def mine_rules(transactions: DataFrame) -> dict[tuple[str, ...], tuple[str, float]]:

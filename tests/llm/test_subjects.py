@@ -38,6 +38,12 @@ def test_fit_and_assign(spark):
     assert S.assign(docs.limit(0), model).count() == 0
 
 
+def test_documents_of_two_subjects_are_mined(spark):
+    df = spark.createDataFrame([(["law", "sport"], "The court sat. A goal"), (["law"], "A trial"), (["none"], None)], "subjects array<string>, text string")
+    found = sorted((r["subject"], list(r["stems"])) for r in S._transactions(df, frozenset()).collect())
+    assert found == [("law", ["a", "goal"]), ("law", ["a", "trial"]), ("law", ["court", "sat", "the"]), ("sport", ["a", "goal"]), ("sport", ["court", "sat", "the"])]
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c.")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, subject string, labeller string")
