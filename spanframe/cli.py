@@ -49,9 +49,18 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.labels_from:
         labels = [r[0] for r in iob2.read_iob2(spark, a.labels_from).select("label").distinct().collect()]
     rows = contract.read_predictions(spark, a.predictions, labels).withColumn("run_id", F.lit("run"))
-    for column, path in (("gold", a.map_gold), ("pred", a.map_pred)):
-        if path:
-            rows = rows.withColumn(column, tags.map_tag(column, runs.read_mapping(path)["mapping"]))
+    mappings = {side: runs.read_mapping(path)["mapping"] if path else None for side, path in (("gold", a.map_gold), ("pred", a.map_pred))}
+    C.require_common_targets(mappings["gold"], mappings["pred"])
+    mapped = {side: m for side, m in mappings.items() if m is not None}
+    for side, other in (("gold", "pred"), ("pred", "gold")):
+        if mapped and side not in mapped:
+            # a side that isn't mapped must have target types already
+            own = {r[0] for r in rows.select(tags.tag_type(side).alias("t")).filter("t <> ''").distinct().collect()}
+            foreign = sorted(own - set(mapped[other].values()))
+            if foreign:
+                raise SystemExit(f"types of {side} that the mapping of {other} doesn't end in: {', '.join(foreign)}")
+    for side, mapping in mapped.items():
+        rows = rows.withColumn(side, tags.map_tag(side, mapping))
     total = S.evaluate(rows).drop("run_id").first().asDict()
     return total | {"per_type": {r.pop("etype"): r for r in _rows(S.prf(rows)) if r["etype"] != S.MICRO}}
 

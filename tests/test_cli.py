@@ -49,6 +49,10 @@ def test_commands(spark, folder, capsys):
     assert out["delta"] == pytest.approx(1 - 2 / 3) and out["sign_flip_p"] == 0.5
     mapping = folder / "map.yaml"
     mapping.write_text("source: a\ntarget: b\ntarget_types: [PER]\nmapping: {PERSON: PER, LOCATION: O}\n", encoding="utf-8")
+    predictions = runs / "y1" / "predictions.csv"
+    assert run(spark, capsys, "evaluate", "--predictions", predictions, "--map-gold", mapping, "--map-pred", mapping)["per_type"].keys() == {"PER"}
+    with pytest.raises(SystemExit, match="types of pred that the mapping of gold doesn't end in: LOCATION, PERSON"):
+        run(spark, capsys, "evaluate", "--predictions", predictions, "--map-gold", mapping)
     for d in ("x1", "x2", "y1", "y2"):
         (runs / d / "extra.csv").write_text("sentence_id,word_idx,word,gold,pred\n0,0,Асан,B-PER,B-PERSON\n0,1,болды,O,B-LOCATION\n1,0,АЙДАУ,O,O\n", encoding="utf-8")
     out = run(spark, capsys, "transfer", "--runs", runs, "--extra", "extra.csv", "--mapping", mapping, "--vocabulary", vocabulary, "--by", "model", "--replicates", 20, "--csv", folder / "tr")
