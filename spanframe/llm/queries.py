@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanframe.llm import bpe, chunks, ngrams, overlap, sample, subjects, tiling
 from spanframe.operators.splits import sentence_splits
 from spanframe.plans.registry import Registry
-from spanframe.session import table
+from spanframe.session import spread, table
 
 LLM = Registry()
 
@@ -17,15 +17,20 @@ LLM = Registry()
 TOKENIZERS = os.environ.get("SPANFRAME_TOKENIZERS", "/opt/tokenizers")
 
 
+def _documents(spark, sf_dir, *columns):
+    """Columns of the documents; a table in fewer pieces than the session has cores is spread over them."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 @LLM.register("p6_ids")
 def p6_ids(spark, sf_dir):
-    return bpe.encode_texts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.encode_texts(_documents(spark, sf_dir, "doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
 @LLM.register("p6_token_counts")
 def p6_token_counts(spark, sf_dir):
     """Tokens and tokens per code point of the corpus by source."""
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir, "doc_id", "text", "source", "n_chars")
     ids = bpe.encode_texts(docs, f"{TOKENIZERS}/byte_bpe_50k.json").select("doc_id", F.size("ids").cast("long").alias("n"))
     counts = ids.join(docs.select("doc_id", "source", "n_chars"), "doc_id").groupBy("source")
     return counts.agg(F.sum("n").alias("tokens"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"))
@@ -44,14 +49,14 @@ SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN item_grams USING (n, g)
 
 @LLM.register("p7_found", _P7_FOUND)
 def p7_found(spark, sf_dir):
-    found = tiling.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = tiling.find_leaks(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "eval_items"))
     return tiling.qualifying(found).select("doc_id", "item_id")
 
 
 @LLM.register("p7_leaks")
 def p7_leaks(spark, sf_dir):
     """Leaked items with the documents they stand in and how much of them is covered, reordered parts included."""
-    return tiling.covering(tiling.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), seed=4, share=0.5))
+    return tiling.covering(tiling.find_leaks(_documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "eval_items"), seed=4, share=0.5))
 
 
 _P2_TOKENS = r"""
@@ -183,17 +188,17 @@ SELECT DISTINCT run_id, doc_id FROM size JOIN spec USING (source) WHERE lim > 2
 
 @LLM.register("p5_found", _P5_FOUND)
 def p5_found(spark, sf_dir):
-    found = chunks.split_oversized(table(spark, sf_dir, "documents"), chunks.settings_of(table(spark, sf_dir, "pretrain_runs")))
+    found = chunks.split_oversized(_documents(spark, sf_dir, "doc_id", "text", "source"), chunks.settings_of(table(spark, sf_dir, "pretrain_runs")))
     return found.filter(F.size("starts") > 1).select("run_id", "doc_id")
 
 
 @LLM.register("p5_pieces")
 def p5_pieces(spark, sf_dir):
-    return chunks.pieces(table(spark, sf_dir, "documents"), chunks.settings_of(table(spark, sf_dir, "pretrain_runs")))
+    return chunks.pieces(_documents(spark, sf_dir, "doc_id", "text", "source"), chunks.settings_of(table(spark, sf_dir, "pretrain_runs")))
 
 
 def _p8_subjects(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return subjects.assign(docs, subjects.fit(docs, table(spark, sf_dir, "subject_labels")))
 
 
