@@ -5,10 +5,10 @@ Pieces are never learned here: a learner's list of pieces is an input.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,14 +111,15 @@ def pieces_by_word(words: list[str], ids: list[int], offsets: list[tuple[int, in
 
     A piece that ends in the space between two words belongs to the next one; what lies behind the last word belongs to it.
     """
-    ends, at = [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    out: list[list[int]] = [[] for _ in words]
-    for piece, (lo, hi) in zip(ids, offsets, strict=True):
-        out[min(bisect_right(ends, max(lo, hi - 1)), len(words) - 1)].append(piece)
-    return out
+    if not words:
+        return []
+    # where each word ends, and the last character of each piece; a piece without characters stands at its start
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    bounds = np.asarray(offsets, np.int64).reshape(-1, 2)
+    owners = np.searchsorted(ends, bounds.max(axis=1) - (bounds[:, 0] < bounds[:, 1]), side="right").clip(max=len(words) - 1)
+    order = np.argsort(owners, kind="stable")
+    counts = np.bincount(owners, minlength=len(words))
+    return [part.tolist() for part in np.split(np.asarray(ids, np.int64)[order], np.cumsum(counts)[:-1])]
 
 
 def split_mismatches(sentences: DataFrame, key: str, tokens: str, split: Callable[[str], list[int]], running: Encoder) -> DataFrame:
