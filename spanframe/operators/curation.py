@@ -50,23 +50,32 @@ def containing(rows: DataFrame, index: DataFrame, key: list[str], text: str, ind
     return hit.select(*key).distinct()
 
 
-def staged_lines(lines: DataFrame, order: list[str], index: DataFrame | None = None, index_text: str = "text", script: Column | None = None) -> DataFrame:
-    """``lines`` with ``n_words`` and ``stage``. ``order`` names the columns that order all lines; the first of equal lines wins.
+def line_stages(lines: DataFrame, order: list[str], index: DataFrame | None = None, index_text: str = "text", script: Column | None = None) -> DataFrame:
+    """``*order, n_words, stage`` of every line, without its text. ``order`` names the columns that order all lines and give each a place of its own; the first of equal lines wins.
 
     Only lines that pass the rules by themselves take part in deduplication, and a first copy that is later dropped as contaminated still
-    makes the others duplicates. Equal lines are found by a 128-bit hash: what deduplication moves is hashes and places, not text.
+    makes the others duplicates. Equal lines are found by a 128-bit hash. One pass over the text writes places, rules and hashes, which is all that
+    deduplication and the stages move; with an index a second pass looks for its texts.
     """
-    ruled = lines.withColumn("n_words", X.word_count("line")).withColumn("rule", line_rule("line", script, F.col("n_words")))
-    candidates = ruled.filter("rule is null")
+    from spanframe.session import stored
+
+    ruled = lines.select(*order, "line", X.word_count("line").alias("n_words")).withColumn("rule", line_rule("line", script, F.col("n_words")))
+    hashes = {"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), F.reverse("line"))}
+    slim = stored(ruled.select(*order, "n_words", "rule", *(F.when(F.col("rule").isNull(), x).alias(c) for c, x in hashes.items())))
     # the first of equal lines by a partial minimum: no group of copies is ever collected or sorted
-    hashes = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.reverse("line")).alias("g")]
-    first = candidates.select(*hashes, *order).groupBy("h", "g").agg(F.min(F.struct(*order)).alias("first"))
+    first = slim.filter("rule is null").groupBy("h", "g").agg(F.min(F.struct(*order)).alias("first"))
     judged = first.select("first.*", F.lit("kept").alias("_judged"))
     if index is not None:
-        bad = containing(candidates, index, order, "line", index_text).withColumn("_bad", F.lit("contaminated"))
+        bad = containing(ruled.filter("rule is null"), index, order, "line", index_text).withColumn("_bad", F.lit("contaminated"))
         judged = judged.join(bad, order, "left").select(*order, F.coalesce("_bad", "_judged").alias("_judged"))
-    # joined back on the lines' places, which are unique and short; text moves only if it is asked for
-    return ruled.join(judged, order, "left").withColumn("stage", F.coalesce("rule", "_judged", F.lit("duplicate"))).drop("rule", "_judged")
+    # joined back on the lines' places, which are unique and short
+    return slim.join(judged, order, "left").select(*order, "n_words", F.coalesce("rule", "_judged", F.lit("duplicate")).alias("stage"))
+
+
+def staged_lines(lines: DataFrame, order: list[str], index: DataFrame | None = None, index_text: str = "text", script: Column | None = None, only: str | None = None) -> DataFrame:
+    """``lines`` with ``n_words`` and ``stage`` (:func:`line_stages`); with ``only`` the lines of one stage, whose places are chosen before any text is joined."""
+    stages = line_stages(lines, order, index, index_text, script)
+    return lines.join(stages if only is None else stages.filter(F.col("stage") == only), order)
 
 
 def prefix_sums(df: DataFrame, value: str, order: list[str], out: str, partitions: int | None = None) -> DataFrame:

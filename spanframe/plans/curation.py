@@ -42,30 +42,38 @@ LINES = f"""raw_lines AS (
 )"""
 
 
-def staged(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return Q.staged_lines(Q.document_lines(docs, ["doc_id"]), ORDER, table(spark, sf_dir, "eval_items"))
+def _lines(spark, sf_dir):
+    return Q.document_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
+
+
+def staged(spark, sf_dir, only):
+    """The lines of one stage, with their text."""
+    return Q.staged_lines(_lines(spark, sf_dir), ORDER, table(spark, sf_dir, "eval_items"), only=only)
+
+
+def stages(spark, sf_dir):
+    """Place, word count and stage of every line."""
+    return Q.line_stages(_lines(spark, sf_dir), ORDER, table(spark, sf_dir, "eval_items"))
 
 
 @CORE.register("normalized_lines", f"WITH {LINES} SELECT doc_id, line_no, line FROM lines")
 def normalized_lines(spark, sf_dir):
-    return Q.document_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
+    return _lines(spark, sf_dir)
 
 
 @CORE.register("line_stages", f"WITH {LINES} SELECT stage, count(*) AS lines, sum(n)::BIGINT AS words FROM staged GROUP BY stage UNION ALL SELECT 'lines', count(*), sum(n)::BIGINT FROM staged")
 def line_stages(spark, sf_dir):
-    return Q.stage_counts(staged(spark, sf_dir))
+    return Q.stage_counts(stages(spark, sf_dir))
 
 
 @CORE.register("line_dedup_first", f"WITH {LINES} SELECT doc_id, line_no, line FROM numbered WHERE copy = 1")
 def line_dedup_first(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return Q.staged_lines(Q.document_lines(docs, ["doc_id"]), ORDER).filter("stage = 'kept'").select("doc_id", "line_no", "line")
+    return Q.staged_lines(_lines(spark, sf_dir), ORDER, only="kept").select("doc_id", "line_no", "line")
 
 
 @CORE.register("decontaminate_6gram", f"WITH {LINES} SELECT doc_id, line_no, line FROM staged WHERE stage = 'contaminated'")
 def decontaminate_6gram(spark, sf_dir):
-    return staged(spark, sf_dir).filter("stage = 'contaminated'").select("doc_id", "line_no", "line")
+    return staged(spark, sf_dir, "contaminated").select("doc_id", "line_no", "line")
 
 
 _BUDGET = 20_000
@@ -78,8 +86,7 @@ _BUDGET = 20_000
 )
 def corpus_stop_rule(spark, sf_dir):
     """Stage counts of the lines that a budget of words needs."""
-    # places, stages and word counts only: no text is placed
-    return Q.stage_counts(Q.until_budget(staged(spark, sf_dir).select(*ORDER, "stage", "n_words"), _BUDGET, ORDER))
+    return Q.stage_counts(Q.until_budget(stages(spark, sf_dir), _BUDGET, ORDER))
 
 
 @CORE.register(
@@ -89,7 +96,7 @@ def corpus_stop_rule(spark, sf_dir):
 )
 def row_groups_used(spark, sf_dir):
     """Documents of each row group that were read before the word budget was met."""
-    read = Q.until_budget(staged(spark, sf_dir).select(*ORDER, "stage", "n_words"), _BUDGET, ORDER).select("doc_id").distinct()
+    read = Q.until_budget(stages(spark, sf_dir), _BUDGET, ORDER).select("doc_id").distinct()
     docs = table(spark, sf_dir, "documents").select("doc_id", "file_name", "row_group").join(read, "doc_id", "left_semi")
     return docs.groupBy("file_name", "row_group").agg(F.count("*").alias("docs"))
 

@@ -89,7 +89,7 @@ def older_layouts(spark, sf_dir):
 def corpus_round_trip(spark, sf_dir):
     """The kept lines written as an ordered corpus with its manifest and read back with their numbers."""
     path = _folder(spark, "corpus")
-    kept = stored(staged(spark, sf_dir).filter("stage = 'kept'").select(*ORDER, "line"))
+    kept = stored(staged(spark, sf_dir, "kept").select(*ORDER, "line"))
     manifest = runs.write_corpus(kept, path, ORDER)
     lines = files.read_lines(spark, f"{path}/corpus/part-*")
     if lines.count() != manifest["lines"]:
