@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spanframe.functions.text import INVISIBLE, nfc
+from spanframe.functions.text import nfc, without_invisible
 from spanframe.llm.batches import slices
 from spanframe.llm.words import normal
 from spanframe.session import checkpointed
@@ -47,7 +47,7 @@ ROMAN = str.maketrans({
 LEAST_COUNT, LEAST_SHARE = 3, 1 / 20_000
 #: Confidence that a single stem needs to enter the transactions, and a rule to be kept; what a longer rule must gain.
 LEANING, CONFIDENCE, GAIN = 0.4, 0.5, 0.05
-LONGEST_RULE = 3
+LONGEST_RULE = 3  # what scoring looks up, too
 #: Shares tried in calibration; the one used when there are too few labelled documents to calibrate.
 SHARES = tuple(x / 100 for x in range(16, 37, 2))
 DEFAULT_SHARE, CALIBRATION_LEAST = 0.26, 200
@@ -173,7 +173,20 @@ class Model:
         self.longest = max((len(r) for r in self.rules), default=1)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_known"}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def _tables(self) -> tuple[_Known, dict[str, tuple[str, float]], dict[str, dict[str, set[str]]]]:
+        """Per worker: stems of known words, rules of one stem, and for longer ones which stems follow the first (with the third ones after each)."""
+        tables = self.__dict__.get("_made")
+        if tables is None:
+            following: dict[str, dict[str, set[str]]] = {}
+            for rule in self.rules:
+                if len(rule) > 1:
+                    after = following.setdefault(rule[0], {}).setdefault(rule[1], set())
+                    if len(rule) > 2:
+                        after.add(rule[2])
+            tables = self._made = _Known(self.stems), {r[0]: x for r, x in self.rules.items() if len(r) == 1}, following
+        return tables
 
     def shares(self, text: str | None) -> dict[str, float]:
         """Each subject's share of the running text; empty for a text without any."""
@@ -182,17 +195,23 @@ class Model:
         found: dict[str, int] = defaultdict(int)
         total = 0
         rules = self.rules
-        known_stem = self.__dict__.get("_known")
-        if known_stem is None:
-            known_stem = self._known = _Known(self.stems)
+        known_stem, single, following = self._tables()
         for words in running_text(text, self.menu):
             total += len(words)
             known = sorted({s for w in words if (s := known_stem[w]) is not None})
             if not known:
                 continue
             evidence: dict[str, float] = defaultdict(float)
-            for n in range(1, min(self.longest, len(known)) + 1):
-                for group in combinations(known, n):
+            for s in known:
+                if s in single:
+                    subject, weight = single[s]
+                    evidence[subject] += weight
+            if len(known) > 1:
+                longer = [(a, b) for i, a in enumerate(known) if (after := following.get(a)) for b in known[i + 1 :] if b in after]
+                groups: list[tuple[str, ...]] = [*longer]
+                if longer and self.longest > 2:
+                    groups += [(a, b, c) for a, b in longer for c in following[a][b] if c > b and c in known]
+                for group in groups:
                     rule = rules.get(group)
                     if rule:
                         evidence[rule[0]] += rule[1]
@@ -218,7 +237,7 @@ def menu_lines(docs: DataFrame, text: str = "text") -> frozenset[int]:
     Only codes are shuffled, in one pass: a code that every text has counts the texts. As texts have a bounded number of lines on average, the lines
     that a share of all texts have are bounded by 1 / MENU_SHARE times that; more than :data:`MOST_MENU` are an error, none is left out.
     """
-    plain = F.lower(nfc(F.translate(text, INVISIBLE, "")))
+    plain = F.lower(nfc(without_invisible(text)))
     lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x, F.lit(SPACES))), lambda x: x != "")
     codes = F.array_append(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x))), F.lit(None).cast("long"))
     each = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("id"), F.explode(codes).alias("line")).distinct()
