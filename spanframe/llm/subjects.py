@@ -61,6 +61,7 @@ LONGEST_UNIT = 30
 QUOTES = ("«", ">", "“", "„", '"')
 _CLOSED_BY = {"«": "»", "„": "“”", "“": "”", '"': '"'}
 _MARKS = re.compile('[«»„“”"]').finditer
+_MARK = re.compile('[«»„“”"]').search
 _SENTENCES = re.compile(r"[.!?…]+(?:\s+|$)").split
 _WORDS = re.compile(r"\w+").findall
 _KAZAKH = re.compile("[әғқңөұүһі]").findall
@@ -87,6 +88,8 @@ def unquoted(line: str) -> str:
     """
     if line.startswith(">"):
         return ""
+    if not _MARK(line):
+        return line.strip()
     spans: list[tuple[int, int]] = []
     opened: list[tuple[int, str]] = []
     count = dict.fromkeys(_CLOSED_BY, 0)
@@ -132,6 +135,8 @@ def running_text(text: str, menu: frozenset[int]) -> list[list[str]]:
 
 def windows(words: list[str]) -> list[list[str]]:
     """Consecutive windows, as even as can be, of at most :data:`LONGEST_UNIT` words that together are ``words``."""
+    if len(words) <= LONGEST_UNIT:
+        return [words] if words else []
     n = -(-len(words) // LONGEST_UNIT)
     return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
 
@@ -175,16 +180,18 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def _tables(self) -> tuple[_Known, dict[str, tuple[str, float]], dict[str, dict[str, set[str]]]]:
-        """Per worker: stems of known words, rules of one stem, and for longer ones which stems follow the first (with the third ones after each)."""
+    def _tables(self) -> tuple[_Known, dict, dict]:
+        """Per worker: stems of known words, rules of one stem, and for longer ones by first and second stem their rule and those by the third."""
         tables = self.__dict__.get("_made")
         if tables is None:
-            following: dict[str, dict[str, set[str]]] = {}
-            for rule in self.rules:
-                if len(rule) > 1:
-                    after = following.setdefault(rule[0], {}).setdefault(rule[1], set())
-                    if len(rule) > 2:
-                        after.add(rule[2])
+            following: dict[str, dict[str, list]] = {}
+            for stems, rule in self.rules.items():
+                if len(stems) > 1:
+                    entry = following.setdefault(stems[0], {}).setdefault(stems[1], [None, {}])
+                    if len(stems) == 2:
+                        entry[0] = rule
+                    else:
+                        entry[1][stems[2]] = rule
             tables = self._made = _Known(self.stems), {r[0]: x for r, x in self.rules.items() if len(r) == 1}, following
         return tables
 
@@ -194,27 +201,28 @@ class Model:
             return {}
         found: dict[str, int] = defaultdict(int)
         total = 0
-        rules = self.rules
         known_stem, single, following = self._tables()
         for words in running_text(text, self.menu):
             total += len(words)
             known = sorted({s for w in words if (s := known_stem[w]) is not None})
             if not known:
                 continue
-            evidence: dict[str, float] = defaultdict(float)
-            for s in known:
-                if s in single:
-                    subject, weight = single[s]
-                    evidence[subject] += weight
-            if len(known) > 1:
-                longer = [(a, b) for i, a in enumerate(known) if (after := following.get(a)) for b in known[i + 1 :] if b in after]
-                groups: list[tuple[str, ...]] = [*longer]
-                if longer and self.longest > 2:
-                    groups += [(a, b, c) for a, b in longer for c in following[a][b] if c > b and c in known]
-                for group in groups:
-                    rule = rules.get(group)
-                    if rule:
-                        evidence[rule[0]] += rule[1]
+            matched = [single[s] for s in known if s in single]
+            third = []
+            for i, a in enumerate(known):
+                after = following.get(a)
+                if after is None:
+                    continue
+                for j in range(i + 1, len(known)):
+                    entry = after.get(known[j])
+                    if entry is not None:
+                        if entry[0] is not None:
+                            matched.append(entry[0])
+                        if entry[1]:
+                            third += [entry[1][c] for c in known[j + 1 :] if c in entry[1]]
+            evidence: dict[str, float] = {}
+            for subject, weight in matched + third:
+                evidence[subject] = evidence.get(subject, 0.0) + weight
             if evidence:
                 best = max(evidence, key=lambda s: (evidence[s], s))
                 if best != NONE:
