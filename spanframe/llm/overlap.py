@@ -38,7 +38,9 @@ def sentence_words(predictions: DataFrame) -> DataFrame:
     words = predictions.filter("word is not null and sentence_id is not null").select("sentence_id", F.struct("word_idx", "word").alias("x"))
     ordered = words.groupBy("sentence_id").agg(F.array_sort(F.collect_set("x")).alias("x"))
     first = F.filter("x", lambda e, i: (i == 0) | ~e["word_idx"].eqNullSafe(F.get("x", i - 1)["word_idx"]))
-    return ordered.select("sentence_id", match_words(F.array_join(F.transform(first, lambda e: e["word"]), " ")).alias("words"))
+    # a column of its own: the text is joined once, however often the normal form looks at it
+    joined = ordered.select("sentence_id", F.array_join(F.transform(first, lambda e: e["word"]), " ").alias("text"))
+    return joined.select("sentence_id", match_words("text").alias("words"))
 
 
 def classes(records: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
