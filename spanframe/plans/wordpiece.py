@@ -327,10 +327,10 @@ def _arms(spark, sf_dir):
 def compare_bootstrap(spark, sf_dir):
     """The seeded paired recall comparison of the same pairs: 10,000 replicates, all four subsets that have entities, decisions."""
     hits = stored(_with_subsets(Base(spark, sf_dir).hits()).select("run_id", "sentence_id", "hit", "subsets"))
-    known = {r[0] for r in hits.select("run_id").distinct().collect()}
+    occurring = hits.select("run_id", F.explode("subsets").alias("subset")).distinct().collect()
+    known, present = {r["run_id"] for r in occurring}, {r["subset"] for r in occurring}
     arms = [r for r in _arms(spark, sf_dir).orderBy("pair", "run_id").collect() if r["run_id"] in known]
     sides = {p: [tuple(r["run_id"] for r in arms if (r["pair"], r["arm"]) == (p, side)) for side in "ab"] for p in PAIRS}
-    present = {r[0] for r in hits.select(F.explode("subsets")).distinct().collect()}
     schema = "pair string, subset string, delta double, low double, high double, p double, p_holm double, h1 boolean, h2 boolean"
     if not {"primary", "specificity"} <= present or not all(all(x) for x in sides.values()):
         return spark.createDataFrame([], schema)  # nothing to compare in so little data
