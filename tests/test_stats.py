@@ -118,6 +118,38 @@ def test_compare_points(spark):
         B.compare(df, [B.Pair("p", ("a1",), ("b1",))], names, 10, 1, primary="gone")
 
 
+def test_draws_are_bounded_and_stay_the_same(monkeypatch):
+    import tracemalloc
+
+    cube = np.random.default_rng(4).integers(0, 5, (2, 20_000, 3)).astype(float)
+    tracemalloc.start()
+    found = B.paired_f1(cube[:1], cube[1:], 600, 1), B.mean_f1(cube, 600, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6  # a whole block of 500 replicates is 160 MB
+    monkeypatch.setattr(B, "DRAWN", 10**9)
+    assert (B.paired_f1(cube[:1], cube[1:], 600, 1), B.mean_f1(cube, 600, 1)) == found
+
+
+def test_compared_sums_do_not_grow_with_runs(spark, monkeypatch):
+    runs = ("a1", "a2", "b1", "b2", "b3", "b4", "other")
+    rows = [(s, r, ["primary"] if s % 2 else ["specificity"], (s + i) % 3 == 0) for s in range(6) for i, r in enumerate(runs)]
+    df = spark.createDataFrame([*rows, (6, "other", ["primary"], True)], "sentence_id long, run_id string, subsets array<string>, hit boolean")
+    names, pairs = ["primary", "specificity"], [B.Pair("p", runs[:2], runs[2:6])]
+    monkeypatch.setattr(B, "MOST_CELLS", 7 * 2 * 3)
+    out = B.compare(df, pairs, names, 700, 3)
+    assert out["sentences"] == 7 and out["sizes"] == {"primary": 3, "specificity": 3}
+    # arms that hit alike: their differences are exactly 0, and count on both sides
+    even = df.withColumn("hit", F.col("sentence_id") < 3)
+    none = B.compare(even, pairs, names, 700, 3)["pairs"]["p"]
+    assert all((x["delta"], x["low"], x["high"], x["p"]) == (0, 0, 0, 1) for x in [*none["subsets"].values(), none["did"]])
+    monkeypatch.setattr(B, "DRAWN", 1)
+    assert B.compare(df.repartition(3), pairs, names, 700, 3) == out
+    monkeypatch.setattr(B, "MOST_CELLS", 7 * 2 * 3 - 1)
+    with pytest.raises(ValueError, match="too many"):
+        B.compare(df, pairs, names, 10, 3)
+
+
 def test_bootstrap_of_the_odds_ratio(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(r, s, int(p), 3, 4 + int(p), True, "X", bool(rng.random() < 0.15 * p)) for r in ("r1", "r2") for s in range(80) for p in rng.integers(1, 5, 4)]
