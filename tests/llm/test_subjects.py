@@ -114,3 +114,11 @@ def test_only_the_quoted_span_is_dropped():
     model = S.Model({("court",): ("law", 2.0), ("match",): ("sport", 2.0)}, frozenset())
     assert model.shares("«The court sat»; the match went on") == {"sport": 1.0}
     assert len(text("«" * 50_000 + "a" + "”»" * 50_000)) == 0
+
+
+def test_only_long_units_are_cut(monkeypatch):
+    cut, whole = [], S.windows
+    monkeypatch.setattr(S, "windows", lambda words: cut.append(len(words)) or whole(words))
+    long = " ".join(f"w{i}" for i in range(S.LONGEST_UNIT + 1))
+    units = S.running_text(f"One two. Three!\n{long}. ...\nFour", frozenset())
+    assert cut == [S.LONGEST_UNIT + 1] and [len(u) for u in units] == [2, 1, 15, 16, 1]
